@@ -183,10 +183,15 @@ def sql_vector_hits(top_k: int, short: bool = False) -> str:
 
 
 SQL_LEXICAL_SCORES = f"""
-    SELECT q.qid, q.query, d.doc_name, d.text,
-      CAST(coalesce(list_sum(list_transform(q.toks, lambda t: CASE WHEN list_contains(d.bag, t) THEN 1 ELSE 0 END)), 0) AS BIGINT) AS score
-    FROM (SELECT *, {sql_tokens('query')} AS toks FROM asked) q
-    CROSS JOIN (SELECT *, list_distinct({sql_tokens('text')}) AS bag FROM corpus) d"""
+    SELECT q.qid, d.doc_name, d.text, CAST(coalesce(p.points, 0) AS BIGINT) AS score
+    FROM asked q CROSS JOIN corpus d
+    LEFT JOIN (SELECT qid, doc_name, sum(n) AS points
+               FROM (SELECT qid, t, count(*) AS n
+                     FROM (SELECT qid, unnest({sql_tokens('query')}) AS t FROM asked) GROUP BY qid, t)
+               JOIN (SELECT DISTINCT doc_name, t
+                     FROM (SELECT doc_name, unnest({sql_tokens('text')}) AS t FROM corpus)) USING (t)
+               GROUP BY qid, doc_name) p
+      ON p.qid = q.qid AND p.doc_name = d.doc_name"""
 
 
 def sql_lexical_hits(top_k: int) -> str:

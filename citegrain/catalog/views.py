@@ -90,6 +90,7 @@ def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(texts, "vec_id").select(
         F.col("vec_id").alias("qid"),
         F.concat(F.lit("what in "), "source", F.lit(" ("), "lang", F.lit(") is like number "), F.col("vec_id").cast("string")).alias("query"),
+        F.when(F.col("lang") == "en", " V2 ").when(F.col("lang") == "fr", "v1").otherwise("other").alias("style"),
         topic_name(F.col("label")).alias("expected_doc"),
         F.array_join(F.array_distinct(tokens("text")), ";").alias("expected_keywords"),
         "embedding",
@@ -138,6 +139,7 @@ SQL_VIEWS: dict[str, str] = {
     "vector_questions": f"""
         SELECT e.vec_id AS qid,
           'what in ' || d.source || ' (' || d.lang || ') is like number ' || e.vec_id AS query,
+          CASE d.lang WHEN 'en' THEN ' V2 ' WHEN 'fr' THEN 'v1' ELSE 'other' END AS style,
           'topic' || e.label || '.txt' AS expected_doc,
           TOKENS_OF_TEXT AS expected_keywords,
           CAST(e.embedding AS DOUBLE[]) AS embedding
@@ -152,11 +154,8 @@ SQL_VIEWS: dict[str, str] = {
 
 
 def _distinct_tokens(text: str) -> str:
-    """Distinct tokens in first-seen order, joined; written without relying on list order tricks."""
-    toks = sql_tokens(text)
-    return (
-        f"array_to_string(list_filter({toks}, lambda t, i: list_position({toks}, t) = i), ';')"
-    )
+    """Distinct tokens joined; in any order, since only their share is ever counted."""
+    return f"array_to_string(list_distinct({sql_tokens(text)}), ';')"
 
 
 SQL_VIEWS["vector_questions"] = SQL_VIEWS["vector_questions"].replace(

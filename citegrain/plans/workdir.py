@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_base() -> str:
+    base = tempfile.mkdtemp(prefix="citegrain-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; a cluster session must name a
-    folder every executor can reach.
+    Only a local session may go without that setting, and gets a folder that lives as long
+    as the driver; a cluster session must name one that every executor can reach.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="citegrain-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
