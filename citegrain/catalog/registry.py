@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrain.catalog import answer_queries, log_queries, retrieval_queries
+from citegrain.catalog import (
+    answer_queries,
+    log_queries,
+    retrieval_queries,
+    reuse_queries,
+    tool_queries,
+)
 
 FLAGSHIP = "c6_hit_rows"
 
-FAMILIES = (log_queries, retrieval_queries, answer_queries)
+FAMILIES = (log_queries, retrieval_queries, answer_queries, reuse_queries, tool_queries)
 
 # What the registered queries rely on: times are UTC, and streaming state lives in RocksDB.
 SESSION_SETTINGS = {
