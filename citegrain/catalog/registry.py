@@ -11,12 +11,22 @@ from citegrain.catalog import (
     log_queries,
     retrieval_queries,
     reuse_queries,
+    source_queries,
+    stream_queries,
     tool_queries,
 )
 
 FLAGSHIP = "c6_hit_rows"
 
-FAMILIES = (log_queries, retrieval_queries, answer_queries, reuse_queries, tool_queries)
+FAMILIES = (
+    source_queries,
+    retrieval_queries,
+    answer_queries,
+    reuse_queries,
+    log_queries,
+    tool_queries,
+    stream_queries,
+)
 
 # What the registered queries rely on: times are UTC, and streaming state lives in RocksDB.
 SESSION_SETTINGS = {
