@@ -42,7 +42,7 @@ def vector_hits(s: SparkSession, d: str, top_k: int = 3, short: bool = False) ->
     questions, index = vector_questions(s, d), vector_chunks(s, d)
     if short:
         questions, index = shortened(questions), shortened(index)
-    return without_self(vectors.top_k_chunks(questions, index, top_k + 1, carry=["text"]), top_k)
+    return without_self(vectors.top_k_chunks(questions, index, top_k + 1, attach=["text"]), top_k)
 
 
 def _bare_hits(s: SparkSession, d: str, top_k: int, short: bool = False) -> DataFrame:
@@ -97,7 +97,7 @@ def _hashed_search(s: SparkSession, d: str) -> DataFrame:
         vectors.checked_questions(_benchmark_questions(s, d), 3), text="query"
     )
     index = vectors.hashed_embedding(line_chunks(s, d))
-    hits = vectors.top_k_chunks(asked, index, 3, carry=["text"])
+    hits = vectors.top_k_chunks(asked, index, 3, attach=["text"])
     return vectors.hit_rows(hits)
 
 

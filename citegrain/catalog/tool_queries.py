@@ -59,7 +59,8 @@ def _calculated(steps: DataFrame) -> DataFrame:
 
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
-    steps = _steps(s, d)
+    # planned once: the texts are long, and three things read the few steps
+    steps = written(_steps(s, d))
     results = tools.search_results(steps, corpus(s, d)).unionByName(_calculated(steps))
     return tools.roll_up(tool_queries(s, d), tools.with_results(steps, results))
 

@@ -142,13 +142,14 @@ def top_k_chunks(
     index: DataFrame,
     top_k: int = TOP_K,
     key: str = "qid",
-    carry: Sequence[str] = (),
+    attach: Sequence[str] = (),
     max_broadcast: int = MAX_BROADCAST_QUESTIONS,
     **blocks: int,
 ) -> DataFrame:
     """Exact top-k chunks by dot product for every question, ranked from 1.
 
     Both sides hold unit-length vectors in ``embedding``. Ties go by document and chunk.
+    *attach* names further index columns to give the hits, such as ``text``.
     """
     _check_top_k(top_k)
     return blocked_top_k(
@@ -159,7 +160,7 @@ def top_k_chunks(
         key,
         ties=("doc_name", "chunk_id"),
         values="embedding",
-        carry=carry,
+        attach=attach,
         max_broadcast=max_broadcast,
         **blocks,
     )

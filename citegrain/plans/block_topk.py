@@ -35,6 +35,8 @@ ITEM_BLOCK = 65536
 # numbers or tokens in a broadcast, and in a block
 MAX_BROADCAST_VALUES = 8_000_000
 MAX_BLOCK_VALUES = 16_000_000
+# hits in a broadcast
+MAX_BROADCAST_HITS = 500_000
 # scores held at once in a task
 MAX_SCORES = 4_000_000
 
@@ -109,23 +111,28 @@ def blocked_top_k(
     ties: Sequence[str],
     values: str,
     carry: Sequence[str] = (),
+    attach: Sequence[str] = (),
     max_broadcast: int = MAX_BROADCAST_QUESTIONS,
     question_block: int = QUESTION_BLOCK,
     item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
-    """Rows ``key, rank, *ties, score, *carry``.
+    """Rows ``key, rank, *ties, score, *carry, *attach``.
 
-    *values* names the array column of both sides that the scorer reads.
+    *values* names the array column of both sides that the scorer reads, and *ties* the item
+    columns that tell equal scores, and items, apart. Columns in *carry* travel through the
+    tasks with the items, so they must be short; those in *attach*, such as whole texts, stay
+    in the JVM and are joined to the hits at the end.
     """
     payload = [*ties, *[c for c in carry if c not in ties]]
     inputs = list(dict.fromkeys([*payload, values]))
-    items = items.select(*inputs)
+    whole_items, items = items, items.select(*inputs)
     fields = [questions.schema[key], *[items.schema[c] for c in payload]]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
 
     # one row past the bound is enough to know that the questions do not fit
     rows, held = _measured(questions.limit(max_broadcast + 1), values)
-    if rows <= max_broadcast and held <= MAX_BROADCAST_VALUES:
+    few_questions = rows <= max_broadcast and held <= MAX_BROADCAST_VALUES
+    if few_questions:
         few = questions.limit(max_broadcast).toArrow()
         shared = questions.sparkSession.sparkContext.broadcast(few)
 
@@ -169,8 +176,14 @@ def blocked_top_k(
         )
 
     order = Window.partitionBy(key).orderBy(F.desc("score"), *ties)
-    return (
+    hits = (
         partial.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select(key, "rank", *ties, "score", *[c for c in payload if c not in ties])
     )
+    if not attach:
+        return hits
+    small = few_questions and rows * k <= MAX_BROADCAST_HITS
+    return whole_items.select(*ties, *attach).join(
+        F.broadcast(hits) if small else hits, list(ties)
+    ).select(*hits.columns, *attach)
