@@ -14,11 +14,7 @@ def read_text_documents(spark: SparkSession, folder: str) -> DataFrame:
 
     Partition columns encoded in the folder names below *folder* are kept behind these two.
     """
-    files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.txt")
-        .text(folder)
-    )
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     extra = [c for c in files.columns if c != "value"]
     return files.select(
         F.col("_metadata.file_name").alias("doc_name"),
