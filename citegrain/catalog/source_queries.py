@@ -88,10 +88,10 @@ def _shown_log(log: DataFrame) -> DataFrame:
 
 
 def _first_error(s: SparkSession, d: str) -> DataFrame:
-    """Log order from file positions: written in time order, read back as the first errors."""
+    """Log order from file positions: files written in time order, read back as the first errors."""
     out = shared_dir(s)
     rows = request_log(s, d).orderBy("ts", "event_id")
-    log_files.log_events(rows).coalesce(1).write.json(out)
+    log_files.log_events(rows).write.json(out)
     log = log_files.read_request_log(s, out)
     order = ("log_file", "log_block", "log_row")
     return logs.error_samples(log, 5, order).select(

@@ -2,9 +2,11 @@
 
 Spark's ``percentile`` merges all distinct values of a group into one map on one task,
 which a group holding a third of a large log does not survive. Here the rows are first
-counted per (group, value), so repeats never travel; the counts are then summed into
+counted per (group, value, failed), so repeats never travel; the counts are then summed into
 log-linear bins (each 0.1 % wide); a running sum over the bins finds the few bins that
-hold the wanted ranks; and only the values inside those bins are sorted.
+hold the wanted ranks; and only the values inside those bins are sorted. Bins and values
+come from the same counts with the same columns, so the shuffle behind them is done once
+and the input is read once.
 """
 
 from __future__ import annotations
@@ -43,17 +45,17 @@ def value_profile(
     """Per group: ``total``, ``errors``, ``value_sum`` and one ``p<q>`` column per percentile.
 
     Percentile q lies at rank (n-1)*q/100 of the sorted values, interpolated between its
-    two neighbours. *errors* names a boolean or count column to add up; *weight* names a
-    column saying how many rows a row stands for. Without *by* there is always one row,
+    two neighbours. *errors* names a boolean column whose true rows are counted; *weight*
+    names a column saying how many rows a row stands for. Without *by* there is always one row,
     and an empty input gives zeros.
     """
     by = list(by)
     rows = F.col(weight) if weight else F.lit(1)
-    bad = F.col(errors).cast("bigint") if errors else F.lit(0)
+    failed = F.coalesce(F.col(errors), F.lit(False)) if errors else F.lit(False)
     counts = (
-        df.select(*by, F.col(value).cast("double").alias("v"), rows.alias("n"), bad.alias("e"))
-        .groupBy(*by, "v")
-        .agg(F.sum("n").cast("bigint").alias("n"), F.sum("e").cast("bigint").alias("e"))
+        df.select(*by, F.col(value).cast("double").alias("v"), failed.alias("failed"), rows.alias("n"))
+        .groupBy(*by, "v", "failed")
+        .agg(F.sum("n").cast("bigint").alias("n"))
         .withColumn("bin", value_bin(F.col("v")))
     )
     group = Window.partitionBy(*by)
@@ -62,7 +64,7 @@ def value_profile(
         counts.groupBy(*by, "bin")
         .agg(
             F.sum("n").alias("bin_n"),
-            F.sum("e").alias("bin_e"),
+            F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("bin_e"),
             F.sum(F.col("v") * F.col("n")).alias("bin_sum"),
         )
         .withColumn("before", F.sum("bin_n").over(upto) - F.col("bin_n"))

@@ -45,7 +45,7 @@ def window_counts(
     delay: str = DELAY,
     by: Sequence[str] = ("endpoint",),
 ) -> DataFrame:
-    """Requests and errors per window, group and latency value.
+    """Requests per window, group, latency value and outcome.
 
     Keeping the latency value in the key spreads a window's state over the cluster, where a
     percentile as the streaming aggregate would hold a whole group's values in one place.
@@ -54,15 +54,15 @@ def window_counts(
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
     return (
         requests.withWatermark("ts", delay)
-        .groupBy(span.alias("window"), *by, "latency_ms")
-        .agg(F.count("*").alias("n"), F.count_if(is_error()).alias("failed"))
+        .groupBy(span.alias("window"), *by, "latency_ms", is_error().alias("failed"))
+        .agg(F.count("*").alias("n"))
         .select(
             F.col("window.start").alias("window_start"),
             F.col("window.end").alias("window_end"),
             *by,
             "latency_ms",
-            "n",
             "failed",
+            "n",
         )
     )
 
