@@ -30,9 +30,10 @@ from citegrain.plans.workdir import written
 # Fixed value: default time to live in seconds.
 TTL_SEC = 300
 
-# rows a session may have to be folded in one row, and blocks taken together in the tree
+# rows a session may have to be folded in one row, and rows aimed at in a task of the tree
 SMALL_SESSION = 50_000
-FAN_IN = 8
+STRETCH_ROWS = 1_000_000
+MAX_FAN_IN = 4096
 
 _NEVER = -(1 << 62)
 
@@ -47,23 +48,53 @@ def _timed(requests: DataFrame, ts: str, ttl_sec: int) -> DataFrame:
     return requests.withColumn("_at", at).withColumn("_block", F.floor(F.col("_at") / length).cast("bigint"))
 
 
-def _block_starts(timed: DataFrame, keys: Sequence[str], ttl: int, order: str) -> DataFrame:
-    """Blocks of each key with first request, last time, row count and session.
+def _blocks(timed: DataFrame, keys: Sequence[str], ttl: int) -> DataFrame:
+    """Blocks of each key with first and last time, row count and session.
 
     The window runs over blocks, not rows: a key has at most (time span / ttl) of them.
     """
     in_time = Window.partitionBy(*keys).orderBy("_block")
-    first = F.min(F.struct(F.col("_at").alias("at"), F.col(order).alias("id")))
     blocks = timed.groupBy(*keys, "_block").agg(
-        first.alias("first"), F.max("_at").alias("last_at"), F.count("*").alias("rows")
+        F.min("_at").alias("at"), F.max("_at").alias("last_at"), F.count("*").alias("rows")
     )
     before = F.lag("last_at").over(in_time)
-    starts = before.isNull() | (F.col("first.at") > before + ttl)
+    starts = before.isNull() | (F.col("at") > before + ttl)
     return blocks.withColumn("starts", starts).withColumn(
         "session", F.max(F.when(F.col("starts"), F.col("_block"))).over(in_time)
     )
 
 
+def _beside(timed: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows joined to the facts known of their block; rows of other blocks are left out."""
+    named = facts.withColumnsRenamed({c: f"_f_{c}" for c in [*keys, "_block"]})
+    on = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in [*keys, "_block"]]
+    return timed.join(named, on, "inner").drop(*[f"_f_{c}" for c in [*keys, "_block"]])
+
+
+def _flag_others(
+    timed: DataFrame, marked: DataFrame, keys: Sequence[str], order: str, name: str
+) -> DataFrame:
+    """Adds the flag *name*: false for the request at each *marked* ``(keys, _block, at)``.
+
+    There is at most one mark per block. Of requests at the very time the first by *order* is
+    meant.
+    """
+    slim = timed.select(*keys, "_block", "_at", order)
+    first = (
+        _beside(slim, marked.select(*keys, "_block", "at"), keys)
+        .filter(F.col("_at") == F.col("at"))
+        .groupBy(*[F.col(c).alias(f"_m_{c}") for c in [*keys, "_block"]])
+        .agg(F.min(order).alias("_m_id"))
+    )
+    on = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in [*keys, "_block"]]
+    same = F.coalesce(F.col(order) == F.col("_m_id"), F.lit(False))
+    return (
+        timed.join(first, on, "left")
+        .withColumn(name, ~same & F.col("_at").isNotNull())
+        .drop(*[f"_m_{c}" for c in [*keys, "_block"]], "_m_id", "_at", "_block")
+    )
+
+
 def mark_repeats(
     requests: DataFrame, keys: Sequence[str], ts: str = "ts", order: str = "event_id", ttl_sec: int = TTL_SEC
 ) -> DataFrame:
@@ -72,20 +103,8 @@ def mark_repeats(
     Requests at the same time follow *order*, a unique column.
     """
     timed = _timed(requests, ts, ttl_sec)
-    starts = _block_starts(timed, keys, ttl_sec * 1_000_000, order).filter("starts")
-    return _without(timed, starts.select(*keys, "_block", "first.at", "first.id"), keys, order, "repeated")
-
-
-def _without(timed: DataFrame, marked: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
-    """Adds the flag *name*, false for the at most one *marked* request ``(at, id)`` per block."""
-    marked = marked.select(*[F.col(k).alias(f"_m_{k}") for k in keys], F.col("_block").alias("_m_block"), "at", "id")
-    on = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys] + [F.col("_block") == F.col("_m_block")]
-    same = F.coalesce((F.col("_at") == F.col("at")) & (F.col(order) == F.col("id")), F.lit(False))
-    return (
-        timed.join(marked, on, "left")
-        .withColumn(name, ~same & F.col("_at").isNotNull())
-        .drop(*[f"_m_{k}" for k in keys], "_m_block", "at", "id", "_at", "_block")
-    )
+    starts = _blocks(timed, keys, ttl_sec * 1_000_000).filter("starts")
+    return _flag_others(timed, starts, keys, order, "repeated")
 
 
 def mark_reuse(
@@ -95,60 +114,44 @@ def mark_reuse(
     order: str = "event_id",
     ttl_sec: int = TTL_SEC,
     small_session: int = SMALL_SESSION,
-    fan_in: int = FAN_IN,
+    fan_in: int | None = None,
 ) -> DataFrame:
     """Adds ``reused``: the request is answered by one stored at most *ttl_sec* earlier.
 
     Requests at the same time follow *order*, a unique column. Exact for any number of rows
-    per key.
+    per key. *fan_in* blocks at a time meet in the tree of large sessions; by default as many
+    as keep a task near STRETCH_ROWS rows, given the fullest block.
     """
     ttl = max(1, ttl_sec) * 1_000_000
     timed = _timed(requests, ts, max(1, ttl_sec))
     per_session = Window.partitionBy(*keys, "session")
-    blocks = _block_starts(timed, keys, ttl, order).withColumns(
-        {"in_session": F.count("*").over(per_session), "session_rows": F.sum("rows").over(per_session)}
+    blocks = written(
+        _blocks(timed, keys, ttl).withColumns(
+            {"in_session": F.count("*").over(per_session), "session_rows": F.sum("rows").over(per_session)}
+        )
     )
-    blocks = written(blocks)
     large = F.col("session_rows") > small_session
-    single = F.col("in_session") == 1
+    chained = blocks.filter(F.col("in_session") > 1)
 
-    stored = blocks.filter(F.col("starts")).select(*keys, "_block", F.col("first.at").alias("at"))
-    chained = blocks.filter(~single)
+    stored = blocks.filter(F.col("starts")).select(*keys, "_block", "at")
     stored = stored.unionByName(_chain_small(timed, chained.filter(~large), keys, ttl))
-    # one small row: how long the longest large session is, in blocks
-    longest = chained.filter(large).agg(F.max(F.col("_block") - F.col("session"))).first()[0]
+    # one small row: how long the longest large session is, in blocks, and its fullest block
+    longest, fullest = (
+        chained.filter(large).agg(F.max(F.col("_block") - F.col("session")), F.max("rows")).first()
+    )
     if longest is not None:
+        fan_in = fan_in or max(2, min(MAX_FAN_IN, STRETCH_ROWS // fullest))
         stored = stored.unionByName(
             _chain_large(timed, chained.filter(large), keys, ttl, longest + 1, fan_in)
         )
-    # among requests at the very time only the first is stored
-    stored = stored.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_block").alias("_s_block"), "at")
-    on = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
-    on += [F.col("_block") == F.col("_s_block"), F.col("_at") == F.col("at")]
-    first = (
-        timed.join(stored, on, "inner")
-        .groupBy(*keys, "_block", "at")
-        .agg(F.min(order).alias("id"))
-    )
-    return _without(timed, first, keys, order, "reused")
+    return _flag_others(timed, stored, keys, order, "reused")
 
 
-def _instants(timed: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct request times of the given blocks; of a session's first block the first only."""
-    wanted = blocks.select(
-        *[F.col(k).alias(f"_b_{k}") for k in keys],
-        F.col("_block").alias("_b_block"),
-        "session",
-        "starts",
-        F.col("first.at").alias("first_at"),
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys] + [F.col("_block") == F.col("_b_block")]
-    return (
-        timed.select(*keys, "_block", "_at")
-        .distinct()
-        .join(wanted, on, "inner")
-        .filter(~F.col("starts") | (F.col("_at") == F.col("first_at")))
-        .select(*keys, "session", "_block", "_at")
+def _instants(timed: DataFrame, blocks: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    """Request times of the given blocks; of a session's first block the first only."""
+    slim = timed.select(*keys, "_block", "_at")
+    return _beside(slim, blocks.select(*keys, "_block", "session", "starts", "at", *more), keys).filter(
+        ~F.col("starts") | (F.col("_at") == F.col("at"))
     )
 
 
@@ -206,14 +209,19 @@ def _chain_large(
     a time are joined into the table of the longer stretch, which needs only the entries of
     its first ttl, until one stretch covers the session. Downwards, the known time at the
     start of a stretch is passed through its parts, until each block knows its own.
+
+    Sessions are numbered first, so that only whole numbers travel to Python.
     """
-    group = [*keys, "session"]
-    kinds = ", ".join(f"`{k}` {timed.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, session bigint, child bigint, entry bigint, leaves bigint"
+    sessions = written(
+        blocks.filter("starts").select(*keys, "session", F.monotonically_increasing_id().alias("sid"))
+    )
+    named = sessions.withColumnsRenamed({c: f"_n_{c}" for c in [*keys, "session"]})
+    on = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in [*keys, "session"]]
+    numbered = blocks.join(named, on).drop(*[f"_n_{c}" for c in [*keys, "session"]])
     tables = [
         written(
-            _instants(timed, blocks, keys).select(
-                *group,
+            _instants(timed, numbered, keys, "sid").select(
+                "sid",
                 (F.col("_block") - F.col("session")).alias("child"),
                 F.col("_at").alias("entry"),
                 F.col("_at").alias("leaves"),
@@ -230,48 +238,49 @@ def _chain_large(
             leaves = np.r_[leaves, _through(parts[1][2][:1], parts[2:], ttl)]
         # of entries leading to the same end the last stands for all
         keep = np.r_[leaves[1:] != leaves[:-1], True]
-        out = pd.DataFrame({"entry": entry[keep], "leaves": leaves[keep]})
-        for c in group:
-            out[c] = pdf[c].iloc[0]
-        out["child"] = parts[0][0] // fan_in
-        return out[[*group, "child", "entry", "leaves"]]
+        return pd.DataFrame(
+            {
+                "sid": pdf["sid"].iloc[0],
+                "child": parts[0][0] // fan_in,
+                "entry": entry[keep],
+                "leaves": leaves[keep],
+            }
+        )
 
     stretch = F.floor(F.col("child") / F.lit(fan_in)).cast("bigint").alias("parent")
+    schema = "sid bigint, child bigint, entry bigint, leaves bigint"
     while length > fan_in:
-        tables.append(written(tables[-1].groupBy(*group, stretch).applyInPandas(joined, schema)))
+        tables.append(written(tables[-1].groupBy("sid", stretch).applyInPandas(joined, schema)))
         length = -(-length // fan_in)
 
     def passed(known: pd.DataFrame, pdf: pd.DataFrame, leaf: bool) -> pd.DataFrame:
-        until = int(known["until"].iloc[0]) if len(known) else _NEVER
         rows = []
-        for part in _parts(pdf) if len(pdf) else []:
-            at = int(np.searchsorted(part[1], until, side="right"))
-            if leaf and at < len(part[1]):
-                rows.append((part[0], int(part[1][at])))
-            if not leaf:
-                rows.append((part[0], until))
-            if at < len(part[1]):
-                until = int(part[2][at]) + ttl
-        out = pd.DataFrame(rows, columns=["child", "until"]).astype("int64")
-        for i, c in enumerate(group):
-            out.insert(i, c, pdf[c].iloc[0] if len(pdf) else None)
-        return out
-
-    known = tables[-1].select(*group, F.lit(0).cast("bigint").alias("child")).distinct()
-    known = known.withColumn("until", F.lit(_NEVER).cast("bigint"))
-    result = f"{kinds}, session bigint, child bigint, until bigint"
+        if len(pdf):
+            until = int(known["until"].iloc[0]) if len(known) else _NEVER
+            for child, entry, leaves in _parts(pdf):
+                at = int(np.searchsorted(entry, until, side="right"))
+                if leaf and at < len(entry):
+                    rows.append((pdf["sid"].iloc[0], child, int(entry[at])))
+                if not leaf:
+                    rows.append((pdf["sid"].iloc[0], child, until))
+                if at < len(entry):
+                    until = int(leaves[at]) + ttl
+        return pd.DataFrame(rows, columns=["sid", "child", "until"]).astype("int64")
 
     def step(leaf: bool):
         return lambda left, right: passed(left, right, leaf)
 
+    known = sessions.select(
+        "sid", F.lit(0).cast("bigint").alias("child"), F.lit(_NEVER).cast("bigint").alias("until")
+    )
     for level in range(len(tables) - 1, -1, -1):
         known = (
             known.withColumnRenamed("child", "parent")
-            .groupBy(*group, "parent")
-            .cogroup(tables[level].withColumn("parent", stretch).groupBy(*group, "parent"))
-            .applyInPandas(step(level == 0), result)
+            .groupBy("sid", "parent")
+            .cogroup(tables[level].withColumn("parent", stretch).groupBy("sid", "parent"))
+            .applyInPandas(step(level == 0), "sid bigint, child bigint, until bigint")
         )
     # a session's first block is known from the start
-    return known.filter(F.col("child") > 0).select(
+    return known.filter(F.col("child") > 0).join(sessions, "sid").select(
         *keys, (F.col("session") + F.col("child")).alias("_block"), F.col("until").alias("at")
     )
