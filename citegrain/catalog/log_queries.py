@@ -14,7 +14,7 @@ def _flags(df):
 
 def _rounded_slo(df):
     return _flags(df).withColumns(
-        {"error_rate": F.round("error_rate", 6), "p95_ms": F.round("p95_ms", 3)}
+        {"error_rate": F.round("error_rate", 6), "p95_ms": F.round("p95_ms", 6)}
     )
 
 
@@ -53,7 +53,7 @@ def _slo(where: str = "", group: str = "") -> str:
     head = f"{group}, " if group else ""
     tail = f"GROUP BY {group}" if group else ""
     return f"""
-        SELECT {head}requests, errors, round(rate, 6) AS error_rate, round(p95, 3) AS p95_ms,
+        SELECT {head}requests, errors, round(rate, 6) AS error_rate, round(p95, 6) AS p95_ms,
           CAST(rate <= 0.02 AS INT) AS pass_error, CAST(p95 <= 3000 AS INT) AS pass_latency,
           CAST(rate <= 0.02 AND p95 <= 3000 AS INT) AS passed
         FROM (SELECT {head}count(*) AS requests,

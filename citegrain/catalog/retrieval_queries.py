@@ -167,8 +167,8 @@ SQL_SHORT = """list_transform(embedding[1:32], lambda x:
     x / sqrt(list_sum(list_transform(embedding[1:32], lambda y: y * y))))"""
 
 
-def sql_vector_hits(top_k: int, short: bool = False) -> str:
-    """Leave-one-out hits from all scores; reads the view `vector_chunks`."""
+def sql_vector_hits(top_k: int, short: bool = False, source: str = "vector_chunks") -> str:
+    """Leave-one-out hits from all scores of the view *source*."""
     vector = SQL_SHORT if short else "embedding"
     return f"""
         SELECT qid, rank, doc_name, chunk_id, score, text
@@ -176,8 +176,8 @@ def sql_vector_hits(top_k: int, short: bool = False) -> str:
                 list_dot_product(q.v, c.v) AS score,
                 CAST(row_number() OVER (PARTITION BY q.chunk_id
                   ORDER BY list_dot_product(q.v, c.v) DESC, c.doc_name, c.chunk_id) AS INT) AS rank
-              FROM (SELECT chunk_id, {vector} AS v FROM vector_chunks) q
-              JOIN (SELECT doc_name, chunk_id, text, {vector} AS v FROM vector_chunks) c
+              FROM (SELECT chunk_id, {vector} AS v FROM {source}) q
+              JOIN (SELECT doc_name, chunk_id, text, {vector} AS v FROM {source}) c
                 ON q.chunk_id <> c.chunk_id)
         WHERE rank <= {top_k}"""
 
@@ -332,19 +332,19 @@ SQL = {
         SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first, 1.0::DOUBLE AS norm
         FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS v FROM embeddings)""",
     "c3_c4_search_one_vector": with_views(
-        """SELECT doc_name, chunk_id, round(list_sum(embedding) / 8, 6) AS score FROM vector_chunks
+        """SELECT doc_name, chunk_id, round(list_sum(embedding) / 8, 6) AS score FROM vector_index
            ORDER BY list_sum(embedding) DESC, doc_name, chunk_id LIMIT 10""",
-        "vector_chunks",
+        "vector_index",
     ),
     "c5_top_k_chunks": with_views(
         "SELECT qid, rank, doc_name, chunk_id, round(score, 6) AS score FROM hits",
-        "vector_chunks",
-        hits=sql_vector_hits(3),
+        "vector_index",
+        hits=sql_vector_hits(3, source="vector_index"),
     ),
     "c5_top_k_chunks_short_vectors": with_views(
         "SELECT qid, rank, doc_name, chunk_id, round(score, 6) AS score FROM hits",
-        "vector_chunks",
-        hits=sql_vector_hits(5, short=True),
+        "vector_index",
+        hits=sql_vector_hits(5, short=True, source="vector_index"),
     ),
     "c6_hit_rows": with_views(
         f"SELECT qid, rank, doc_name, chunk_id, round(score, 6) AS score, {sql_preview('text', 220)} AS text FROM hits",
@@ -354,8 +354,8 @@ SQL = {
     "c7_confidence": with_views(
         """SELECT qid, CASE WHEN max(score) >= 0.75 THEN 'high' WHEN max(score) >= 0.55 THEN 'medium'
              ELSE 'low' END AS confidence FROM hits GROUP BY qid""",
-        "vector_chunks",
-        hits=sql_vector_hits(3),
+        "vector_index",
+        hits=sql_vector_hits(3, source="vector_index"),
     ),
     "c8_checked_questions": f"""
         SELECT conv_id, turn, query FROM (SELECT conv_id, turn, {_TRIM.format('text')} AS query FROM conversations)

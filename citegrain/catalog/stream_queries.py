@@ -42,8 +42,7 @@ def _windows(s: SparkSession, d: str, window: str, slide: str | None, make) -> D
     )
     rows = s.read.parquet(f"{out}/windows").drop("batch")
     shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
-    shown |= {c: F.round(c, 6) for c in ("error_rate",)}
-    shown |= {c: F.round(c, 3) for c in ("avg_ms", "p50_ms", "p95_ms")}
+    shown |= {c: F.round(c, 6) for c in ("error_rate", "avg_ms", "p50_ms", "p95_ms")}
     shown |= {c: F.col(c).cast("int") for c in ("pass_error", "pass_latency", "passed") if c in rows.columns}
     return rows.withColumns(shown)
 
@@ -96,8 +95,8 @@ def _window_sql(hours: int, slide_hours: int, verdict: bool = False) -> str:
     text = "strftime(make_timestamp(CAST({0} AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
     return with_views(
         f"""SELECT {text.format('start')} AS window_start, {text.format(f'start + {hours * 3600}')} AS window_end,
-              endpoint, requests, errors, round(error_rate, 6) AS error_rate, round(mean, 3) AS avg_ms,
-              round(p50, 3) AS p50_ms, round(p95, 3) AS p95_ms {more}
+              endpoint, requests, errors, round(error_rate, 6) AS error_rate, round(mean, 6) AS avg_ms,
+              round(p50, 6) AS p50_ms, round(p95, 6) AS p95_ms {more}
             FROM (SELECT start, endpoint, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors,
                     count(*) FILTER (status_code >= 400) / count(*) AS error_rate, avg(latency_ms) AS mean,
                     quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95

@@ -136,6 +136,10 @@ SQL_VIEWS: dict[str, str] = {
         SELECT 'topic' || e.label || '.txt' AS doc_name, e.vec_id AS chunk_id, d.text,
           CAST(e.embedding AS DOUBLE[]) AS embedding
         FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""",
+    "vector_index": """
+        SELECT 'topic' || label || '.txt' AS doc_name, vec_id AS chunk_id, '' AS text,
+          CAST(embedding AS DOUBLE[]) AS embedding
+        FROM embeddings""",
     "vector_questions": f"""
         SELECT e.vec_id AS qid,
           'what in ' || d.source || ' (' || d.lang || ') is like number ' || e.vec_id AS query,
