@@ -55,7 +55,7 @@ def test_bins_never_fall(spark):
     assert bins == sorted(bins) and None not in bins
 
 
-def test_reference_example(spark):
+def test_small_log_by_hand(spark):
     log = spark.createDataFrame([(1.0, 200), (2.0, 200), (3.0, 500), (10.0, 200)], "latency_ms double, status_code long")
     row = logs.slo_check(log, max_error_rate=0.25, max_p95_ms=8.95).first()
     assert row.p95_ms == pytest.approx(8.95) and row.error_rate == 0.25 and row.pass_error
