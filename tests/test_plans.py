@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from citegrain.catalog import registry
 from citegrain.catalog.views import request_log, vector_index, vector_questions
 from citegrain.operators import logs, vectors
 
@@ -13,11 +13,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", registry.queries())
 def test_no_cross_join(spark, name):
     if name.startswith(("k", "a5")):
         pytest.skip("runs as a stream")
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    plan = plan_of(registry.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 

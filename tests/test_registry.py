@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from citegrain.catalog import registry
 from tests.compare import difference, duck
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +15,10 @@ def con():
     return duck(SF_DIR)
 
 
+def test_every_query_is_offered():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
 
