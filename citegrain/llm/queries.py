@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import decontaminate, mixture, sharding, simhash, toxicity
+from citegrain.llm import decontaminate, mixture, ngram_bloom, sharding, simhash, sketches, toxicity, url_rules
 from citegrain.llm.common import read
 
 
@@ -39,8 +39,31 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The rules that the URL query applies: host, path, verdict.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judged(read(spark, sf_dir, "pages"), rules)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.with_neighbours(read(spark, sf_dir, "documents"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_bloom.scored(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_toxicity, op5_shard, op6_simhash)
+    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_toxicity, op5_shard, op6_simhash, op7_url_filter, op8_fingerprints, op9_lm_scores)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,4 +128,18 @@ SQL: dict[str, str] = {
           SELECT doc_id, sum(size) AS taken FROM copies WHERE running <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
         SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
         FROM queue LEFT JOIN taken USING (doc_id)""",
+    "op7_url_filter": r"""
+        WITH urls AS (
+          SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+          FROM pages),
+        rules AS (
+          SELECT * FROM (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+            ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) AS r(rule_host, rule_path, verdict)),
+        fits AS (
+          SELECT page_id, rule_host || rule_path AS rule, verdict,
+            row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, rule_host || rule_path DESC) AS nth
+          FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM urls LEFT JOIN (SELECT * FROM fits WHERE nth = 1) USING (page_id)""",
 }
