@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import decontaminate, mixture, ngram_bloom, sharding, simhash, sketches, toxicity, url_rules
+from citegrain.llm import decontaminate, mixture, ngram_bloom, sharding, simhash, sketches, toxicity, transcripts, url_rules
 from citegrain.llm.common import read
 
 
@@ -62,8 +62,30 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_bloom.scored(read(spark, sf_dir, "documents"))
 
 
+def raw_transcripts(turns: DataFrame) -> DataFrame:
+    """Turns as pieces of raw transcripts: each conversation in one of four styles of speaker markers,
+    a seventh of the pieces without any."""
+    role = F.col("role")
+    human = F.when(role == "user", "Human").when(role == "assistant", "AI").otherwise("Instructions")
+    styles = F.array(
+        F.concat(F.initcap(role), F.lit(": ")), F.concat(F.lit("### "), human, F.lit(":\n")),
+        F.concat(F.lit("<|im_start|>"), role, F.lit("\n")), F.concat(F.lit("**"), human, F.lit(":** ")),
+    )
+    marker = F.when((F.col("conv_id") + F.col("turn")) % 7 == 3, "").otherwise(F.get(styles, F.pmod("conv_id", F.lit(4)).cast("int")))
+    return turns.withColumn("text", F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit(""))))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles recovered from transcripts written out of the given turns, and the turns rendered."""
+    raw = raw_transcripts(read(spark, sf_dir, "conversations"))
+    held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = transcripts.fit(raw.filter(~held_out))
+    rows = transcripts.parsed(raw.select("conv_id", "turn", "text"), model)
+    return rows.select("conv_id", "turn", held_out.alias("held_out"), "role", "opens", "n_lines", "n_turns", "rendered")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_toxicity, op5_shard, op6_simhash, op7_url_filter, op8_fingerprints, op9_lm_scores)
+    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_toxicity, op5_shard, op6_simhash, op7_url_filter, op8_fingerprints, op9_lm_scores, op10_chat_format)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
