@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import decontaminate, mixture, ngram_bloom, sharding, simhash, sketches, toxicity, transcripts, url_rules
+from citegrain.llm import decontaminate, mixture, ngram_bloom, sharding, simhash, sketches, suffixes, toxicity, transcripts, url_rules
 from citegrain.llm.common import read
 
 
@@ -26,6 +26,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that another document holds too."""
+    return suffixes.repeated_spans(read(spark, sf_dir, "documents"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assigned(read(spark, sf_dir, "documents"), 8)
     return rows.select(
@@ -85,7 +90,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_toxicity, op5_shard, op6_simhash, op7_url_filter, op8_fingerprints, op9_lm_scores, op10_chat_format)
+    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_toxicity, op4_suffix_dedup, op5_shard, op6_simhash, op7_url_filter, op8_fingerprints, op9_lm_scores, op10_chat_format)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
