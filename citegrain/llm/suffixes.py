@@ -213,7 +213,8 @@ def repeated_spans(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
         shared = spark.sparkContext.broadcast(known)
     found = written(rows.mapInArrow(_contexts(shared), "doc bigint, at bigint, key bigint, before binary, behind binary"))
     entries = written(found.groupBy("key", "before", "behind").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
-    repeats = _repeats(entries).join(entries, ["key", "before", "behind"])
+    # written, so that a crowded entry's rows can be split among tasks when they meet it
+    repeats = written(_repeats(entries).join(entries, ["key", "before", "behind"]))
     other = F.coalesce(F.when(F.col("low") != F.col("doc"), F.col("low")), F.when(F.col("high") != F.col("doc"), F.col("high")), F.col("other"))
     spans = found.join(repeats, ["key", "before", "behind"]).select(
         "doc", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + KEY + F.col("right")).alias("end"), other.alias("other")
