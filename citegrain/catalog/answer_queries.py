@@ -1,7 +1,8 @@
 """Prompts, answer records, retrieval evaluation, run comparison and answer quality.
 
-Questions are the vectors of `embeddings`, hits their nearest others, and a response takes
-its status, latency and error from the event of the question's number.
+Questions are the vectors of `embeddings`, hits their nearest others among all documents and vectors.
+Every event belongs to a question, counted round; a response takes its status, latency and error from
+its question's last event, and one without an event is a failure.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from citegrain.catalog.views import (
 from citegrain.functions import text as tx
 from citegrain.functions import values as vl
 from citegrain.operators import answers, compare, quality, retrieval_eval
-from citegrain.plans.workdir import written
+from citegrain.plans.workdir import shared_dir, written
+from citegrain.sources.documents import read_labelled_set, write_detail
+from citegrain.sources.responses import parse_responses
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -42,13 +45,17 @@ def _records(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
 
 
 def _responses(records: DataFrame, s: SparkSession, d: str) -> DataFrame:
-    served = request_log(s, d).select(
-        F.col("event_id").alias("qid"), F.col("status_code").alias("http_status"), "latency_ms", "error"
-    )
-    ok = F.col("http_status") == 200
+    log, n_questions = request_log(s, d), table(s, d, "embeddings").count()
+    last = F.max(F.struct("event_id", "status_code", "latency_ms", "error")).alias("last")
+    served = log.groupBy((F.col("event_id") % n_questions).alias("qid")).agg(last)
+    ok = F.col("last.status_code") == 200
     body = ("answer", "confidence", "prompt_style", "citations", "sources")
-    return records.join(served, "qid").select(
-        "qid", "http_status", "latency_ms", "error", *[F.when(ok, F.col(c)).alias(c) for c in body]
+    return records.join(served, "qid", "left").select(
+        "qid",
+        F.coalesce("last.status_code", F.lit(0)).cast("bigint").alias("http_status"),
+        F.coalesce("last.latency_ms", F.lit(0.0)).alias("latency_ms"),
+        F.coalesce("last.error", F.lit("")).alias("error"),
+        *[F.when(ok, F.col(c)).alias(c) for c in body],
     )
 
 
@@ -91,7 +98,10 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 def _quality_runs(s: SparkSession, d: str) -> DataFrame:
     """Two runs: one with its own citations, one still citing the short vectors' hits."""
     records = written(_records(s, d, vector_hits(s, d)))
-    stale = _records(s, d, vector_hits(s, d, short=True)).select("qid", F.col("citations").alias("old"))
+    # only labels are stale, so the old run's hits need no texts
+    label = F.struct("rank", tx.chunk_label("doc_name", "chunk_id").alias("label"))
+    old_hits = vector_hits(s, d, short=True, attach=()).groupBy("qid").agg(F.array_sort(F.collect_list(label)).alias("old"))
+    stale = old_hits.withColumn("old", F.transform("old", lambda x: x["label"]))
     fresh = _responses(records, s, d).withColumn("tag", F.lit("fresh"))
     old = (
         _responses(records.join(stale, "qid").withColumn("citations", F.col("old")), s, d)
@@ -100,6 +110,27 @@ def _quality_runs(s: SparkSession, d: str) -> DataFrame:
     return fresh.unionByName(old)
 
 
+def _from_bodies(s: SparkSession, d: str) -> DataFrame:
+    """Fresh responses as JSON bodies, some broken, some with lists that are none; read back and scored."""
+    told = _responses(written(_records(s, d, vector_hits(s, d))), s, d)
+    kind = F.col("qid") % 5
+    body = F.to_json(F.struct("answer", "confidence", "prompt_style", "citations", "sources"))
+    odd = F.to_json(F.struct("answer", "confidence", F.lit("none").alias("citations"), F.lit(3).alias("sources")))
+    body = F.when(kind == 0, F.lit("{broken")).when(kind == 1, odd).otherwise(body)
+    bodies = written(told.select("qid", "http_status", "latency_ms", "error", F.when(F.col("http_status") == 200, body).alias("body")))
+    return quality.quality_rows(quality.quality_detail(_questions(s, d), parse_responses(bodies)))
+
+
+def _deltas_from_files(s: SparkSession, d: str) -> DataFrame:
+    """Both runs' detail tables written as CSV and read back; the files' order says which row is last."""
+    read = []
+    for run in _two_runs(s, d):
+        out = shared_dir(s)
+        write_detail(run.orderBy("seq").drop("seq"), out)
+        read.append(read_labelled_set(s, out, sequence="seq"))
+    return _shown_deltas(compare.paired_deltas(*read, "seq"))
+
+
 def _quality_detail(s: SparkSession, d: str) -> DataFrame:
     return quality.quality_detail(_questions(s, d), _quality_runs(s, d), extra=["tag"])
 
@@ -131,7 +162,7 @@ def _flat_record(df: DataFrame) -> DataFrame:
 
 
 def _echoed(s: SparkSession, d: str) -> DataFrame:
-    turns = table(s, d, "conversations").filter(F.col("role") == "user")
+    turns = table(s, d, "conversations")
     return turns.select("conv_id", "turn", answers.echo_prompt(F.col("text")).alias("answer"))
 
 
@@ -211,6 +242,7 @@ QUERIES = {
         "id", "seq", "search_docs", "keyword_recall"
     ),
     "g3_g4_paired_deltas": lambda s, d: _shown_deltas(_deltas(s, d)),
+    "g3_deltas_from_files": _deltas_from_files,
     "g5_change_counts": lambda s, d: compare.change_counts(_deltas(s, d)),
     "g5_regressed": lambda s, d: _shown_deltas(compare.with_change(_deltas(s, d), "regressed")),
     "g6_retrieval_metrics": lambda s, d: _rounded(
@@ -224,6 +256,7 @@ QUERIES = {
     "g6_quality_metrics": lambda s, d: _rounded(_quality_metrics(s, d), "delta"),
     "g7_recommendation": lambda s, d: compare.recommendation(_quality_metrics(s, d)),
     "i1_to_i6_quality_detail": lambda s, d: quality.quality_rows(_quality_detail(s, d)),
+    "i1_to_i6_from_bodies": _from_bodies,
     "i7_quality_summary": lambda s, d: quality.quality_summary(_quality_detail(s, d)),
     "i7_quality_by_style_and_tag": lambda s, d: quality.quality_summary(
         _quality_detail(s, d), ["prompt_style_resp", "tag"]
@@ -275,7 +308,12 @@ def _sql_records(hits: str) -> str:
 
 
 _EVENTS = """
-    SELECT event_id AS qid, status_code AS http_status, latency_ms, error AS err FROM request_log"""
+    SELECT vec_id AS qid, CAST(coalesce(status_code, 0) AS BIGINT) AS http_status, coalesce(latency_ms, 0) AS latency_ms,
+      coalesce(error, '') AS err
+    FROM embeddings LEFT JOIN (
+      SELECT event_id % (SELECT count(*) FROM embeddings) AS vec_id, arg_max(status_code, event_id) AS status_code,
+        arg_max(latency_ms, event_id) AS latency_ms, arg_max(error, event_id) AS error
+      FROM request_log GROUP BY ALL) USING (vec_id)"""
 
 
 def _sql_recall(answer: str, keywords: str) -> str:
@@ -396,7 +434,7 @@ SQL = {
         records=_sql_records("hits"),
     ),
     "e8_echo_generator": """
-        SELECT conv_id, turn, '[echo] ' || text AS answer FROM conversations WHERE role = 'user'""",
+        SELECT conv_id, turn, '[echo] ' || text AS answer FROM conversations""",
     "e8_plugged_generator": with_views(
         """SELECT qid, 'one-line' AS provider, prompt_style,
              md5('[one line] ' || replace(prompt, chr(10), ' ')) AS answer_md5 FROM prompts""",
@@ -433,6 +471,7 @@ SQL = {
            FROM rerun QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"""
     ),
     "g3_g4_paired_deltas": _over_runs(_SHOWN_DELTAS),
+    "g3_deltas_from_files": _over_runs(_SHOWN_DELTAS),
     "g5_change_counts": _over_runs(
         """SELECT count(*) FILTER (change = 'improved') AS improved,
              count(*) FILTER (change = 'regressed') AS regressed,
@@ -467,6 +506,19 @@ SQL = {
     "i1_to_i6_quality_detail": _over_runs(
         "SELECT * REPLACE (round(keyword_recall, 3) AS keyword_recall) FROM quality"
     ),
+    "i1_to_i6_from_bodies": _over_runs(
+        """SELECT id, query, expected_doc, http_status, latency_ms,
+             CASE WHEN id % 5 = 0 THEN 0 ELSE format_ok END AS format_ok,
+             CASE WHEN id % 5 < 2 THEN 0 ELSE citation_compliant END AS citation_compliant,
+             CASE WHEN id % 5 < 2 THEN 0 ELSE expected_doc_cited END AS expected_doc_cited,
+             CASE WHEN id % 5 = 0 THEN 0 ELSE round(keyword_recall, 3) END AS keyword_recall,
+             CASE WHEN id % 5 = 0 THEN '' ELSE confidence END AS confidence,
+             CASE WHEN id % 5 < 2 THEN '' ELSE prompt_style_resp END AS prompt_style_resp,
+             CASE WHEN id % 5 < 2 THEN '' ELSE citations END AS citations,
+             CASE WHEN id % 5 < 2 THEN '' ELSE source_labels END AS source_labels,
+             CASE WHEN id % 5 = 0 THEN '' ELSE answer_preview END AS answer_preview, error
+           FROM quality WHERE tag = 'fresh'"""
+    ),
     "i7_quality_summary": _over_runs(f"SELECT {_QUALITY_RATES} FROM quality"),
     "i7_quality_by_style_and_tag": _over_runs(
         f"SELECT prompt_style_resp, tag, {_QUALITY_RATES} FROM quality GROUP BY ALL"

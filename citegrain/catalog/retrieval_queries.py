@@ -38,19 +38,19 @@ def shortened(df: DataFrame, dimensions: int = 32) -> DataFrame:
     return df.withColumn("embedding", vectors.normalized(F.slice("embedding", 1, dimensions)))
 
 
-def vector_hits(s: SparkSession, d: str, top_k: int = 3, short: bool = False) -> DataFrame:
+def vector_hits(s: SparkSession, d: str, top_k: int = 3, short: bool = False, attach=("text",)) -> DataFrame:
     questions, index = vector_questions(s, d), vector_chunks(s, d)
     if short:
         questions, index = shortened(questions), shortened(index)
-    return without_self(vectors.top_k_chunks(questions, index, top_k + 1, attach=["text"]), top_k)
+    return without_self(vectors.top_k_chunks(questions, index, top_k + 1, attach=attach), top_k)
 
 
-def _bare_hits(s: SparkSession, d: str, top_k: int, short: bool = False) -> DataFrame:
+def _bare_hits(s: SparkSession, d: str, top_k: int, short: bool = False, **how: int) -> DataFrame:
     asked = table(s, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
     index = vector_index(s, d)
     if short:
         asked, index = shortened(asked), shortened(index)
-    return without_self(vectors.top_k_chunks(asked, index, top_k + 1), top_k)
+    return without_self(vectors.top_k_chunks(asked, index, top_k + 1, **how), top_k)
 
 
 def _scored(hits: DataFrame) -> DataFrame:
@@ -131,6 +131,7 @@ QUERIES = {
     "c3_c4_search_one_vector": _even_direction,
     "c5_top_k_chunks": lambda s, d: _scored(_bare_hits(s, d, 3)),
     "c5_top_k_chunks_short_vectors": lambda s, d: _scored(_bare_hits(s, d, 5, short=True)),
+    "c5_top_k_in_blocks": lambda s, d: _scored(_bare_hits(s, d, 3, max_broadcast=100)),
     "c6_hit_rows": lambda s, d: vectors.hit_rows(vector_hits(s, d)),
     "c7_confidence": lambda s, d: vectors.confidence(
         table(s, d, "embeddings").select(F.col("vec_id").alias("qid")), _bare_hits(s, d, 3)
@@ -168,15 +169,16 @@ SQL_SHORT = """list_transform(embedding[1:32], lambda x:
 
 
 def sql_vector_hits(top_k: int, short: bool = False, source: str = "vector_chunks") -> str:
-    """Leave-one-out hits from all scores of the view *source*."""
+    """Leave-one-out hits of every vector from all scores of the view *source*."""
     vector = SQL_SHORT if short else "embedding"
+    asked = f"(SELECT vec_id AS chunk_id, {vector} AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings))"
     return f"""
         SELECT qid, rank, doc_name, chunk_id, score, text
         FROM (SELECT q.chunk_id AS qid, c.doc_name, c.chunk_id, c.text,
                 list_dot_product(q.v, c.v) AS score,
                 CAST(row_number() OVER (PARTITION BY q.chunk_id
                   ORDER BY list_dot_product(q.v, c.v) DESC, c.doc_name, c.chunk_id) AS INT) AS rank
-              FROM (SELECT chunk_id, {vector} AS v FROM {source}) q
+              FROM {asked} q
               JOIN (SELECT doc_name, chunk_id, text, {vector} AS v FROM {source}) c
                 ON q.chunk_id <> c.chunk_id)
         WHERE rank <= {top_k}"""
@@ -341,6 +343,11 @@ SQL = {
         "vector_index",
         hits=sql_vector_hits(3, source="vector_index"),
     ),
+    "c5_top_k_in_blocks": with_views(
+        "SELECT qid, rank, doc_name, chunk_id, round(score, 6) AS score FROM hits",
+        "vector_index",
+        hits=sql_vector_hits(3, source="vector_index"),
+    ),
     "c5_top_k_chunks_short_vectors": with_views(
         "SELECT qid, rank, doc_name, chunk_id, round(score, 6) AS score FROM hits",
         "vector_index",

@@ -14,10 +14,19 @@ from citegrain.streaming import ingest, metrics
 from citegrain.streaming.reuse import mark_stream_reuse
 
 
+#: Micro-batches that the events come in, by time.
+BATCHES = 4
+
+
 def requests(s: SparkSession, d: str) -> DataFrame:
-    # a glob fits both a single file and a folder of files
-    events = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
-    return request_log_of(events)
+    """The events as a stream, a file and a micro-batch for each stretch of time."""
+    events, out = table(s, d, "events"), shared_dir(s)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(F.percentile_approx(at, [i / BATCHES for i in range(1, BATCHES)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):  # one after the other, since the source goes by file time
+        part = events if low is None else events.filter(at > low)
+        (part if high is None else part.filter(at <= high)).coalesce(1).write.mode("append").parquet(out)
+    return request_log_of(s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(out))
 
 
 def _finished(query) -> None:

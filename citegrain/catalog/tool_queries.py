@@ -13,17 +13,19 @@ from citegrain.plans.workdir import written
 
 def tool_queries(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("qid"), F.col("text").alias("query")
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("qid"), F.col("text").alias("query"),
+        F.col("doc_id").alias("number"),
     )
     turns = table(s, d, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("qid"),
         F.col("text").alias("query"),
+        F.col("conv_id").alias("number"),
     )
     return docs.unionByName(turns)
 
 
 def _steps(s: SparkSession, d: str) -> DataFrame:
-    return tools.step_rows(tools.plan_tool_calls(tool_queries(s, d)))
+    return tools.step_rows(tools.plan_tool_calls(tool_queries(s, d).drop("number")))
 
 
 def _shown_steps(s: SparkSession, d: str) -> DataFrame:
@@ -62,27 +64,24 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     # planned once: the texts are long, and three things read the few steps
     steps = written(_steps(s, d))
     results = tools.search_results(steps, corpus(s, d)).unionByName(_calculated(steps))
-    return tools.roll_up(tool_queries(s, d), tools.with_results(steps, results))
+    return tools.roll_up(tool_queries(s, d).select("qid", "query"), tools.with_results(steps, results))
 
 
 def _tool_detail(s: SparkSession, d: str) -> DataFrame:
-    """Expected tools follow the labels; status and latency come from the event of the document's number."""
+    """Expected tools follow the label of the document's or conversation's number, status and latency its
+    event; what has no label expects no tool, and what has no event is a failure."""
     labels = table(s, d, "labels").select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("qid"),
-        F.when(F.col("toxic") == 1, " calculator | search_docs ").when(F.col("quality") == 1, "search_docs").otherwise("").alias("expected_tools"),
+        F.col("doc_id").alias("number"),
+        F.when(F.col("toxic") == 1, " calculator | search_docs ").when(F.col("quality") == 1, "search_docs").alias("expected_tools"),
     )
-    questions = (
-        tool_queries(s, d)
-        .join(labels, "qid")
-        .withColumn("expected_keywords", F.lit("score=3; result ;"))
+    asked = tool_queries(s, d)
+    questions = asked.join(labels, "number", "left").withColumns(
+        {"expected_tools": F.coalesce("expected_tools", F.lit("")), "expected_keywords": F.lit("score=3; result ;")}
     )
     served = request_log(s, d).select(
-        F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("qid"),
-        F.col("status_code").alias("http_status"),
-        "latency_ms",
-        "error",
+        F.col("event_id").alias("number"), F.col("status_code").alias("http_status"), "latency_ms", "error"
     )
-    return tools.tool_eval_detail(questions, _answers(s, d).join(served, "qid"))
+    return tools.tool_eval_detail(questions, _answers(s, d).join(asked.select("qid", "number"), "qid").join(served, "number", "left"))
 
 
 QUERIES = {
@@ -94,7 +93,7 @@ QUERIES = {
     ),
     "j4_planned_steps": _shown_steps,
     "j4_one_step_plan": lambda s, d: tools.step_rows(
-        tools.plan_tool_calls(tools.checked_requests(tool_queries(s, d), 1), max_steps=1)
+        tools.plan_tool_calls(tools.checked_requests(tool_queries(s, d).drop("number"), 1), max_steps=1)
     ).groupBy("tool", "step").agg(F.count("*").alias("n")),
     "j5_trace_answers": lambda s, d: _answers(s, d).select(
         "qid", F.array_join("used_tools", "|").alias("used_tools"), "final_answer"
@@ -104,8 +103,8 @@ QUERIES = {
 }
 
 _QUERIES = """
-    SELECT 'd' || doc_id AS qid, text AS query FROM documents
-    UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations"""
+    SELECT 'd' || doc_id AS qid, text AS query, doc_id AS number FROM documents
+    UNION ALL SELECT 'c' || conv_id || '-' || turn, text, conv_id FROM conversations"""
 
 
 def _words(text: str, words: tuple[str, ...]) -> str:
@@ -142,7 +141,7 @@ _TOLD = f"""
     WHERE s.tool = 'search_docs' GROUP BY s.qid, s.step, s.tool"""
 
 _ANSWERS = f"""
-    SELECT q.qid, q.query, coalesce(t.used, '') AS used_tools, coalesce(t.said, '{tools.NO_TOOL_ANSWER}') AS final_answer
+    SELECT q.qid, q.query, q.number, coalesce(t.used, '') AS used_tools, coalesce(t.said, '{tools.NO_TOOL_ANSWER}') AS final_answer
     FROM tool_queries q LEFT JOIN (
       SELECT qid, string_agg(tool, '|' ORDER BY step) AS used, string_agg(said, '{tools.SUMMARY_JOIN}' ORDER BY step) AS said
       FROM told GROUP BY qid) t ON t.qid = q.qid"""
@@ -154,10 +153,12 @@ _DETAIL = f"""
       CAST(ok AND CASE WHEN toxic = 1 THEN a.used_tools = 'calculator|search_docs'
         WHEN quality = 1 THEN contains(a.used_tools, 'search_docs') ELSE false END AS INT) AS tool_match,
       CAST(ok AND (contains(a.final_answer, 'score=3') OR contains(a.final_answer, 'result')) AS INT) AS keyword_hit,
-      status_code AS http_status, round(latency_ms, 3) AS latency_ms,
-      CASE WHEN ok THEN substr(replace(a.final_answer, chr(10), ' '), 1, 220) ELSE '' END AS final_answer, error
-    FROM answers a JOIN labels l ON a.qid = 'd' || l.doc_id
-    JOIN (SELECT *, status_code = 200 AS ok FROM request_log) r ON a.qid = 'd' || r.event_id"""
+      CAST(coalesce(status_code, 0) AS BIGINT) AS http_status, round(coalesce(latency_ms, 0), 3) AS latency_ms,
+      CASE WHEN ok THEN substr(replace(a.final_answer, chr(10), ' '), 1, 220) ELSE '' END AS final_answer,
+      coalesce(error, '') AS error
+    FROM (SELECT a.*, r.status_code, r.latency_ms, r.error, coalesce(r.status_code = 200, false) AS ok
+          FROM answers a LEFT JOIN request_log r ON r.event_id = a.number) a
+    LEFT JOIN labels l ON l.doc_id = a.number"""
 
 _VIEWS = {
     "tool_queries": _QUERIES,

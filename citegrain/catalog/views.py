@@ -63,16 +63,32 @@ def topic_name(label):
     return F.concat(F.lit("topic"), label.cast("string"), F.lit(".txt"))
 
 
+def turned(vector, steps):
+    """The vector's numbers moved round by *steps* places, which keeps its length."""
+    return F.concat(F.slice(vector, steps + 1, F.size(vector) - steps), F.slice(vector, 1, steps))
+
+
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as a chunk: its label is the document, its text the document of that number."""
-    vectors = table(spark, sf_dir, "embeddings")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return vectors.join(texts, "vec_id").select(
-        topic_name(F.col("label")).alias("doc_name"),
-        F.col("vec_id").alias("chunk_id"),
-        "text",
-        F.col("embedding"),
+    """Every document and every vector as a chunk.
+
+    A document has the vector of its number, counted round if there are fewer vectors and then
+    turned by a place each time round; vectors beyond the documents have the text of a document, counted
+    round. The vector's label names the chunk's document.
+    """
+    vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_vectors, n_docs = vectors.count(), docs.count()
+    counted = docs.withColumns(
+        {"vec_id": F.col("doc_id") % n_vectors, "round": (F.floor(F.col("doc_id") / n_vectors) % 64).cast("int")}
     )
+    of_docs = counted.join(vectors, "vec_id", "left").select(
+        topic_name(F.col("label")).alias("doc_name"), F.col("doc_id").alias("chunk_id"), "text",
+        turned(F.col("embedding"), F.col("round")).alias("embedding"),
+    )
+    beyond = vectors.filter(F.col("vec_id") >= n_docs).withColumn("doc_id", F.col("vec_id") % n_docs)
+    of_vectors = beyond.join(docs, "doc_id", "left").select(
+        topic_name(F.col("label")).alias("doc_name"), F.col("vec_id").alias("chunk_id"), "text", "embedding"
+    )
+    return of_docs.unionByName(of_vectors)
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +98,11 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as a question whose expected document is its label."""
+    """Each vector as a question whose expected document is its label, worded by a document."""
     vectors = table(spark, sf_dir, "embeddings")
-    texts = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("vec_id"), "text", "lang", "source"
-    )
-    return vectors.join(texts, "vec_id").select(
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counted = vectors.withColumn("doc_id", F.col("vec_id") % texts.count())
+    return counted.join(texts, "doc_id", "left").select(
         F.col("vec_id").alias("qid"),
         F.concat(F.lit("what in "), "source", F.lit(" ("), "lang", F.lit(") is like number "), F.col("vec_id").cast("string")).alias("query"),
         F.when(F.col("lang") == "en", " V2 ").when(F.col("lang") == "fr", "v1").otherwise("other").alias("style"),
@@ -133,9 +148,15 @@ SQL_VIEWS: dict[str, str] = {
         SELECT 'doc' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt' AS doc_name, text
         FROM documents""",
     "vector_chunks": """
-        SELECT 'topic' || e.label || '.txt' AS doc_name, e.vec_id AS chunk_id, d.text,
-          CAST(e.embedding AS DOUBLE[]) AS embedding
-        FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""",
+        SELECT 'topic' || e.label || '.txt' AS doc_name, d.doc_id AS chunk_id, d.text,
+          CAST(list_concat(e.embedding[d.round + 1:], e.embedding[1:d.round]) AS DOUBLE[]) AS embedding
+        FROM (SELECT doc_id, text, doc_id % (SELECT count(*) FROM embeddings) AS vec_id,
+                doc_id // (SELECT count(*) FROM embeddings) % 64 AS round FROM documents) d
+        JOIN embeddings e ON e.vec_id = d.vec_id
+        UNION ALL
+        SELECT 'topic' || e.label || '.txt', e.vec_id, d.text, CAST(e.embedding AS DOUBLE[])
+        FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)
+        WHERE e.vec_id >= (SELECT count(*) FROM documents)""",
     "vector_index": """
         SELECT 'topic' || label || '.txt' AS doc_name, vec_id AS chunk_id, '' AS text,
           CAST(embedding AS DOUBLE[]) AS embedding
@@ -147,7 +168,7 @@ SQL_VIEWS: dict[str, str] = {
           'topic' || e.label || '.txt' AS expected_doc,
           TOKENS_OF_TEXT AS expected_keywords,
           CAST(e.embedding AS DOUBLE[]) AS embedding
-        FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""",
+        FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)""",
     "conversation_answers": """
         SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer,
           TOKENS_OF_TEXT AS expected_keywords

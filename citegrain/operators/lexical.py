@@ -84,21 +84,22 @@ def search_documents(
     query: str = "query",
     carry: Sequence[str] = (),
     max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-    **blocks: int,
 ) -> DataFrame:
     """The best documents of every question: score falling, then document name.
 
     Documents without any common token are eligible, with score 0; an empty corpus gives no
-    rows. A *top_k* below 1 counts as 1. ``snippet`` is the head of the stripped text.
+    rows. A *top_k* below 1 counts as 1. ``snippet`` is the head of the stripped text. A NULL text
+    or query has no tokens.
     """
+    none = F.array().cast("array<string>")
     bags = documents.select(
         "doc_name",
-        F.array_distinct(tokens("text")).alias("tokens"),
-        hard_preview(strip("text"), SNIPPET_CHARS).alias("snippet"),
+        F.coalesce(F.array_distinct(tokens("text")), none).alias("tokens"),
+        F.coalesce(hard_preview(strip("text"), SNIPPET_CHARS), F.lit("")).alias("snippet"),
         *carry,
     )
     hits = blocked_top_k(
-        questions.select(key, tokens(query).alias("tokens")),
+        questions.select(key, F.coalesce(tokens(query), none).alias("tokens")),
         bags,
         max(1, top_k),
         overlap_scorer,
@@ -107,6 +108,5 @@ def search_documents(
         values="tokens",
         carry=("snippet", *carry),
         max_broadcast=max_broadcast,
-        **blocks,
     )
     return hits.withColumn("score", F.col("score").cast("bigint"))

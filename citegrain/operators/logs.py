@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citegrain.functions.text import strip
 from citegrain.functions.values import ratio
 from citegrain.plans.percentiles import value_profile
+from citegrain.sources.request_log import LOG_ORDER
 
 # Default service-level targets, ranking sizes and the latency window.
 MAX_ERROR_RATE = 0.02
@@ -101,14 +102,27 @@ def approximate_latency_stats(
     )
 
 
-def recent_requests(log: DataFrame, order: Sequence[str], last_n: int = RECENT_REQUESTS) -> DataFrame:
-    return log.orderBy(*[F.desc(c) for c in order]).limit(last_n)
+def log_order(log: DataFrame, order: Sequence[str] | None = None) -> list[str]:
+    """The columns that put a log in order: the given ones, else those of a log read from files, else time
+    and event number, as far as the log has them."""
+    if order:
+        return list(order)
+    if set(LOG_ORDER) <= set(log.columns):
+        return list(LOG_ORDER)
+    return [c for c in ("ts", "event_id") if c in log.columns]
+
+
+def recent_requests(
+    log: DataFrame, order: Sequence[str] | None = None, last_n: int = RECENT_REQUESTS
+) -> DataFrame:
+    return log.orderBy(*[F.desc(c) for c in log_order(log, order)]).limit(last_n)
 
 
 def recent_latency_stats(
-    log: DataFrame, order: Sequence[str] = ("ts", "event_id"), last_n: int = RECENT_REQUESTS
+    log: DataFrame, order: Sequence[str] | None = None, last_n: int = RECENT_REQUESTS
 ) -> DataFrame:
     """Mean, p50 and p95 over the last *last_n* requests only, a window of fixed size."""
+    order = log_order(log, order)
     points = F.percentile("latency_ms", [0.5, 0.95])
     return (
         recent_requests(log.select(*order, "latency_ms"), order, last_n)
@@ -150,16 +164,18 @@ def time_range(log: DataFrame) -> DataFrame:
 
 
 def slowest_requests(
-    log: DataFrame, top_n: int = TOP_N, order: Sequence[str] = ("ts", "event_id")
+    log: DataFrame, top_n: int = TOP_N, order: Sequence[str] | None = None
 ) -> DataFrame:
+    order = log_order(log, order)
     columns = dict.fromkeys([*order, "ts", "endpoint", "status_code", "latency_ms", "query"])
     return log.select(*columns).orderBy(F.desc("latency_ms"), *order).limit(top_n)
 
 
 def error_samples(
-    log: DataFrame, top_n: int = TOP_N, order: Sequence[str] = ("ts", "event_id")
+    log: DataFrame, top_n: int = TOP_N, order: Sequence[str] | None = None
 ) -> DataFrame:
     """The first errors in log order; ``|`` in a message becomes ``/`` to fit a table cell."""
+    order = log_order(log, order)
     columns = dict.fromkeys([*order, "ts", "endpoint", "status_code", "error", "query"])
     return (
         log.filter(is_error())
@@ -171,7 +187,7 @@ def error_samples(
 
 
 def log_summary(
-    log: DataFrame, order: Sequence[str] = ("ts", "event_id"), last_n: int = RECENT_REQUESTS
+    log: DataFrame, order: Sequence[str] | None = None, last_n: int = RECENT_REQUESTS
 ) -> DataFrame:
     """Totals over the whole log and latency over its last requests, in one row.
 
@@ -195,17 +211,18 @@ def log_summary(
 
 
 def log_report(log: DataFrame, percentiles: Sequence[float] = (50, 95)) -> DataFrame:
-    """Head of the offline report: totals and latency over the whole log, and its time range."""
+    """Head of the offline report: totals and latency over the whole log, and its time range, in one read."""
     profile = value_profile(
-        log.withColumn("failed", is_error()), "latency_ms", percentiles, errors="failed"
-    ).select(
+        log.withColumn("failed", is_error()), "latency_ms", percentiles, errors="failed", spread="ts"
+    )
+    return profile.select(
         F.col("total").alias("total_requests"),
         F.col("errors").alias("total_errors"),
         F.round(ratio(F.col("errors"), F.col("total")), 4).alias("error_rate"),
         *_latency_columns(percentiles),
+        F.col("spread_min").alias("first_ts"),
+        F.col("spread_max").alias("last_ts"),
     )
-    both = profile.unionByName(time_range(log), allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def with_verdict(

@@ -72,22 +72,23 @@ def _beside(timed: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def _flag_others(
-    timed: DataFrame, marked: DataFrame, keys: Sequence[str], order: str, name: str
+    timed: DataFrame, marked: DataFrame, keys: Sequence[str], order: str | Sequence[str], name: str
 ) -> DataFrame:
     """Adds the flag *name*: false for the request at each *marked* ``(keys, _block, at)``.
 
     There is at most one mark per block. Of requests at the very time the first by *order* is
     meant.
     """
-    slim = timed.select(*keys, "_block", "_at", order)
+    place = F.struct(*([order] if isinstance(order, str) else order))
+    slim = timed.select(*keys, "_block", "_at", place.alias("_place"))
     first = (
         _beside(slim, marked.select(*keys, "_block", "at"), keys)
         .filter(F.col("_at") == F.col("at"))
         .groupBy(*[F.col(c).alias(f"_m_{c}") for c in [*keys, "_block"]])
-        .agg(F.min(order).alias("_m_id"))
+        .agg(F.min("_place").alias("_m_id"))
     )
     on = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in [*keys, "_block"]]
-    same = F.coalesce(F.col(order) == F.col("_m_id"), F.lit(False))
+    same = F.coalesce(place == F.col("_m_id"), F.lit(False))
     return (
         timed.join(first, on, "left")
         .withColumn(name, ~same & F.col("_at").isNotNull())
@@ -96,11 +97,15 @@ def _flag_others(
 
 
 def mark_repeats(
-    requests: DataFrame, keys: Sequence[str], ts: str = "ts", order: str = "event_id", ttl_sec: int = TTL_SEC
+    requests: DataFrame,
+    keys: Sequence[str],
+    ts: str = "ts",
+    order: str | Sequence[str] = "event_id",
+    ttl_sec: int = TTL_SEC,
 ) -> DataFrame:
     """Adds ``repeated``: another request with the key came at most *ttl_sec* earlier.
 
-    Requests at the same time follow *order*, a unique column.
+    Requests at the same time follow *order*, a column or columns that tell all requests apart.
     """
     timed = _timed(requests, ts, ttl_sec)
     starts = _blocks(timed, keys, ttl_sec * 1_000_000).filter("starts")
@@ -111,14 +116,14 @@ def mark_reuse(
     requests: DataFrame,
     keys: Sequence[str],
     ts: str = "ts",
-    order: str = "event_id",
+    order: str | Sequence[str] = "event_id",
     ttl_sec: int = TTL_SEC,
     small_session: int = SMALL_SESSION,
     fan_in: int | None = None,
 ) -> DataFrame:
     """Adds ``reused``: the request is answered by one stored at most *ttl_sec* earlier.
 
-    Requests at the same time follow *order*, a unique column. Exact for any number of rows
+    Requests at the same time follow *order*, a column or columns that tell all requests apart. Exact for any number of rows
     per key. *fan_in* blocks at a time meet in the tree of large sessions; by default as many
     as keep a task near STRETCH_ROWS rows, given the fullest block.
     """
@@ -152,7 +157,7 @@ def _instants(timed: DataFrame, blocks: DataFrame, keys: Sequence[str], *more: s
     slim = timed.select(*keys, "_block", "_at")
     return _beside(slim, blocks.select(*keys, "_block", "session", "starts", "at", *more), keys).filter(
         ~F.col("starts") | (F.col("_at") == F.col("at"))
-    )
+    ).select(*keys, "_block", "session", "_at", *more).distinct()
 
 
 def _chain_small(timed: DataFrame, blocks: DataFrame, keys: Sequence[str], ttl: int) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -36,10 +37,18 @@ def embed(
     *make_predict_fn* loads the model once per Python worker and returns a function from an
     array of texts to a matrix of vectors.
     """
-    model = predict_batch_udf(
-        make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
-    )
-    return df.withColumn(output, model(F.col(text))).withColumn(output, normalized(F.col(output)))
+    def make_unit_fn():
+        predict = make_predict_fn()
+
+        def unit(texts: np.ndarray) -> np.ndarray:
+            vectors = np.asarray(predict(texts), dtype=np.float64)
+            lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            return vectors / np.where(lengths == 0, 1.0, lengths)
+
+        return unit
+
+    model = predict_batch_udf(make_unit_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    return df.withColumn(output, model(F.col(text)))
 
 
 def hashed_embedding(
@@ -59,9 +68,9 @@ def normalized(vector: Column) -> Column:
     squares = F.aggregate(
         vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
     )
-    return F.when(squares == 0, F.transform(vector, lambda x: x.cast("double"))).otherwise(
-        F.transform(vector, lambda x: x.cast("double") / F.sqrt(squares))
-    )
+    # bound as the one element of an array, so that the length is computed once and not per element
+    lengths = F.array(F.when(squares == 0, 1.0).otherwise(F.sqrt(squares)))
+    return F.get(F.transform(lengths, lambda n: F.transform(vector, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -87,18 +96,21 @@ def search(index: DataFrame, vector: Sequence[float], top_k: int = TOP_K, carry:
     _check_top_k(top_k)
     query = np.asarray(vector, dtype=float)
     length = float(np.sqrt((query * query).sum()))
-    unit = F.lit([float(x) / length if length else float(x) for x in query])
-    return (
-        index.select("doc_name", "chunk_id", dot(F.col("embedding"), unit).alias("score"), *carry)
-        .orderBy(F.desc("score"), "doc_name", "chunk_id")
-        .limit(top_k)
-    )
+    unit = [float(x) / length if length else float(x) for x in query]
+    question = index.sparkSession.createDataFrame([(0, unit)], "qid int, embedding array<double>")
+    hits = top_k_chunks(question, index, top_k, attach=carry)
+    return hits.orderBy("rank").select("doc_name", "chunk_id", "score", *carry)
 
 
-def _rows_as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _rows_as_matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as rows; a null number counts as NaN, and all must be of one length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    width = width if width is not None else int(lengths[0]) if len(lengths) else 0
+    if (lengths != width).any():
+        raise ValueError(f"vectors of {width} numbers meet some of {sorted(set(lengths.tolist()) - {width})[:3]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), width)
 
 
 def dot_scorer(questions: pa.Table) -> Callable:
@@ -109,10 +121,14 @@ def dot_scorer(questions: pa.Table) -> Callable:
     row; that makes scores, and hence ties, independent of how rows were batched.
     """
     asked = _rows_as_matrix(questions["embedding"])
-    margin = 1e-9
+    lengths = np.sqrt((asked * asked).sum(axis=1))
 
     def best(items: pa.Table, k: int, floor: np.ndarray):
-        vectors = _rows_as_matrix(items["embedding"])
+        vectors = _rows_as_matrix(items["embedding"], asked.shape[1])
+        usable = np.flatnonzero(~np.isnan(vectors).any(axis=1))
+        vectors = vectors[usable]
+        if not len(vectors) or not vectors.shape[1]:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         # of equal vectors only the first k rows can be among the k best
         raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
         _, group = np.unique(raw, return_inverse=True)
@@ -125,6 +141,8 @@ def dot_scorer(questions: pa.Table) -> Callable:
 
         near = vectors @ asked.T
         at = max(0, len(rows) - k)
+        # rounding errors grow with the lengths of both vectors
+        margin = 1e-9 * np.maximum(1.0, lengths * np.sqrt((vectors * vectors).sum(axis=1).max()))
         lowest = np.maximum(np.partition(near, at, axis=0)[at], floor) - margin
         item, question = np.nonzero(near >= lowest)
         scores = np.empty(len(item))
@@ -132,7 +150,7 @@ def dot_scorer(questions: pa.Table) -> Callable:
         for start in range(0, len(item), slab):
             part = slice(start, start + slab)
             scores[part] = (vectors[item[part]] * asked[question[part]]).sum(axis=1)
-        return question, rows[item], scores
+        return question, usable[rows[item]], scores
 
     return best
 
@@ -144,11 +162,11 @@ def top_k_chunks(
     key: str = "qid",
     attach: Sequence[str] = (),
     max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-    **blocks: int,
 ) -> DataFrame:
     """Exact top-k chunks by dot product for every question, ranked from 1.
 
-    Both sides hold unit-length vectors in ``embedding``. Ties go by document and chunk.
+    Both sides hold vectors of one length in ``embedding``. Ties go by document and chunk. A NULL
+    vector, or one that holds NULL or NaN, has no score: it is no hit and, as a question, has none.
     *attach* names further index columns to give the hits, such as ``text``.
     """
     _check_top_k(top_k)
@@ -162,7 +180,6 @@ def top_k_chunks(
         values="embedding",
         attach=attach,
         max_broadcast=max_broadcast,
-        **blocks,
     )
 
 

@@ -1,24 +1,26 @@
 """Exact top-k of every question over a large table of items, without emitting pairs.
 
 All scores of a question are looked at, but only inside a task and only a block at a time:
-a task keeps the k best items per question and emits those, and a window merges them.
+a task keeps the k best items per question and emits those, and a window merges them. The
+items are read where they lie and never shuffled:
 
 * Few questions (at most *max_broadcast* rows holding at most MAX_BROADCAST_VALUES numbers
-  or tokens, both counted first): the questions are broadcast and the items are read where
-  they lie, without a shuffle.
-* More questions: both sides are cut into hashed blocks of bounded size and every question
-  block meets every item block in its own group. Blocks are cut by a hash of the row's
-  identity, so copies of one item spread over all of them.
+  or tokens, both counted first) are broadcast.
+* More questions are written to the shared folder in hashed blocks of that size, and each block
+  is broadcast in turn; only kept rows move.
 
 What a score is, is up to a scorer: ``scorer(questions: pa.Table)`` returns a function
 ``best(items: pa.RecordBatch, k, floor) -> (question_rows, item_rows, scores)`` giving each
 question's k best rows of the batch among those not below ``floor[question]``. A batch
-arrives sorted by the tie-break columns, so among equal scores the first rows win.
+arrives sorted by the tie-break columns, so among equal scores the first rows win. Rows whose
+array is NULL have no score on either side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citegrain.plans.workdir import shared_dir, written
+
 Scorer = Callable[[pa.Table], Callable]
 
 MAX_BROADCAST_QUESTIONS = 4096
-QUESTION_BLOCK = 4096
-ITEM_BLOCK = 65536
-# numbers or tokens in a broadcast, and in a block
+# numbers or tokens in a broadcast
 MAX_BROADCAST_VALUES = 8_000_000
-MAX_BLOCK_VALUES = 16_000_000
-# hits in a broadcast
+# hits in a broadcast; more are split into blocks of questions
 MAX_BROADCAST_HITS = 500_000
 # scores held at once in a task
 MAX_SCORES = 4_000_000
@@ -113,68 +114,57 @@ def blocked_top_k(
     carry: Sequence[str] = (),
     attach: Sequence[str] = (),
     max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-    question_block: int = QUESTION_BLOCK,
-    item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
-    """Rows ``key, rank, *ties, score, *carry, *attach``.
+    """Rows ``key, rank, *ties, score, *carry, *attach``. Runs jobs on the questions when called.
 
     *values* names the array column of both sides that the scorer reads, and *ties* the item
     columns that tell equal scores, and items, apart. Columns in *carry* travel through the
     tasks with the items, so they must be short; those in *attach*, such as whole texts, stay
-    in the JVM and are joined to the hits at the end.
+    in the JVM and are joined to the hits at the end. Items that share all tie columns are one
+    item to *attach*: their hits show the smallest of its values.
     """
+    # written once, so that vectors that a model makes are made once
+    asked = written(questions.filter(F.col(values).isNotNull()).select(key, values))
+    rows, held = _measured(asked, values)
+    per_block = max(1, min(max_broadcast, MAX_BROADCAST_HITS // k if attach else max_broadcast))
+    n_blocks = max(-(-rows // per_block), -(-held // MAX_BROADCAST_VALUES))
+    if n_blocks <= 1:
+        return _best_of_block(asked, items, k, scorer, key, ties, values, carry, attach)
+    # blocks are hashed, hence not quite equal
+    n_blocks = n_blocks + n_blocks // 4 + 1
+    blocks = written(asked.repartition(F.pmod(F.xxhash64(key), F.lit(n_blocks))).withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks))))
+    path = shared_dir(questions.sparkSession)
+    for block in range(n_blocks):
+        part = blocks.filter(F.col("block") == block).drop("block")
+        found = _best_of_block(part, items, k, scorer, key, ties, values, carry, attach)
+        found.write.mode("append").parquet(path)
+    return questions.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _best_of_block(
+    questions: DataFrame,
+    items: DataFrame,
+    k: int,
+    scorer: Scorer,
+    key: str,
+    ties: Sequence[str],
+    values: str,
+    carry: Sequence[str],
+    attach: Sequence[str],
+) -> DataFrame:
+    """The hits of questions that fit a broadcast."""
     payload = [*ties, *[c for c in carry if c not in ties]]
     inputs = list(dict.fromkeys([*payload, values]))
-    whole_items, items = items, items.select(*inputs)
     fields = [questions.schema[key], *[items.schema[c] for c in payload]]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
+    shared = questions.sparkSession.sparkContext.broadcast(questions.toArrow())
 
-    # one row past the bound is enough to know that the questions do not fit
-    rows, held = _measured(questions.limit(max_broadcast + 1), values)
-    few_questions = rows <= max_broadcast and held <= MAX_BROADCAST_VALUES
-    if few_questions:
-        few = questions.limit(max_broadcast).toArrow()
-        shared = questions.sparkSession.sparkContext.broadcast(few)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = _task_best(shared.value, batches, scorer, k, key, ties, payload)
-            if found is not None:
-                yield from found.to_batches()
-
-        partial = items.mapInArrow(scan, schema)
-    else:
-        def blocks_of(df: DataFrame, rows_each: int) -> int:
-            rows, held = _measured(df, values)
-            return max(1, -(-rows // rows_each), -(-held // MAX_BLOCK_VALUES))
-
-        q_blocks, i_blocks = blocks_of(questions, question_block), blocks_of(items, item_block)
-
-        def cut(df: DataFrame, identity: Sequence[str], mine: str, blocks: int, other: str, others: int):
-            return df.withColumn(
-                mine, F.pmod(F.xxhash64(*identity), F.lit(blocks)).cast("int")
-            ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            batches = iter(right.to_batches())
-            found = _task_best(left, batches, scorer, k, key, ties, payload)
-            if found is None:
-                found = pa.table(
-                    {
-                        **{key: left[key].slice(0, 0)},
-                        **{c: right[c].slice(0, 0) for c in payload},
-                        "score": pa.array([], pa.float64()),
-                    }
-                )
-            return found
-
-        left = cut(questions, [key], "q_block", q_blocks, "i_block", i_blocks)
-        right = cut(items, ties, "i_block", i_blocks, "q_block", q_blocks)
-        partial = (
-            left.groupBy("q_block", "i_block")
-            .cogroup(right.groupBy("q_block", "i_block"))
-            .applyInArrow(meet, schema)
-        )
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _task_best(shared.value, batches, scorer, k, key, ties, payload)
+        if found is not None:
+            yield from found.to_batches()
 
+    partial = items.filter(F.col(values).isNotNull()).select(*inputs).mapInArrow(scan, schema)
     order = Window.partitionBy(key).orderBy(F.desc("score"), *ties)
     hits = (
         partial.withColumn("rank", F.row_number().over(order))
@@ -183,7 +173,12 @@ def blocked_top_k(
     )
     if not attach:
         return hits
-    small = few_questions and rows * k <= MAX_BROADCAST_HITS
-    return whole_items.select(*ties, *attach).join(
-        F.broadcast(hits) if small else hits, list(ties)
-    ).select(*hits.columns, *attach)
+    # as many rows as questions times k, which the block's size bounds
+    few = hits.select(*[F.col(c).alias(f"hit_{c}") if c in ties else F.col(c) for c in hits.columns])
+    of_hits = [c for c in few.columns if not c.startswith("hit_")]
+    same = [F.col(f"hit_{t}").eqNullSafe(F.col(t)) for t in ties]
+    texts = items.select(*ties, *[F.col(c).alias(f"attach_{c}") for c in attach])
+    met = texts.join(F.broadcast(few), reduce(and_, same)).groupBy(*of_hits, *ties).agg(
+        F.min(F.struct(*[f"attach_{c}" for c in attach])).alias("texts")
+    )
+    return met.select(*hits.columns, *[F.col(f"texts.attach_{c}").alias(c) for c in attach])

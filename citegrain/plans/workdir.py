@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import shutil
 import tempfile
 import uuid
 
@@ -13,23 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 @functools.cache
 def _local_base() -> str:
-    base = tempfile.mkdtemp(prefix="citegrain-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return base
+    return tempfile.mkdtemp(prefix="citegrain-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``.
+    """A new path below ``spark.checkpoint.dir``, deleted when the application ends.
 
-    Only a local session may go without that setting, and gets a folder that lives as long
-    as the driver; a cluster session must name one that every executor can reach.
+    Only a session whose tasks run in the driver may go without that setting; a cluster session
+    must name a folder that every executor can reach.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = _local_base()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        _delete_at_end(spark, base)
+    return path
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """The file system forgets the path when the driver's JVM shuts down."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
 
 
 def written(df: DataFrame) -> DataFrame:

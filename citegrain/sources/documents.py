@@ -23,11 +23,15 @@ def read_text_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_labelled_set(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_labelled_set(
+    spark: SparkSession, path: str, columns: list[str] | None = None, sequence: str | None = None
+) -> DataFrame:
     """CSV with a header: every column a string, an empty cell is ``""``.
 
     Quoted cells may hold newlines, so a file is one task; write large sets as many files.
-    Naming the *columns* saves the pass over the header.
+    Naming the *columns* saves the pass over the header, which must name the same ones in the same
+    order. *sequence* adds a column of that name that orders the rows as they were written: by
+    file name, then by line.
     """
     reader = (
         spark.read.option("header", True)
@@ -36,18 +40,30 @@ def read_labelled_set(spark: SparkSession, path: str, columns: list[str] | None
         .option("escape", '"')
     )
     if columns:
+        reader = reader.option("enforceSchema", False)
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(path).na.fill("")
+    rows = reader.csv(path)
+    place = [F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id().alias("row")).alias(sequence)] if sequence else []
+    return rows.select(*rows.columns, *place).na.fill("", rows.columns)
 
 
 def read_summary(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Summary files, one JSON object per file, pretty-printed or not."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+    """Summary files: every object of every file, pretty-printed or one to a line.
+
+    A raw line break never stands inside a JSON string, so one between ``}`` and ``{`` parts two objects.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    parts = whole.select(F.explode(F.split(F.trim("value"), r"(?<=\})\s*[\r\n]\s*(?=\{)")).alias("value")).filter("value <> ''")
+    if schema is None:  # summaries are small; inference reads them once more
+        schema = spark.read.json(parts.rdd.map(lambda row: row.value)).schema
+    return parts.select(F.from_json("value", schema).alias("summary")).select("summary.*")
 
 
 def write_detail(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Detail table as CSV with a header; lists are joined with ``|``, structures become JSON."""
+    """Detail table as CSV with a header; lists are joined with ``|``, structures become JSON.
+
+    Cells keep their white space.
+    """
 
     def cell(field: T.StructField):
         c = F.col(field.name)
@@ -60,7 +76,8 @@ def write_detail(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         return c
 
     flat = df.select(*[cell(f) for f in df.schema.fields])
-    flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = flat.write.mode(mode).option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_summary(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

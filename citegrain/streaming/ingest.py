@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from citegrain.sources.request_log import stream_request_log
 
+FILES_PER_DAY = 8
+
 
 def ingest_request_log(
     spark: SparkSession,
@@ -22,6 +24,8 @@ def ingest_request_log(
     Later reads prune days and push filters down, which the text log cannot.
     """
     rows = stream_request_log(spark, source, files_per_batch).withColumn("day", F.to_date("ts"))
+    # a day's rows of a batch go to a few tasks, so that it gets a few files and a busy day more than one task
+    rows = rows.repartition(F.col("day"), F.pmod(F.xxhash64("log_id"), F.lit(FILES_PER_DAY)))
     writer = (
         rows.writeStream.format("parquet")
         .option("path", target)

@@ -15,13 +15,13 @@ from citegrain.operators.reuse import TTL_SEC
 
 
 class _Reuse(StatefulProcessor):
-    def __init__(self, ttl: int, order: str) -> None:
+    def __init__(self, ttl: int, order: str, keep_ms: int | None) -> None:
         self.ttl = ttl
         self.order = order
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.until = handle.getValueState("until", "until long")
+        self.until = handle.getValueState("until", "until long", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["at", self.order], ignore_index=True)
@@ -29,24 +29,17 @@ class _Reuse(StatefulProcessor):
         known = self.until.get()
         old = None if known is None else known[0]
         until = -(1 << 62) if old is None else old
-        reused = np.ones(len(times), dtype=bool)
+        # rows from before the stored answer came late: it was not there yet, and they store none
+        reused = np.ones(len(times), dtype=bool) if old is None else times >= until - self.ttl
         i = int(np.searchsorted(times, until, side="right"))
         while i < len(times):
             reused[i] = False
             until = int(times[i]) + self.ttl
             i = int(np.searchsorted(times, until, side="right"))
         if until != old:
-            if old is not None:
-                self.handle.deleteTimer(old // 1000 + 1)
             self.until.update((until,))
-            self.handle.registerTimer(until // 1000 + 1)
         yield pd.DataFrame({"key": key[0], self.order: pdf[self.order], "reused": reused})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the watermark has passed the expiry, so no row can reuse the answer any more
-        self.until.clear()
-        return iter(())
-
     def close(self) -> None:
         pass
 
@@ -57,13 +50,16 @@ def mark_stream_reuse(
     ts: str = "ts",
     order: str = "event_id",
     ttl_sec: int = TTL_SEC,
-    delay: str = "10 minutes",
+    keep_hours: float | None = None,
 ) -> DataFrame:
     """Rows ``key, order, reused`` of a request stream, by the rule of the batch operator.
 
-    Rows are put in time order within a micro-batch; a row arriving in a later batch than a
-    newer one is judged by the state left by that batch. A task holds one key's rows of one
-    micro-batch (key, time and *order* only); the source's limit per trigger bounds them.
+    Every row comes out, however late: there is no watermark. Rows are put in time order within a
+    micro-batch; a row arriving in a later batch than a newer one is judged by the state left by that
+    batch, and if it is older than the answer stored there it is no reuse and stores nothing. A key's
+    state is one number; with *keep_hours* it is dropped when no answer was stored for so long by the
+    clock. Such a query never finds itself idle, so it does not end by an available-now trigger. A task holds one key's
+    rows of one micro-batch (key, time and *order* only); the source's limit per trigger bounds them.
     Needs the RocksDB state store.
     """
     kinds = requests.schema
@@ -74,12 +70,12 @@ def mark_stream_reuse(
             T.StructField("reused", T.BooleanType()),
         ]
     )
-    slim = requests.withWatermark(ts, delay).select(
-        F.col(key).alias("key"), ts, order, F.unix_micros(F.col(ts)).alias("at")
-    )
+    slim = requests.select(F.col(key).alias("key"), order, F.unix_micros(F.col(ts)).alias("at"))
     return slim.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Reuse(max(1, ttl_sec) * 1_000_000, order),
+        statefulProcessor=_Reuse(
+            max(1, ttl_sec) * 1_000_000, order, None if keep_hours is None else int(keep_hours * 3_600_000)
+        ),
         outputStructType=out,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="None" if keep_hours is None else "ProcessingTime",
     )

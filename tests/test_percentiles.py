@@ -35,6 +35,17 @@ def test_hot_group_and_weights(spark):
         assert [r.p50, r.p95] == pytest.approx(list(np.percentile(copies, [50, 95])))
 
 
+def test_one_crowded_bin(spark):
+    """All values within a thousandth of each other, and within a billionth."""
+    rng = np.random.default_rng(5)
+    for width in (1e-4, 1e-11):
+        values = 1000.0 * (1 + rng.random(5000) * width)
+        df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "v double, t int")
+        row = value_profile(df, "v", (0, 50, 95, 100), spread="t").first()
+        assert [row.p0, row.p50, row.p95, row.p100] == pytest.approx(list(np.percentile(values, [0, 50, 95, 100])), rel=1e-15)
+        assert (row.spread_min, row.spread_max) == (0, 4999)
+
+
 def test_empty_log_gives_zeros(spark):
     log = spark.createDataFrame(
         [], "event_id long, ts timestamp, endpoint string, status_code long, latency_ms double, cache_hit boolean"

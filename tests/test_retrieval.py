@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from citegrain.operators import lexical, vectors
 from citegrain.operators.chunks import paragraph_chunks
 
-GRID = {"max_broadcast": 0, "question_block": 7, "item_block": 40}
+GRID = {"max_broadcast": 7}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,7 @@ def spaces(spark):
     return questions, items, scores
 
 
-@pytest.mark.parametrize("how", [{}, GRID], ids=["broadcast", "grid"])
+@pytest.mark.parametrize("how", [{}, GRID], ids=["broadcast", "blocks"])
 @pytest.mark.parametrize("k", [1, 5, 400])
 def test_top_k_is_the_full_sort(spark, spaces, how, k):
     questions, items, scores = spaces
@@ -112,7 +112,7 @@ def test_hashed_search_finds_the_paragraph(spark):
     assert got == {1: ("api.txt", 0, 1.0), 2: ("api.txt", 0, 0.0)}
 
 
-@pytest.mark.parametrize("how", [{}, GRID], ids=["broadcast", "grid"])
+@pytest.mark.parametrize("how", [{}, GRID], ids=["broadcast", "blocks"])
 @pytest.mark.parametrize("k", [0, 2, 5, 90])
 def test_token_search_is_the_full_sort(spark, how, k):
     rng = np.random.default_rng(2)
@@ -140,3 +140,44 @@ def test_empty_corpus(spark):
     docs = spark.createDataFrame([], "doc_name string, text string")
     asked = spark.createDataFrame([(1, "x")], "qid long, query string")
     assert lexical.search_documents(asked, docs).count() == 0
+
+
+@pytest.mark.parametrize("how", [{}, {"max_broadcast": 1}], ids=["broadcast", "blocks"])
+def test_vectors_without_a_score_hide_none(spark, how):
+    """NULL and NaN vectors are no hits, and NULL tie columns and repeated ids lose and multiply none."""
+    nan = float("nan")
+    items = spark.createDataFrame(
+        [("a", 1, [1.0, 0.0], "t1"), (None, 2, [0.5, 0.5], "t2"), ("c", 3, [nan, 0.0], "t3"), ("d", 4, [0.1, 0.1], "t4"),
+         ("e", 5, None, "t5"), ("f", 6, [None, 1.0], "t6"), ("d", 4, [0.1, 0.1], "t0")],
+        "doc_name string, chunk_id long, embedding array<double>, text string",
+    ).coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [nan, 1.0])], "qid long, embedding array<double>")
+    got = vectors.top_k_chunks(asked, items, 4, attach=["text"], **how).orderBy("rank").collect()
+    assert [(r.qid, r["rank"], r.doc_name, r.chunk_id, r.text) for r in got] == [
+        (1, 1, "a", 1, "t1"), (1, 2, None, 2, "t2"), (1, 3, "d", 4, "t0"), (1, 4, "d", 4, "t0")
+    ]
+
+
+def test_long_vectors_keep_their_last_hit(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(1, 32)) * 1e6
+    index = base + rng.normal(size=(200, 32)) * 1e-6
+    scores = (index * base).sum(axis=1)
+    items = spark.createDataFrame([("d", i, v.tolist()) for i, v in enumerate(index)], "doc_name string, chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, base[0].tolist())], "qid long, embedding array<double>")
+    got = [r.chunk_id for r in vectors.top_k_chunks(asked, items, 5).orderBy("rank").collect()]
+    assert got == sorted(range(200), key=lambda i: (-scores[i], i))[:5]
+
+
+def test_vectors_of_other_lengths_are_refused(spark):
+    items = spark.createDataFrame([("a", 1, [1.0, 0.0, 2.0])], "doc_name string, chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, embedding array<double>")
+    with pytest.raises(Exception, match="vectors of 2 numbers"):
+        vectors.top_k_chunks(asked, items, 1).collect()
+
+
+def test_missing_texts_have_no_tokens(spark):
+    docs = spark.createDataFrame([("a", None), ("b", "x y")], "doc_name string, text string")
+    asked = spark.createDataFrame([(1, "x"), (2, None)], "qid long, query string")
+    got = sorted((r.qid, r["rank"], r.doc_name, r.score, r.snippet) for r in lexical.search_documents(asked, docs).collect())
+    assert got == [(1, 1, "b", 1, "x y"), (1, 2, "a", 0, ""), (2, 1, "a", 0, ""), (2, 2, "b", 0, "x y")]

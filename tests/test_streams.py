@@ -91,6 +91,33 @@ def test_reuse(spark, batch, folder, tmp_path):
     assert 0 < sum(got.values()) < len(got)
 
 
+def test_late_rows_are_judged(spark, tmp_path):
+    """A file hours late: all rows come out, and those from before the stored answer are no reuse."""
+    start = dt.datetime(2026, 2, 16, 12)
+    sent = [[(0, 0), (1, 100)], [(2, 20_000)], [(3, 50), (4, 20_100)], [(5, 20_200)]]
+    source = tmp_path / "in"
+    for i, rows in enumerate(sent):
+        data = [("k", start + dt.timedelta(seconds=sec), n) for n, sec in rows]
+        spark.createDataFrame(data, "key string, ts timestamp, event_id long").coalesce(1).write.parquet(f"{source}/{i}")
+    asked = (
+        spark.readStream.schema("key string, ts timestamp, event_id long")
+        .option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", True)
+        .parquet(str(source))
+    )
+    query = (
+        mark_stream_reuse(asked, ttl_sec=300)
+        .writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    finish(query)
+    got = {r.event_id: r.reused for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: False, 4: True, 5: True}
+
+
 def test_ingest(spark, tmp_path):
     source, target, mark = (str(tmp_path / n) for n in ("log", "table", "c"))
     (tmp_path / "log").mkdir()
