@@ -52,7 +52,8 @@ def parse_log_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         read = F.try_variant_get("event", f"$.{name}", kind)
         if kind.startswith("array"):
             return F.coalesce(read, F.from_json(f"loose.{name}", kind))
-        return F.coalesce(read, F.col(f"loose.{name}").try_cast(kind))
+        # a bare NaN comes out of the field in quotes
+        return F.coalesce(read, F.regexp_replace(f"loose.{name}", '^"(NaN|-?Infinity)"$', "$1").try_cast(kind))
 
     def text(name: str):
         return F.coalesce(field(name, "string"), F.lit("")).alias(name)
