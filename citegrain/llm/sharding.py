@@ -1,8 +1,8 @@
 """Sharding into contiguous key ranges of near equal bytes, by histogram sort.
 
 The key of a row is the MD5 of its text and then the MD5 of its doc_id, both in hex: rows with
-equal texts are neighbours, and a group of copies that is too large for a shard can still be
-split between doc_ids. Splitters are looked for as hex prefixes of that key. Each round counts
+equal texts are neighbours. A group of equal texts stays whole if it holds at most `WHOLE` of a shard's
+bytes; a larger one is split between doc_ids. Splitters are looked for as hex prefixes of that key. Each round counts
 the exact bytes of every probe (the next digits below the prefixes still open), takes a probe
 as splitter once the bytes below it are within the tolerance of the ideal, and refines the
 others; a splitter whose range has come down to one key takes its nearer side. Rows are
@@ -24,6 +24,8 @@ from citegrain.llm.common import free_name
 from citegrain.plans.workdir import written
 
 TOLERANCE = 0.002
+WHOLE = 0.02
+TEXT_DIGITS = 32
 #: Hex digits that a round adds: 16 ** 3 probes below each open prefix.
 DIGITS = 3
 
@@ -33,14 +35,14 @@ def size_of(text: Column) -> Column:
 
 
 def key_of(text: Column, doc_id: Column) -> Column:
-    of_text = F.coalesce(F.md5(text.cast("binary")), F.lit("0" * 32))
+    of_text = F.coalesce(F.md5(text.cast("binary")), F.lit("0" * TEXT_DIGITS))
     return F.concat(of_text, F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")))
 
 
 def splitters(sizes: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[str]:
     """The keys at which shards 1 and up begin, for rows of key and size."""
     wanted: dict[int, float] | None = None
-    slack, found = 0.0, {}
+    total, slack, found = 0, 0.0, {}
     open_ = {"": 0}  # prefix -> bytes below it; at most one for each splitter
     while open_:
         key = F.col("key")
@@ -66,7 +68,9 @@ def splitters(sizes: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
                     below, n = below + own[n]["bytes"], n + 1
                 b = own[n]
                 under, over = ideal - below, below + b["bytes"] - ideal
-                if min(under, over) <= slack or b["first"] == b["last"]:
+                one_text = b["first"][:TEXT_DIGITS] == b["last"][:TEXT_DIGITS]
+                small = one_text and b["bytes"] <= WHOLE * total / shards
+                if min(under, over) <= slack or small or b["first"] == b["last"]:
                     found[i] = b["first"] if under <= over else own[n + 1]["first"] if n + 1 < len(own) else b["last"] + "~"
                 else:  # all its keys start alike as far as its first and last key do
                     refined[os.path.commonprefix([b["first"], b["last"]])] = below
@@ -108,7 +112,7 @@ def assigned(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE) ->
     ))
     starts = splitters(rows.select("key", "size"), shards, tolerance)
     # slots follow the doc_id part of the key, which copies of a text do not share
-    placed = rows.withColumn("shard", shard_of(F.col("key"), starts)).withColumn("order", F.substring("key", 33, 32))
+    placed = rows.withColumn("shard", shard_of(F.col("key"), starts)).withColumn("order", F.substring("key", TEXT_DIGITS + 1, 32))
     return numbered(placed, "shard", "slot", "order").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
@@ -123,4 +127,4 @@ def sharded_documents(docs: DataFrame, shards: int = 8, tolerance: float = TOLER
     sizes = written(rows.select(F.col(key).alias("key"), size_of(F.col("text")).alias("size")))
     starts = splitters(sizes, shards, tolerance)
     placed = rows.withColumn(shard, shard_of(F.col(key), starts))
-    return placed.repartition(F.col(shard), F.substring(key, 33, 2)).drop(key)
+    return placed.repartition(F.col(shard), F.substring(key, TEXT_DIGITS + 1, 2)).drop(key)

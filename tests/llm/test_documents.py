@@ -205,7 +205,7 @@ def test_shards_are_even(spark, hot):
     for shard in range(7):
         below += per[shard]
         ends.append(abs(below - total * (shard + 1) / 8))
-    assert all(e <= max(b, sharding.TOLERANCE * total / 8) for e, b in zip(ends, best))
+    assert all(e <= max(b, sharding.WHOLE * total / 8) for e, b in zip(ends, best))
     for shard in per:
         assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
 
