@@ -160,7 +160,12 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Of rows with equal doc_ids in a group the one with the smallest text hash stays, and of rows
     that repeat doc_id and text one. A group whose ids are all null keeps one row.
     """
-    rows = written(grouped(docs, distance))
+    return first_of_each(docs, grouped(docs, distance))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each root of *groups* (doc_id, text_key, root) the row that `one_of_each` keeps."""
+    rows = written(groups)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
     keep_id, keep_key, key = (free_name(docs, x) for x in ("keep_id", "keep_key", "text_key"))
     kept = best.select(F.col("k.doc_id").alias(keep_id), F.col("k.text_key").alias(keep_key))
