@@ -10,7 +10,8 @@ curve over both, fitted on the training rows with each row's own counts taken ou
 
 Training rows are those whose CRC-32 of doc_id as text, modulo 4, is not 2, that have a label of
 0 or 1 (the highest, if a doc_id has several), at most `max_rows` of each class, chosen by a hash
-of doc_id; counts tables keep their `max_entries` most frequent keys. Both bounds hold at every size.
+of doc_id, at every size. Counts tables keep every stem, word and pair of these rows, however rare, unless
+`max_entries` bounds them to their most frequent keys.
 Scores cover every row: null and empty texts have evidence 0; without rows of both classes every
 text gets the share of toxic training rows (with one added to each class). Rows that repeat a
 document are scored alike.
@@ -35,7 +36,6 @@ MASS = 1.0
 STEM = 5
 WINDOW = 2
 MAX_ROWS = 10_000
-MAX_ENTRIES = 1_000_000
 THRESHOLD = 0.3
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SEED = 42
@@ -82,6 +82,7 @@ class Model:
     pairs: Counts
     weights: np.ndarray | None  # intercept, whole text, worst window
     base: float
+    shared: object = None  # the broadcast of the counts that fit made
 
     def plain(self) -> tuple:
         """Arrays and numbers only: what is broadcast must not need this module to be read."""
@@ -143,10 +144,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return rows.withColumn("nth", nth).filter("nth = 1").drop("nth")
 
 
-def _table(rows: DataFrame, key: str, min_count: int, max_entries: int) -> Counts:
+def _table(rows: DataFrame, key: str, min_count: int, max_entries: int | None) -> Counts:
     sums = rows.groupBy(key).agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
     total = rows.groupBy("toxic").agg(F.sum("n").alias("n")).collect()
-    kept = sums.filter(F.col("n0") + F.col("n1") >= min_count).orderBy(F.desc(F.col("n0") + F.col("n1")), key).limit(max_entries).toArrow()
+    kept = sums.filter(F.col("n0") + F.col("n1") >= min_count)
+    if max_entries is not None:
+        kept = kept.orderBy(F.desc(F.col("n0") + F.col("n1")), key).limit(max_entries)
+    kept = kept.toArrow()
     keys = kept.column(key).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     n = np.stack([kept.column(f"n{c}").to_numpy().astype(np.float32)[order] for c in (0, 1)])
@@ -163,8 +167,10 @@ def _pair_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), cols["toxic"], cols["n"]], names=["pair", "toxic", "n"])
 
 
-def counted(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[Counts, Counts, Counts]:
-    """Stems, words and pairs of the training rows; the counts are made by Spark."""
+def counted(
+    rows: DataFrame, max_entries: int | None = None, least: tuple[int, int, int] = (1, 2, 3)
+) -> tuple[Counts, Counts, Counts]:
+    """Stems, words and pairs of the training rows, seen *least* times; the counts are made by Spark."""
     words = rows.select("toxic", letter_words(F.col("text")).alias("words"))
     at = words.select("toxic", "words", F.posexplode("words").alias("at", "w"))
     left = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.xxhash64(F.try_element_at("words", F.col("at"))))
@@ -173,9 +179,9 @@ def counted(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[Counts, Co
     kinds = pairs.groupBy("toxic", "word", "stem").agg(F.count("*").alias("n"))
     keyed = pairs.mapInArrow(_pair_keys, "pair bigint, toxic int, n bigint")
     return (
-        _table(kinds, "stem", 1, max_entries),
-        _table(kinds, "word", 2, max_entries),
-        _table(keyed, "pair", 3, max_entries),
+        _table(kinds, "stem", least[0], max_entries),
+        _table(kinds, "word", least[1], max_entries),
+        _table(keyed, "pair", least[2], max_entries),
     )
 
 
@@ -193,14 +199,14 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_entries: int | None = None) -> Model:
     spark = docs.sparkSession
     rows = written(training_rows(docs, labels, max_rows))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     empty = Counts(np.zeros(0, np.uint64), np.zeros((2, 0), np.float32), np.zeros(2))
     if len(sizes) < 2:
         return Model(empty, empty, empty, None, (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2))
-    model = Model(*counted(rows, max_entries), None, 0.0)
+    model = Model(*counted(rows, max_entries, (1, 1, 1)), None, 0.0)
     shared = spark.sparkContext.broadcast(model.plain())
 
     def evidence(batches):
@@ -219,16 +225,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_entrie
     everyone = {r["toxic"]: r["count"] for r in labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect()}
     weight = np.where(y == 1, everyone[1] / sizes[1], everyone[0] / sizes[0])
     model.weights = _fit(x, y, weight / weight.mean())
-    shared.unpersist()
+    model.shared = shared  # the counts are large, so scoring takes the same broadcast
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
+    shared, weights = model.shared or docs.sparkSession.sparkContext.broadcast(model.plain()), model.weights
 
     def score(batches):
         known, cache = Model.of(shared.value), {}
+        known.weights = weights
         for batch in batches:
             found = np.array([known.evidence(t.as_py(), cache) for t in batch.column("text")], dtype=float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -244,11 +251,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with all their columns; texts are not shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
+    shared, weights = model.shared or docs.sparkSession.sparkContext.broadcast(model.plain()), model.weights
     text = docs.columns.index("text")
 
     def keep(batches):
         known, cache = Model.of(shared.value), {}
+        known.weights = weights
         for batch in batches:
             found = np.array([known.evidence(t.as_py(), cache) for t in batch.column(text)], dtype=float).reshape(-1, 2)
             yield batch.filter(pa.array(known.score(found) < threshold))

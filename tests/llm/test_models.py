@@ -74,6 +74,16 @@ def test_toxicity_counts_are_those_of_the_rows(spark):
     assert sorted(pairs.n.sum(axis=0).tolist()) == [3, 4]
 
 
+def test_toxicity_model_keeps_rare_words_and_pairs(spark):
+    rows, labels = [(i, f"a b c{i} d") for i in range(40)], [(i, i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    n = sum(not held(i, 4) for i, _ in rows)
+    assert len(model.words.keys) == n + 3 and len(model.pairs.keys) == 2 * n + 2  # c0, c1, ... once each
+    for level in (model.stems, model.words, model.pairs):
+        assert level.n.sum(axis=1).tolist() == level.total.tolist()
+
+
 def brute_url(url, rules):
     m = re.search("://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
