@@ -4,10 +4,13 @@ Counts of words and word pairs cover all training documents. A pair seen c times
 level floor(log2 c) and put into the filter once for each level up to its own; a reader probes
 levels 1, 2, ... until one is missing, and takes 2 ** level as the count, which is never above the
 true one but for the filter's false positives (about one in a hundred at `BITS` bits an entry, and
-half as often for every further level). Pairs seen once are level 0 and need no entry.
+half as often for every further level). Pairs seen once are level 0 and have no entry, unless
+`singles` is set, as the query does: then every level is one higher, so that pairs seen once are level
+1, and a reader takes 2 ** (level - 1).
 
 p(w | h) = a * count(h, w) / c(h) + (1 - a) * p(w). The share a is what the training pairs would
-find of themselves if each was left out once: the part of them in pairs seen three times or more.
+find of themselves if each was left out once: the part of them in pairs seen three times or more, with
+`singles` twice or more.
 p(w) is (c - D) / N for known words, and D * V / N for all unknown ones together, with the
 absolute discount D from the words seen once and twice.
 
@@ -131,8 +134,9 @@ def _counting(bits: int):
 _MERGED = "kind int, slice int, keys binary, counts binary, filter binary, bits bigint, distinct bigint, total bigint, once bigint, twice bigint, often bigint"
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """A slice's exact counts; of pairs only those above level 0 stay, with their filter segment."""
+def _merge(table: pa.Table, first: int = 0) -> pa.Table:
+    """A slice's exact counts; of pairs only those above level 0 stay, with their filter segment.
+    *first*: the level of pairs seen once."""
     kind, part = table.column("kind")[0].as_py(), table.column("slice")[0].as_py()
     joined = lambda name, dtype: np.frombuffer(b"".join(x.as_py() for x in table.column(name)), dtype=dtype)
     keys, counts = summed(joined("keys", "<u8"), joined("counts", "<u4").astype(np.int64))
@@ -141,8 +145,8 @@ def _merge(table: pa.Table) -> pa.Table:
         "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "often": int(counts[counts > 2].sum()),
     }
     if kind == 1:
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        level = levels_of(counts)
+        level = levels_of(counts) + first
+        keys, level = keys[level > 0], level[level > 0]
         size = max(64, int(level.sum()) * BITS + 7 >> 3 << 3)
         marked = np.zeros(size, dtype=bool)
         for step in range(1, int(level.max(initial=0)) + 1):
@@ -159,26 +163,28 @@ def _merge(table: pa.Table) -> pa.Table:
 class Counts:
     """Totals of the training tokens, and where the merged slices are."""
 
-    def __init__(self, slices: DataFrame, slice_bits: int):
-        self.slices, self.slice_bits = slices, slice_bits
+    def __init__(self, slices: DataFrame, slice_bits: int, first: int = 0):
+        self.slices, self.slice_bits, self.first = slices, slice_bits, first
         sums = {r["kind"]: r for r in slices.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("distinct", "total", "once", "twice", "often", "bits")]).collect()}
         words, pairs = sums.get(0), sums.get(1)
         self.tokens, self.kinds = (words["total"], words["distinct"]) if words else (0, 0)
         once, twice = (words["once"], words["twice"]) if words else (0, 0)
         self.discount = (once + 1) / (once + 2 * twice + 2)
-        self.share = min(0.99, max(0.01, pairs["often"] / pairs["total"])) if pairs else 0.01
+        found = (pairs["total"] - pairs["once"] if first else pairs["often"]) if pairs else 0
+        self.share = min(0.99, max(0.01, found / pairs["total"])) if pairs else 0.01
         self.bytes = self.kinds * 12 + (pairs["bits"] // 8 if pairs else 0)
 
     def plain(self) -> tuple:
         return self.tokens, self.kinds, self.discount, self.share
 
 
-def counted(docs: DataFrame, slice_entries: int = SLICE_ENTRIES) -> Counts:
+def counted(docs: DataFrame, slice_entries: int = SLICE_ENTRIES, first: int = 0) -> Counts:
     """Word and pair counts of all rows of *docs*."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, total / 6 / slice_entries))))  # a word and its gap take about six bytes
     parts = docs.select("text").mapInArrow(_counting(bits), "kind int, slice int, keys binary, counts binary")
-    return Counts(written(parts.groupBy("kind", "slice").applyInArrow(_merge, _MERGED)), bits)
+    merged = parts.groupBy("kind", "slice").applyInArrow(lambda table: _merge(table, first), _MERGED)
+    return Counts(written(merged), bits, first)
 
 
 def logs(known: np.ndarray, context: np.ndarray, pair: np.ndarray, plain: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -195,9 +201,10 @@ def logs(known: np.ndarray, context: np.ndarray, pair: np.ndarray, plain: tuple)
 class Reader:
     """The broadcast word counts and filter."""
 
-    def __init__(self, plain, slice_bits, keys, counts, filter_bytes, sizes, offsets):
+    def __init__(self, plain, slice_bits, keys, counts, filter_bytes, sizes, offsets, first=0):
         self.plain, self.slice_bits, self.keys, self.counts = plain, slice_bits, keys, counts
         self.filter, self.sizes, self.offsets = filter_bytes, sizes, offsets
+        self.first = first
 
     def words(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -207,7 +214,7 @@ class Reader:
         return np.where(self.keys[at] == kinds, self.counts[at], 0)[back].astype(np.float64)
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """2 ** level of each pair, 0 below level 1."""
+        """2 ** (level - first) of each pair, 0 below level 1."""
         found = np.zeros(len(keys))
         owner = (keys >> np.uint64(64 - self.slice_bits)).astype(np.int64) if self.slice_bits else np.zeros(len(keys), np.int64)
         left, level = np.flatnonzero(self.sizes[owner] > 0), 1
@@ -217,7 +224,7 @@ class Reader:
                 at = positions(keys[left], level, probe, self.sizes[own]).astype(np.int64)
                 byte = self.filter[self.offsets[own] + (at >> 3)]
                 left = left[(byte >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            found[left] = 2.0**level
+            found[left] = 2.0 ** (level - self.first)
             level += 1
         return found
 
@@ -244,7 +251,7 @@ def _collected(counts: Counts) -> tuple:
     for part, n in zip(pairs.column("slice").to_pylist(), pairs.column("bits").to_pylist()):
         sizes[part], offsets[part] = n, at
         at += n // 8
-    return counts.plain(), counts.slice_bits, raw(words, "keys", "<u8"), raw(words, "counts", "<u4"), raw(pairs, "filter", np.uint8), sizes, offsets
+    return counts.plain(), counts.slice_bits, raw(words, "keys", "<u8"), raw(words, "counts", "<u4"), raw(pairs, "filter", np.uint8), sizes, offsets, counts.first
 
 
 _SCORES = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
@@ -301,7 +308,7 @@ def _joined(docs: DataFrame, counts: Counts) -> DataFrame:
     for name, table in (("word", words), ("before", words.union(ends)), ("pair", levels)):
         rows = rows.join(table.select(F.col("key").alias(name), F.col("value").alias(f"of_{name}")), name, "left")
     known, context = (F.coalesce(f"of_{x}", F.lit(0)).cast("double") for x in ("word", "before"))
-    pair = F.when(F.col("of_pair") > 0, F.pow(F.lit(2.0), F.col("of_pair"))).otherwise(0.0)
+    pair = F.when(F.col("of_pair") > 0, F.pow(F.lit(2.0), F.col("of_pair") - counts.first)).otherwise(0.0)
     tokens, kinds, discount, share = counts.plain()
     base = F.log10((known + 1) / F.lit(float(tokens + kinds + 1)))
     model = F.lit(0.0)
@@ -315,10 +322,10 @@ def _joined(docs: DataFrame, counts: Counts) -> DataFrame:
     ).drop("row")
 
 
-def scored(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, slice_entries: int = SLICE_ENTRIES) -> DataFrame:
+def scored(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, slice_entries: int = SLICE_ENTRIES, singles: bool = False) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = counted(rows.filter(~F.col("held_out")), slice_entries)
+    counts = counted(rows.filter(~F.col("held_out")), slice_entries, int(singles))
     out = (_probed if counts.bytes <= broadcast_bytes else _joined)(rows, counts)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"

@@ -64,7 +64,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_bloom.scored(read(spark, sf_dir, "documents"))
+    return ngram_bloom.scored(read(spark, sf_dir, "documents"), singles=True)
 
 
 def raw_transcripts(turns: DataFrame) -> DataFrame:

@@ -189,6 +189,18 @@ def test_lm_scores(spark, how, monkeypatch):
     assert Counter(near((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])) for r in got) == want
 
 
+@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0}])
+def test_lm_counts_pairs_seen_once(spark, how, monkeypatch):
+    monkeypatch.setattr(ngram_bloom, "BITS", 64)
+    train, test = [i for i in range(40) if not held(i, 7)], next(i for i in range(40) if held(i, 7))
+    rows = [row(i, f"a{i} b{i} a{i}") for i in train[:3]] + [row(test, f"a{train[0]} b{train[0]}")]
+    got = {r["doc_id"]: r for r in ngram_bloom.scored(documents(spark, rows), singles=True, **how).collect()}[test]
+    # 12 tokens of 7 kinds: each a twice, each b once, 3 ends; all 12 pairs once, so the share is at its least
+    n, discount, share = 12, (3 + 1) / (3 + 2 * 3 + 2), 0.01
+    p = [share * pair / of + (1 - share) * (c - discount) / n for pair, of, c in ((1, 3, 2), (1, 2, 1), (0, 1, 3))]
+    assert got["score"] == pytest.approx(sum(map(math.log10, p)), abs=1e-9)
+
+
 def test_filter_finds_all_and_little_else(spark):
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 63, 20_000).astype(np.uint64))
