@@ -231,17 +231,42 @@ def repeated_spans(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
     return spans.select(id_of("doc").alias("doc_id"), "start", (F.col("end") - F.col("start")).alias("n_words"), id_of("other").alias("other_id"))
 
 
+def _windows(batches):
+    """Hashes of the windows of MIN_WORDS words inside each row's spans."""
+    for batch in batches:
+        spans = batch.column("spans").to_pylist()
+        for i, text in enumerate(batch.column("text")):
+            words = _words(text.as_py())
+            hashes = _run_hashes(words, MIN_WORDS) if len(words) >= MIN_WORDS else words[:0]
+            at = [np.arange(s["start"], min(s["end"] - MIN_WORDS + 1, len(hashes))) for s in spans[i]]
+            at = np.concatenate(at).astype(np.int64)
+            columns = [pa.array([batch.column(c)[i].as_py()] * len(at), batch.schema.field(c).type) for c in ("doc", "text_key")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at), pa.array(hashes[at].view(np.int64))], names=["doc", "text_key", "start", "window"])
+
+
 def without_repeats(docs: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """The documents, each passage cut out wherever a document of smaller id holds it too.
 
-    Cut are the spans whose other_id is smaller; the words before and behind keep their white space.
+    Cut are the words of every window of min_words words inside a span whose smallest holder is another
+    document, whichever neighbour the span names. Null ids cut nothing and are not cut. The words before
+    and behind keep their white space.
     """
     spans = repeated_spans(docs) if spans is None else spans
-    cuts, key = free_name(docs, "cuts"), free_name(docs, "cut_id")
-    later = spans.filter("other_id < doc_id").groupBy(F.col("doc_id").alias(key)).agg(
-        F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias(cuts)
+    cuts, key, text_key = (free_name(docs, x) for x in ("cuts", "cut_id", "text_key"))
+    places = spans.filter("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(
+        F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias("spans")
     )
-    rows = docs.join(later, same(docs["doc_id"], later[key]), "left")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("text_key")).join(places, "doc")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    windows = written(texts.mapInArrow(_windows, f"doc {kind}, text_key bigint, start bigint, window bigint"))
+    holders = windows.groupBy("window").agg(F.min("doc").alias("first"))
+    later = windows.join(holders, "window").filter("first < doc").select("doc", "text_key", "start").distinct()
+    order = Window.partitionBy("doc", "text_key").orderBy("start")
+    opens = F.when(F.col("start") <= F.lag("start").over(order) + MIN_WORDS, 0).otherwise(1)
+    later = later.withColumn("opens", opens).withColumn("cut", F.sum("opens").over(order))
+    later = later.groupBy("doc", "text_key", "cut").agg(F.min("start").alias("start"), (F.max("start") + MIN_WORDS).alias("end"))
+    later = later.groupBy(F.col("doc").alias(key), F.col("text_key").alias(text_key)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    rows = docs.join(later, same(docs["doc_id"], later[key]) & (F.xxhash64(docs["text"]) == later[text_key]), "left")
     return rows.withColumn("text", _cut(F.col("text"), F.col(cuts))).select(*docs.columns)
 
 

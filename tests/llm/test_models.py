@@ -369,3 +369,11 @@ def test_passages_are_cut_out_of_later_documents(spark):
     late = spans[14]
     whole = passages()[14][1].split()
     assert out[14].split() == whole[: late["start"]] + whole[late["start"] + late["n_words"] :]
+
+
+@pytest.mark.parametrize("size", [50, 55, 70])
+def test_one_of_many_holders_keeps_the_passage(spark, size):
+    passage = words(900, size)
+    rows = [row(i, " ".join([words(i, 30), passage, words(300 + i, 30)])) for i in range(20)]
+    out = {r["doc_id"]: r["text"] for r in suffixes.without_repeats(documents(spark, rows)).collect()}
+    assert out == {i: text if i == 0 else f"{words(i, 30)} {words(300 + i, 30)}" for i, text, *_ in rows}
