@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.SQL) <= set(entry.oracle_sql())
 
 
