@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -44,3 +45,13 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: all that came of them is collected or written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if re.fullmatch("[0-9a-f]{32}", folder.rsplit("/", 1)[-1]):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
