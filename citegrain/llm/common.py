@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import string
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,47 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
+
+
+#: At most so many keys of a join are dealt over several tasks.
+MOST_HOT = 1 << 16
+
+
+def joined_to_one(rows: DataFrame, one: DataFrame, key: list[str], counts: DataFrame, total: int, how: str = "inner", least: int = 4096) -> DataFrame:
+    """*rows* joined to the single row that *one* has for each key, with hot keys dealt over several tasks.
+
+    *counts* has the key and `held`, its number of rows, and *total* is their sum, so at most `MOST_HOT` keys have more
+    rows than a share; only their counts are broadcast. *how* is inner or left.
+    """
+    share = max(least, math.ceil(total / MOST_HOT))
+    hot = F.broadcast(counts.filter(F.col("held") > share).select(*key, F.ceil(F.col("held") / share).alias("deals")))
+    deals = F.coalesce("deals", F.lit(1).cast("bigint"))
+    left = rows.join(hot, key, "left").withColumn("deal", F.pmod(F.xxhash64(*rows.columns), deals)).drop("deals")
+    right = one.join(hot, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), deals - 1))).drop("deals")
+    return left.join(right, [*key, "deal"], how).drop("deal")
+
+
+#: Bits of a mark table, which is broadcast: 8 MB at every size.
+MARK_BITS = 1 << 26
+
+
+def marks(keys: DataFrame, name: str) -> np.ndarray:
+    """A table of bits with one set for each key (a 64-bit hash): what is not marked is certainly no key."""
+    bit = F.pmod(F.col(name), F.lit(MARK_BITS))
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).alias("bits")
+    found = keys.groupBy((bit / 64).cast("bigint").alias("word")).agg(word).toArrow()  # at most MARK_BITS / 64 rows
+    table = np.zeros(MARK_BITS // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return table
+
+
+def marked(spark: SparkSession, table: np.ndarray, key: Column) -> Column:
+    """Whether a key may be one of those that *table* was made of."""
+    shared, size = spark.sparkContext.broadcast(table), MARK_BITS
+
+    @F.pandas_udf("boolean")
+    def look(keys: pd.Series) -> pd.Series:
+        bit = np.mod(keys.to_numpy().astype(np.int64), size)
+        return pd.Series((shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return look(key)

@@ -22,13 +22,15 @@ group, but never name one unless all of its ids are null.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import free_name, same
+from citegrain.llm.common import free_name, joined_to_one, marked, marks, same
 from citegrain.plans.workdir import written
 
 SHINGLE = 3
@@ -87,6 +89,12 @@ def _chain_fits(diff: Column, segments: int, distance: int) -> Column:
     return fits
 
 
+def ring_fits(diff: Column, segments: int, distance: int) -> Column:
+    """Whether some turn of the differing bits keeps every prefix budget, as those of two fingerprints within the distance do."""
+    turns = [_chain_fits(_rotated(diff, i * (64 // segments)), segments, distance) for i in range(segments)]
+    return functools.reduce(Column.__or__, turns)
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
     """Links between distinct fingerprints, for rows of fp: a < b, both within the distance.
 
@@ -127,7 +135,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
+        sums = [F.sum(F.xxhash64(F.lit(i), "a", "b").cast("decimal(38,0)")) for i in (1, 2)]
+        state = edges.agg(F.count("*"), *sums).first()
         if state == before or not state[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         before = state
@@ -164,13 +173,23 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of each root of *groups* (doc_id, text_key, root) the row that `one_of_each` keeps."""
+    """Of each root of *groups* (doc_id, text_key, root) the row that `one_of_each` keeps.
+
+    Only rows of groups of two or more (and the few that share their bits in a table of marks) are shuffled.
+    """
+    spark = docs.sparkSession
     rows = written(groups)
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
-    keep_id, keep_key, key = (free_name(docs, x) for x in ("keep_id", "keep_key", "text_key"))
-    kept = best.select(F.col("k.doc_id").alias(keep_id), F.col("k.text_key").alias(keep_key))
+    best = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
+    best = written(best.select("root", "n", "k.doc_id", "k.text_key"))
+    row_key = lambda text_key: F.xxhash64("doc_id", text_key)
+    several = best.filter("n > 1").select("root", "n")
+    several = joined_to_one(rows, several, ["root"], several.withColumnRenamed("n", "held"), rows.count())
+    table = marks(several.select(row_key("text_key").alias("row_key")), "row_key")
+    keep_id, keep_key, key, mark = (free_name(docs, x) for x in ("keep_id", "keep_key", "text_key", "marked_row"))
     texts = docs.withColumn(key, F.xxhash64("text"))
-    on = same(texts["doc_id"], kept[keep_id]) & (texts[key] == kept[keep_key])
-    out = texts.join(kept.hint("shuffle_hash"), on, "left_semi")
-    repeated = rows.groupBy("doc_id", "text_key").count().filter("count > 1").first()
-    return (out.dropDuplicates(["doc_id", key]) if repeated else out).drop(key)
+    texts = texts.withColumn(mark, marked(spark, table, row_key(key)))
+    alone, grouped_ = texts.filter(~F.col(mark)), texts.filter(F.col(mark))
+    kept = best.select(F.col("doc_id").alias(keep_id), F.col("text_key").alias(keep_key))
+    on = same(grouped_["doc_id"], kept[keep_id]) & (grouped_[key] == kept[keep_key])
+    first = grouped_.join(kept.hint("shuffle_hash"), on, "left_semi").dropDuplicates(["doc_id", key])
+    return alone.unionByName(first).drop(key, mark)
