@@ -1,27 +1,28 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs cover all training documents. A pair seen c times is quantised to
-level floor(log2 c) and put into the filter once for each level up to its own; a reader probes
-levels 1, 2, ... until one is missing, and takes 2 ** level as the count, which is never above the
+level 1 + floor(log2 c) and put into the filter once for each level up to its own; a reader probes
+levels 1, 2, ... until one is missing, and takes q = 2 ** (level - 1) as the count, which is never above the
 true one but for the filter's false positives (about one in a hundred at `BITS` bits an entry, and
-half as often for every further level). Pairs seen once are level 0 and have no entry, unless
-`singles` is set, as the query does: then every level is one higher, so that pairs seen once are level
-1, and a reader takes 2 ** (level - 1).
+half as often for every further level).
 
-p(w | h) = a * count(h, w) / c(h) + (1 - a) * p(w). The share a is what the training pairs would
-find of themselves if each was left out once: the part of them in pairs seen three times or more, with
-`singles` twice or more.
-p(w) is (c - D) / N for known words, and D * V / N for all unknown ones together, with the
-absolute discount D from the words seen once and twice.
+p(w | h) = a * q(h, w) / c(h) + (1 - a * Q(h) / c(h)) * p(w), where Q(h) is the sum of q over the pairs of h, so that
+what the quantised counts leave of h goes to p(w) and all adds up to one. After a word that training does not
+know, it is p(w). The share a is what the training pairs would find of themselves if each was left out once:
+the part of them in pairs seen twice or more. p(w) is (c - D) / N for known words, and D * V / N for all unknown ones
+together, with the absolute discount D from the words seen once and twice. A pair is filed under 32 bits of the hash of
+either word, and h stands for all words with its 32 bits in c(h) and Q(h).
 
 Counting is one pass: each task sums sorted runs of 64-bit hashes, cut into slices of the hash range
-that are merged apart; every slice has its own segment of the filter. The filter and the word
-counts are broadcast together if they hold at most `broadcast_bytes`. Beyond that the same
-levels and counts are joined to the texts' pairs instead of probed, by the same formula.
+that are merged apart; every slice has its own segment of the filter. Word counts, the sums of the words' pairs and
+the filter are broadcast together if they hold at most `broadcast_bytes`. Beyond that they stay where they are, and texts
+are scored by the same code in blocks of `BLOCK` tokens: the keys that a block asks for travel to their slices, are looked
+up or probed there, bit for bit as in the broadcast, and the answers travel back to the block.
 
 Words are split at ASCII white space, A-Z lower; every text ends in an end token. Null and empty
-texts are that token alone. Rows that repeat a document are scored alike (and counted again in
-training). Without training rows every token is unknown and has probability 1.
+texts are that token alone; long texts are taken whole. Rows that repeat a document are scored alike (and counted again in
+training). Without training rows every token is unknown and has probability 1. An empty table has no scores. Columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -42,11 +44,12 @@ BITS = 10  # of the filter for each entry
 PROBES = 5
 BROADCAST_BYTES = 256 << 20
 #: Entries that a slice of the hash range is meant to hold at most.
-SLICE_ENTRIES = 1 << 20
+SLICE_ENTRIES = 1 << 19
 #: Tokens that a task counts or scores at once.
 BLOCK = 1 << 19
 END = xxhash.xxh64_intdigest(b"\n", SEED)  # no word has white space
 START = xxhash.xxh64_intdigest(b" ", SEED)
+WORDS, PAIRS, LEFTS = 0, 1, 2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,9 +67,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def codes_of(keys: np.ndarray) -> np.ndarray:
+    """The 32 bits of a word's key under which its pairs are filed."""
+    return keys >> np.uint64(32)
+
+
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right)
+        return codes_of(left) << np.uint64(32) | codes_of(mixed(right))
+
+
+def slices_of(kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    """The slice of the hash range that each key belongs to."""
+    if not bits:
+        return np.zeros(len(keys), np.int64)
+    with np.errstate(over="ignore"):
+        spread = keys if kind == WORDS else mixed(keys * np.uint64(0x9E3779B97F4A7C15))
+    return (spread >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def left_of(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -111,139 +128,207 @@ def blocks(batches, size: int = BLOCK):
                 first, held, ends, at = i + 1, [], [], 0
 
 
+def _sliced(kind: int, keys: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
+    """The places of sorted *keys* in each slice that has some."""
+    owner = slices_of(kind, keys, bits)
+    order = np.argsort(owner, kind="stable")
+    present, starts = np.unique(owner[order], return_index=True)
+    return [(int(s), order[a:b]) for s, a, b in zip(present, starts, [*starts[1:], len(keys)])]
+
+
 def _counting(bits: int):
-    """Sums of words (kind 0) and pairs (kind 1) of each block, by slice of the hash range."""
+    """Sums of words and pairs of each block, by slice of the hash range."""
     names = ["kind", "slice", "keys", "counts"]
 
-    def sliced(kind: int, keys: np.ndarray):
+    def rows_of(kind: int, keys: np.ndarray):
         keys, counts = np.unique(keys, return_counts=True)
-        owner = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        present, starts = np.unique(owner, return_index=True)
-        stops = [*starts[1:], len(keys)]
-        return [(kind, int(s), keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for s, a, b in zip(present, starts, stops)]
+        return [(kind, s, keys[at].tobytes(), counts[at].astype("<u4").tobytes()) for s, at in _sliced(kind, keys, bits)]
 
     def count(batches):
         for _, keys, ends in blocks(batches):
-            rows = sliced(0, keys) + sliced(1, pair_keys(left_of(keys, ends), keys))
+            rows = rows_of(WORDS, keys) + rows_of(PAIRS, pair_keys(left_of(keys, ends), keys))
             types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return count
 
 
-_MERGED = "kind int, slice int, keys binary, counts binary, filter binary, bits bigint, distinct bigint, total bigint, once bigint, twice bigint, often bigint"
+_MERGED = (
+    "kind int, slice int, keys binary, counts binary, filter binary, bits bigint, lefts binary, sums binary, "
+    "distinct bigint, total bigint, once bigint, twice bigint"
+)
+_BINARY = ("keys", "counts", "filter", "lefts", "sums")
 
 
-def _merge(table: pa.Table, first: int = 0) -> pa.Table:
-    """A slice's exact counts; of pairs only those above level 0 stay, with their filter segment.
-    *first*: the level of pairs seen once."""
+def _row_table(row: dict, schema: str) -> pa.Table:
+    types = {"kind": pa.int32(), "slice": pa.int32(), **dict.fromkeys(_BINARY, pa.binary())}
+    return pa.table({n: pa.array([row[n]], types.get(n, pa.int64())) for n in (c.split()[0] for c in schema.split(", "))})
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """A slice's exact counts of words, or the filter segment of its pairs; and what its keys add to their left words."""
     kind, part = table.column("kind")[0].as_py(), table.column("slice")[0].as_py()
     joined = lambda name, dtype: np.frombuffer(b"".join(x.as_py() for x in table.column(name)), dtype=dtype)
     keys, counts = summed(joined("keys", "<u8"), joined("counts", "<u4").astype(np.int64))
     row = {
         "kind": kind, "slice": part, "distinct": len(keys), "total": int(counts.sum()), "filter": b"", "bits": 0,
-        "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "often": int(counts[counts > 2].sum()),
+        "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()),
     }
-    if kind == 1:
-        level = levels_of(counts) + first
-        keys, level = keys[level > 0], level[level > 0]
+    if kind == PAIRS:
+        level = levels_of(counts) + 1
         size = max(64, int(level.sum()) * BITS + 7 >> 3 << 3)
         marked = np.zeros(size, dtype=bool)
         for step in range(1, int(level.max(initial=0)) + 1):
             for probe in range(PROBES):
                 marked[positions(keys[level >= step], step, probe, np.uint64(size))] = True
-        row |= {"filter": np.packbits(marked).tobytes(), "bits": size}
-        counts = level
-    row |= {"keys": keys.tobytes(), "counts": np.minimum(counts, (1 << 32) - 1).astype("<u4").tobytes()}
-    types = {"kind": pa.int32(), "slice": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "filter": pa.binary()}
-    order = [c.split()[0] for c in _MERGED.split(", ")]
-    return pa.table({n: pa.array([row[n]], types.get(n, pa.int64())) for n in order})
+        row |= {"filter": np.packbits(marked).tobytes(), "bits": size, "keys": b"", "counts": b""}
+        lefts, sums = summed(codes_of(keys), np.int64(1) << (level - 1))
+    else:
+        row |= {"keys": keys.tobytes(), "counts": counts.astype("<u8").tobytes()}
+        # every token is to the left of another but the end of a text, for which its start is
+        lefts, sums = summed(codes_of(np.where(keys == END, np.uint64(START), keys)), counts)
+    return _row_table(row | {"lefts": lefts.astype("<u4").tobytes(), "sums": sums.astype("<i8").tobytes()}, _MERGED)
+
+
+def _left_rows(batches):
+    for batch in batches:
+        for kind, lefts, sums in zip(batch.column("kind").to_pylist(), batch.column("lefts"), batch.column("sums")):
+            lefts, sums = np.frombuffer(lefts.as_py(), "<u4").astype(np.int64), np.frombuffer(sums.as_py(), "<i8")
+            none = np.zeros(len(sums), np.int64)
+            columns = [lefts, *((sums, none) if kind == WORDS else (none, sums))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["code", "held", "found"])
 
 
 class Counts:
     """Totals of the training tokens, and where the merged slices are."""
 
-    def __init__(self, slices: DataFrame, slice_bits: int, first: int = 0):
-        self.slices, self.slice_bits, self.first = slices, slice_bits, first
-        sums = {r["kind"]: r for r in slices.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("distinct", "total", "once", "twice", "often", "bits")]).collect()}
-        words, pairs = sums.get(0), sums.get(1)
+    def __init__(self, slices: DataFrame, slice_bits: int):
+        self.slices, self.slice_bits = slices, slice_bits
+        sums = {r["kind"]: r for r in slices.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("distinct", "total", "once", "twice", "bits")]).collect()}
+        words, pairs = sums.get(WORDS), sums.get(PAIRS)
         self.tokens, self.kinds = (words["total"], words["distinct"]) if words else (0, 0)
         once, twice = (words["once"], words["twice"]) if words else (0, 0)
         self.discount = (once + 1) / (once + 2 * twice + 2)
-        found = (pairs["total"] - pairs["once"] if first else pairs["often"]) if pairs else 0
-        self.share = min(0.99, max(0.01, found / pairs["total"])) if pairs else 0.01
-        self.bytes = self.kinds * 12 + (pairs["bits"] // 8 if pairs else 0)
+        self.share = min(0.99, max(0.01, (pairs["total"] - pairs["once"]) / pairs["total"])) if pairs else 0.01
+        self.bytes = self.kinds * 36 + (pairs["bits"] // 8 if pairs else 0)
+        lefts = slices.select("kind", "lefts", "sums").mapInArrow(_left_rows, "code bigint, held bigint, found bigint")
+        #: How often each left word is one (held), and the sum of its pairs' quantised counts (found).
+        self.lefts = written(lefts.groupBy("code").agg(F.sum("held").alias("held"), F.sum("found").alias("found")))
 
     def plain(self) -> tuple:
         return self.tokens, self.kinds, self.discount, self.share
 
 
-def counted(docs: DataFrame, slice_entries: int = SLICE_ENTRIES, first: int = 0) -> Counts:
+def counted(docs: DataFrame, slice_entries: int = SLICE_ENTRIES) -> Counts:
     """Word and pair counts of all rows of *docs*."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, total / 6 / slice_entries))))  # a word and its gap take about six bytes
     parts = docs.select("text").mapInArrow(_counting(bits), "kind int, slice int, keys binary, counts binary")
-    merged = parts.groupBy("kind", "slice").applyInArrow(lambda table: _merge(table, first), _MERGED)
-    return Counts(written(merged), bits, first)
+    return Counts(written(parts.groupBy("kind", "slice").applyInArrow(_merge, _MERGED)), bits)
 
 
-def logs(known: np.ndarray, context: np.ndarray, pair: np.ndarray, plain: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities of tokens by the base and by the model, from counts of the token, of the
-    token before it and of both together (0: not seen)."""
+def logs(known: np.ndarray, held: np.ndarray, found: np.ndarray, pair: np.ndarray, plain: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probabilities of tokens by the base and by the model, from the count of the token, the count of the token
+    before it and the sum of its pairs, and the count of both together (0: not seen)."""
     tokens, kinds, discount, share = plain
     base = np.log10((known + 1) / (tokens + kinds + 1))
     if not tokens:
         return base, np.zeros(len(known))
     word = np.where(known > 0, known - discount, discount * kinds) / tokens
-    return base, np.log10(share * np.minimum(pair, context) / np.maximum(context, 1) + (1 - share) * word)
+    of = np.maximum(held, 1)
+    return base, np.log10(share * np.minimum(pair, held) / of + (1 - share * found / of) * word)
+
+
+def looked_up(keys: np.ndarray, table: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The values of *keys* in a sorted table, 0 for those that it does not have."""
+    if not len(table):
+        return [np.zeros(len(keys)) for _ in values]
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return [np.where(table[at] == keys, v[at], 0).astype(np.float64) for v in values]
+
+
+def probed(keys: np.ndarray, filter_bytes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """2 ** (level - 1) of each pair, 0 for those that are in no level. *sizes* and *offsets* of the segments, by *owner*."""
+    found = np.zeros(len(keys))
+    left, level = np.flatnonzero(sizes[owner] > 0), 1
+    while len(left):
+        for probe in range(PROBES):
+            own = owner[left]
+            at = positions(keys[left], level, probe, sizes[own]).astype(np.int64)
+            byte = filter_bytes[offsets[own] + (at >> 3)]
+            left = left[(byte >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+        found[left] = 2.0 ** (level - 1)
+        level += 1
+    return found
 
 
 class Reader:
-    """The broadcast word counts and filter."""
+    """Word counts, left words and the filter, all here."""
 
-    def __init__(self, plain, slice_bits, keys, counts, filter_bytes, sizes, offsets, first=0):
-        self.plain, self.slice_bits, self.keys, self.counts = plain, slice_bits, keys, counts
+    def __init__(self, plain, slice_bits, words, lefts, filter_bytes, sizes, offsets):
+        self.plain, self.slice_bits, self.of_words, self.of_lefts = plain, slice_bits, words, lefts
         self.filter, self.sizes, self.offsets = filter_bytes, sizes, offsets
-        self.first = first
 
     def words(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        kinds, back = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
-        return np.where(self.keys[at] == kinds, self.counts[at], 0)[back].astype(np.float64)
+        return looked_up(keys, *self.of_words)[0]
+
+    def lefts(self, codes: np.ndarray) -> list[np.ndarray]:
+        return looked_up(codes, *self.of_lefts)
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """2 ** (level - first) of each pair, 0 below level 1."""
-        found = np.zeros(len(keys))
-        owner = (keys >> np.uint64(64 - self.slice_bits)).astype(np.int64) if self.slice_bits else np.zeros(len(keys), np.int64)
-        left, level = np.flatnonzero(self.sizes[owner] > 0), 1
-        while len(left):
-            for probe in range(PROBES):
-                own = owner[left]
-                at = positions(keys[left], level, probe, self.sizes[own]).astype(np.int64)
-                byte = self.filter[self.offsets[own] + (at >> 3)]
-                left = left[(byte >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            found[left] = 2.0 ** (level - self.first)
-            level += 1
-        return found
-
-    def scores(self, keys: np.ndarray, ends: np.ndarray):
-        left = left_of(keys, ends)
-        known = self.words(keys)
-        context = np.empty_like(known)
-        context[1:] = known[:-1]
-        heads = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        context[heads] = known[ends[0] - 1]  # as many texts begin as end
-        base, model = logs(known, context, self.pairs(pair_keys(left, keys)), self.plain)
-        add = lambda x: np.add.reduceat(x, heads)
-        return np.diff(np.concatenate([[0], ends])), add((known > 0).astype(np.int64)), add(base), add(model)
+        return probed(keys, self.filter, self.sizes, self.offsets, slices_of(PAIRS, keys, self.slice_bits))
+
+
+class Answers:
+    """What a block asked for, as its slices answered."""
+
+    def __init__(self, plain, answers: dict[int, list[np.ndarray]]):
+        self.plain, self.answers = plain, answers
+
+    def _of(self, kind: int, keys: np.ndarray) -> list[np.ndarray]:
+        table, *values = self.answers[kind]
+        return looked_up(keys, table, *values)
+
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        return self._of(WORDS, keys)[0]
+
+    def lefts(self, codes: np.ndarray) -> list[np.ndarray]:
+        return self._of(LEFTS, codes)
+
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        return self._of(PAIRS, keys)[0]
+
+
+def scores(reader, keys: np.ndarray, ends: np.ndarray):
+    """n_tokens, n_known, base and model score of every text."""
+    left = left_of(keys, ends)
+    kinds, back = np.unique(keys, return_inverse=True)
+    known = reader.words(kinds)[back]
+    codes, back = np.unique(codes_of(left), return_inverse=True)
+    held, found = (x[back] for x in reader.lefts(codes))
+    base, model = logs(known, held, found, reader.pairs(pair_keys(left, keys)), reader.plain)
+    heads = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    add = lambda x: np.add.reduceat(x, heads)
+    return np.diff(np.concatenate([[0], ends])), add((known > 0).astype(np.int64)), add(base), add(model)
+
+
+_SCORES = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+
+def _score_rows(reader, rows: pa.RecordBatch, keys: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    found = [pa.array(x, t) for x, t in zip(scores(reader, keys, ends), _SCORES.values())]
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), *found], names=["doc_id", "held_out", *_SCORES])
+
+
+def _score_schema(docs: DataFrame) -> str:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def _collected(counts: Counts) -> tuple:
     """The arrays to broadcast; their size was checked."""
     read = lambda kind, *names: counts.slices.filter(F.col("kind") == kind).select("slice", *names).toArrow().sort_by("slice")
-    words, pairs = read(0, "keys", "counts"), read(1, "filter", "bits")
+    words, pairs = read(WORDS, "keys", "counts"), read(PAIRS, "filter", "bits")
     raw = lambda t, name, dtype: np.frombuffer(b"".join(x.as_py() for x in t.column(name)), dtype=dtype)
     sizes = np.zeros(1 << counts.slice_bits, dtype=np.uint64)
     offsets = np.zeros(1 << counts.slice_bits, dtype=np.int64)
@@ -251,82 +336,176 @@ def _collected(counts: Counts) -> tuple:
     for part, n in zip(pairs.column("slice").to_pylist(), pairs.column("bits").to_pylist()):
         sizes[part], offsets[part] = n, at
         at += n // 8
-    return counts.plain(), counts.slice_bits, raw(words, "keys", "<u8"), raw(words, "counts", "<u4"), raw(pairs, "filter", np.uint8), sizes, offsets, counts.first
+    lefts = counts.lefts.toArrow()
+    code, held, found = (lefts.column(c).to_numpy() for c in ("code", "held", "found"))
+    order = np.argsort(code)
+    left_table = (code[order].astype(np.uint64), held[order], found[order])
+    word_table = (raw(words, "keys", "<u8"), raw(words, "counts", "<u8"))
+    return counts.plain(), counts.slice_bits, word_table, left_table, raw(pairs, "filter", np.uint8), sizes, offsets
 
 
-_SCORES = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-
-
-def _probed(docs: DataFrame, counts: Counts) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_collected(counts))
+def _with_broadcast(docs: DataFrame, counts: Counts) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(_collected(counts))
 
     def score(batches):
         reader = Reader(*shared.value)
         for rows, keys, ends in blocks(batches):
-            found = [pa.array(x, t) for x, t in zip(reader.scores(keys, ends), _SCORES.values())]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), *found], names=["doc_id", "held_out", *_SCORES])
+            yield _score_rows(reader, rows, keys, ends)
+
+    return docs.mapInArrow(score, _score_schema(docs))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
+_ASKED = "part bigint, kind int, slice int, keys binary, doc_id {0}, held_out boolean, text string"
 
-def _listed(batches):
+
+def _asking(bits: int, id_type: pa.DataType):
+    """Texts with the number of their block (kind -1), and the sorted keys that the block asks of each slice."""
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), id_type, pa.bool_(), pa.string()]
+    names = [c.split()[0] for c in _ASKED.split(", ")]
+
+    def ask(batches):
+        part = TaskContext.get().partitionId() << 32
+        for rows, keys, ends in blocks(batches):
+            left = left_of(keys, ends)
+            wanted = {WORDS: keys, PAIRS: pair_keys(left, keys), LEFTS: codes_of(left) << np.uint64(32)}
+            asked = []
+            for kind, own in wanted.items():
+                own = np.unique(own)
+                asked += [(kind, s, own[at].tobytes()) for s, at in _sliced(kind, own, bits)]
+            n, m = len(asked), rows.num_rows
+            columns = [[part] * n, *zip(*asked), *[[None] * n] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            own = [pa.array([x] * m, t) for x, t in zip((part, -1, 0, None), types)]
+            texts = [rows.column(c).cast(t) for c, t in zip(("doc_id", "held_out", "text"), types[4:])]
+            yield pa.RecordBatch.from_arrays(own + texts, names=names)
+            part += 1
+
+    return ask
+
+
+_TABLE = "kind int, slice int, is_asked int, part bigint, keys binary, counts binary, more binary, bits bigint"
+_ANSWER = "part bigint, kind int, keys binary, counts binary, more binary"
+
+
+def _left_slice(table: pa.Table) -> pa.Table:
+    codes, held, found = (table.column(c).to_numpy() for c in ("code", "held", "found"))
+    order = np.argsort(codes)
+    return pa.table({
+        "kind": pa.array([LEFTS], pa.int32()), "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()),
+        "keys": [(codes[order].astype(np.uint64) << np.uint64(32)).tobytes()], "counts": [held[order].astype("<u8").tobytes()],
+        "more": [found[order].astype("<u8").tobytes()],
+    })
+
+
+def _answer(batches):
+    """Each slice's own row comes first, then what blocks ask of it."""
+    held, names = None, [c.split()[0] for c in _ANSWER.split(", ")]
     for batch in batches:
-        for i, (keys, values) in enumerate(zip(batch.column("keys"), batch.column("counts"))):
-            keys, values = np.frombuffer(keys.as_py(), "<i8"), np.frombuffer(values.as_py(), "<u4").astype(np.int64)
-            for at in range(0, len(keys), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 10_000]), pa.array(values[at : at + 10_000])], names=["key", "value"])
+        rows = []
+        for r in batch.to_pylist():
+            if not r["is_asked"]:
+                held = r
+                continue
+            kind, keys = r["kind"], np.frombuffer(r["keys"], "<u8")
+            own = held if held is not None and (held["kind"], held["slice"]) == (kind, r["slice"]) else None
+            if kind == PAIRS:
+                none = np.zeros(len(keys), np.int64)
+                bits = np.frombuffer(own["keys"], np.uint8) if own else np.zeros(0, np.uint8)
+                values = [probed(keys, bits, np.array([own["bits"] if own else 0], np.uint64), none[:1], none)] if len(keys) else [np.zeros(0)]
+            else:
+                tables = [np.frombuffer(own[c] or b"", "<u8") for c in ("keys", "counts", "more")] if own else [np.zeros(0, np.uint64)] * 3
+                values = looked_up(keys, *(tables if kind == LEFTS else tables[:2]))
+            values = [v.astype("<f8").tobytes() for v in values]
+            rows.append((r["part"], kind, r["keys"], values[0], values[1] if len(values) > 1 else None))
+        if rows:
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def _joined(docs: DataFrame, counts: Counts) -> DataFrame:
-    """The same scores by joins, for counts that are too large to broadcast."""
+def _answered(plain: tuple):
+    """Scores of a block's texts, which come behind the answers to it."""
+
+    def score(batches):
+        part, held, reader = None, {}, None
+        for batch in batches:
+            parts, kinds = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | ((kinds[1:] < 0) != (kinds[:-1] < 0))) + 1), len(parts)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if parts[a] != part:
+                    part, held, reader = parts[a], {WORDS: [], PAIRS: [], LEFTS: []}, None
+                rows = batch.slice(int(a), int(b - a))
+                if kinds[a] >= 0:
+                    for kind, *values in zip(*(rows.column(c).to_pylist() for c in ("kind", "keys", "counts", "more"))):
+                        held[kind].append(values)
+                    continue
+                reader = reader or _reader(plain, held)
+                for texts, keys, ends in blocks([rows]):
+                    yield _score_rows(reader, texts, keys, ends)
+
+    return score
+
+
+def _reader(plain: tuple, held: dict[int, list]) -> Answers:
+    answers = {}
+    for kind, rows in held.items():
+        keys = np.frombuffer(b"".join(r[0] for r in rows), "<u8")
+        order = np.argsort(keys)
+        values = [np.frombuffer(b"".join(r[i] for r in rows), "<f8")[order] for i in ((1, 2) if kind == LEFTS else (1,))]
+        keys = keys[order]
+        answers[kind] = [codes_of(keys) if kind == LEFTS else keys, *values]
+    return Answers(plain, answers)
+
+
+def _by_slices(docs: DataFrame, counts: Counts) -> DataFrame:
+    """The same scores where the counts lie: keys travel to their slices, and the answers back to the texts."""
     kind = docs.schema["doc_id"].dataType
-    names = ["row", "doc_id", "held_out", "word", "before", "pair", "n"]
-
-    def pairs(batches):
-        types = [pa.int64(), to_arrow_type(kind), pa.bool_(), *[pa.int64()] * 4]
-        for rows, keys, ends in blocks(batches, 1 << 16):
-            left, first = left_of(keys, ends), 0
-            for i, end in enumerate(ends):
-                both = np.stack([keys[first:end], left[first:end]])
-                (word, before), n = np.unique(both, axis=1, return_counts=True)
-                row = [rows.column(c)[i].as_py() for c in names[:3]]
-                numbers = [x.view(np.int64) for x in (word, before, pair_keys(before, word))] + [n.astype(np.int64)]
-                columns = [pa.array([x] * len(n), t) for x, t in zip(row, types)] + [pa.array(x, pa.int64()) for x in numbers]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                first = end
-
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    schema = f"row bigint, doc_id {kind.simpleString()}, held_out boolean, word bigint, before bigint, pair bigint, n bigint"
-    rows = numbered.mapInArrow(pairs, schema)
-    listed = lambda k: counts.slices.filter(F.col("kind") == k).select("keys", "counts").mapInArrow(_listed, "key bigint, value bigint")
-    words, levels = listed(0), listed(1)
-    ends = words.filter(F.col("key") == F.lit(np.uint64(END).astype(np.int64).item())).select(
-        F.lit(np.uint64(START).astype(np.int64).item()).alias("key"), "value"
+    schema = _ASKED.format(kind.simpleString())
+    asked = written(docs.select("doc_id", "held_out", "text").mapInArrow(_asking(counts.slice_bits, to_arrow_type(kind)), schema))
+    of = lambda kind, keys, counts_, bits: counts.slices.filter(F.col("kind") == kind).select(
+        "kind", "slice", keys.alias("keys"), counts_.alias("counts"), F.lit(None).cast("binary").alias("more"), bits.alias("bits")
+    )
+    none = F.lit(None)
+    owner = F.shiftrightunsigned(F.col("spread"), 64 - counts.slice_bits).cast("int") if counts.slice_bits else F.lit(0)
+    lefts = _with_spread(counts.lefts).withColumn("slice", owner).drop("spread").groupBy("slice").applyInArrow(
+        _left_slice, "kind int, slice int, keys binary, counts binary, more binary"
+    ).withColumn("bits", none.cast("bigint"))
+    tables = of(WORDS, F.col("keys"), F.col("counts"), none.cast("bigint"))
+    tables = tables.unionByName(of(PAIRS, F.col("filter"), none.cast("binary"), F.col("bits"))).unionByName(lefts)
+    tables = tables.withColumns({"is_asked": F.lit(0), "part": none.cast("bigint")})
+    questions = asked.filter("kind >= 0").select("kind", "slice", "part", "keys").withColumns(
+        {"is_asked": F.lit(1), "counts": none.cast("binary"), "more": none.cast("binary"), "bits": none.cast("bigint")}
     )
-    for name, table in (("word", words), ("before", words.union(ends)), ("pair", levels)):
-        rows = rows.join(table.select(F.col("key").alias(name), F.col("value").alias(f"of_{name}")), name, "left")
-    known, context = (F.coalesce(f"of_{x}", F.lit(0)).cast("double") for x in ("word", "before"))
-    pair = F.when(F.col("of_pair") > 0, F.pow(F.lit(2.0), F.col("of_pair") - counts.first)).otherwise(0.0)
-    tokens, kinds, discount, share = counts.plain()
-    base = F.log10((known + 1) / F.lit(float(tokens + kinds + 1)))
-    model = F.lit(0.0)
-    if tokens:
-        word = F.when(known > 0, known - discount).otherwise(discount * kinds) / tokens
-        model = F.log10(F.lit(share) * F.least(pair, context) / F.greatest(context, F.lit(1.0)) + F.lit(1 - share) * word)
-    n = F.col("n")
-    return rows.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n").alias("n_tokens"),
-        F.sum(F.when(known > 0, n).otherwise(0)).alias("n_known"), F.sum(base * n).alias("base_score"), F.sum(model * n).alias("score"),
-    ).drop("row")
-
-
-def scored(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, slice_entries: int = SLICE_ENTRIES, singles: bool = False) -> DataFrame:
+    names = [c.split()[0] for c in _TABLE.split(", ")]
+    both = tables.select(*names).unionByName(questions.select(*names)).repartition("kind", "slice").sortWithinPartitions("kind", "slice", "is_asked")
+    answers = both.mapInArrow(_answer, _ANSWER)
+    texts = asked.filter("kind < 0").select(
+        "part", "kind", *[none.cast("binary").alias(c) for c in ("keys", "counts", "more")], "doc_id", "held_out", "text"
+    )
+    answers = answers.select("*", none.cast(kind).alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("text"))
+    rows = answers.unionByName(texts).repartition("part").sortWithinPartitions("part", F.desc("kind"))
+    return rows.mapInArrow(_answered(counts.plain()), _score_schema(docs))
+
+
+def _with_spread(lefts: DataFrame) -> DataFrame:
+    """Left words with the spread bits of their keys, as `slices_of` makes them."""
+
+    def spread(batches):
+        for batch in batches:
+            codes = batch.column("code").to_numpy().astype(np.uint64)
+            with np.errstate(over="ignore"):
+                bits = mixed((codes << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], names=["code", "held", "found", "spread"])
+
+    return lefts.mapInArrow(spread, "code bigint, held bigint, found bigint, spread bigint")
+
+
+def scored(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, slice_entries: int = SLICE_ENTRIES) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = counted(rows.filter(~F.col("held_out")), slice_entries, int(singles))
-    out = (_probed if counts.bytes <= broadcast_bytes else _joined)(rows, counts)
+    counts = counted(rows.filter(~F.col("held_out")), slice_entries)
+    out = (_with_broadcast if counts.bytes <= broadcast_bytes else _by_slices)(rows, counts)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
     )

@@ -66,22 +66,78 @@ def test_toxicity_without_both_classes(spark):
     assert toxicity.scored(empty(spark), model).count() == 0
 
 
-def test_toxicity_counts_are_those_of_the_rows(spark):
-    rows = spark.createDataFrame([(1, "a b a b", 1), (2, "b a", 0), (3, "a b a b", 0)], "doc_id bigint, text string, toxic int")
-    stems, kinds, pairs = toxicity.counted(rows)
-    # ordinary: -b, ba, -a, ab are distinct; toxic: -a, ab, ba. Pairs seen three times are ab (4) and ba (3)
-    assert pairs.total.tolist() == [6, 4] and stems.total.tolist() == kinds.total.tolist() == [4, 3]
-    assert sorted(pairs.n.sum(axis=0).tolist()) == [3, 4]
+def plain_kneser_ney(rows):
+    """p_y(w | h) of both classes in plain dictionaries, and the words that the models know."""
+    d, words = toxicity.DISCOUNT, [(toxicity.words_of(t), y) for _, t, y in rows]
+    c = [Counter(p for ws, own in words if own == y for p in zip([b"", *ws], ws)) for y in (0, 1)]
+    k = [Counter(w for _, w in of) for of in c]
+    s = [Counter() for _ in c]
+    for y in (0, 1):
+        for w, n in k[y].items():
+            s[y][toxicity.stem_of(w)] += n
+    m = [sum(x.values()) for x in k]
+    over = lambda n: max(n - d, 0)
+
+    def mixed(of, whole, key, below):
+        left = [sum(map(over, x.values())) for x in of]
+        b = 1 - min(a / n if n else 0 for a, n in zip(left, whole))
+        return [(1 - b) * (over(x[key]) / a if a else 0) + b * q for x, a, q in zip(of, left, below)]
+
+    def p(h, w):
+        stem, both_k, both_s = toxicity.stem_of(w), k[0][w] + k[1][w], s[0][toxicity.stem_of(w)] + s[1][toxicity.stem_of(w)]
+        q = mixed(s, m, stem, [(both_s or 1) / (sum(m) + 1)] * 2)
+        g = (both_k or 1) / (both_s + 1) if both_s else 1
+        of_h = [Counter({b: n for (a, b), n in x.items() if a == h}) for x in c]
+        return mixed(of_h, [sum(x.values()) for x in of_h], w, mixed(k, m, w, [x * g for x in q]))
+
+    stems = {toxicity.stem_of(w) for w in [*k[0], *k[1]]}
+    return p, sorted({*k[0], *k[1]}), stems
+
+
+def class_rows(n=60):
+    r, rows = random.Random(8), []
+    for i in range(n):
+        y = i % 2
+        pool = ["common", "words", "here", "and", "there"] + (["vilest", "vilesta", "vilestox"] if y else ["lovely", "garden"])
+        rows.append((i, " ".join(r.choice(pool) if r.random() < 0.8 else f"w{r.randrange(200)}" for _ in range(30)), y))
+    return rows
 
 
-def test_toxicity_model_keeps_rare_words_and_pairs(spark):
-    rows, labels = [(i, f"a b c{i} d") for i in range(40)], [(i, i % 2) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
-    n = sum(not held(i, 4) for i, _ in rows)
-    assert len(model.words.keys) == n + 3 and len(model.pairs.keys) == 2 * n + 2  # c0, c1, ... once each
-    for level in (model.stems, model.words, model.pairs):
-        assert level.n.sum(axis=1).tolist() == level.total.tolist()
+def test_toxicity_models_are_kneser_ney(spark):
+    rows = class_rows()
+    p, vocabulary, stems = plain_kneser_ney(rows)
+    for h in (b"", b"common", b"vilest", b"never"):
+        unknown = [f"{x.decode()}{'~' * 9}".encode() for x in stems if len(x) == toxicity.STEM]
+        total = np.sum([p(h, w) for w in vocabulary], axis=0)
+        assert (total < 1).all() and (total > 0.5).all()
+        rest = np.sum([p(h, w) for w in unknown], axis=0) + np.array(p(h, b"quite unknown"))
+        short = [x for x in stems if len(x) < toxicity.STEM]  # nothing but the word itself has such a stem
+        assert np.allclose(total + rest, 1, atol=0.02 * len(short))
+    counts = toxicity.counted(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    reader = toxicity.Reader(counts)
+    for _, text, _ in [*rows[:12], (0, "never seen vilest words common garden gardening here here w3", 0)]:
+        words = toxicity.words_of(text)
+        want = np.array([p(h, w) for h, w in zip([b"", *words], words)]).T
+        got = reader.likelihoods(words)
+        assert np.allclose(np.log(got[1] / got[0]), np.log(want[1] / want[0]), atol=1e-6)
+        ratio = np.log(want[1] / want[0])
+        assert reader.evidence(text) == pytest.approx((ratio.mean(), max(ratio[i : i + 2].mean() for i in range(len(ratio) - 1))), abs=1e-6)
+
+
+def test_own_counts_are_taken_out(spark):
+    rows = class_rows()
+    counts = toxicity.counted(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    for i in (0, 1, 7):
+        others = toxicity.counted(spark.createDataFrame(rows[:i] + rows[i + 1 :], "doc_id bigint, text string, toxic int"))
+        got, want = toxicity.without_own(counts, rows[i][1], rows[i][2]), toxicity.Reader(others).evidence(rows[i][1])
+        assert got == pytest.approx(want, abs=0.05)
+
+
+def test_training_rows_are_bounded_by_bytes(spark):
+    rows = [row(i, "x " * 500) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    kept = toxicity.training_rows(documents(spark, rows + rows[:50]), labels, max_bytes=5000).collect()
+    assert Counter(r["toxic"] for r in kept) == {0: 5, 1: 5} and not any(held(r["doc_id"], 4) for r in kept)
 
 
 def brute_url(url, rules):
@@ -158,6 +214,7 @@ def test_sketches_estimate_and_merge(monkeypatch):
 
 
 def plain_lm(rows):
+    """Tokens, pairs and their quantised counts in plain dictionaries."""
     tokens = [[*(r[1] or "").encode().lower().split(), b"\n"] for r in rows]
     train = [not held(r[0], 7) if r[0] is not None else True for r in rows]
     known = Counter(w for t, k in zip(tokens, train) if k for w in t)
@@ -165,43 +222,75 @@ def plain_lm(rows):
     n, v = sum(known.values()), len(known)
     once, twice = (sum(c == i for c in known.values()) for i in (1, 2))
     discount = (once + 1) / (once + 2 * twice + 2)
-    share = min(0.99, max(0.01, sum(c for c in pairs.values() if c > 2) / sum(pairs.values())))
+    share = min(0.99, max(0.01, sum(c for c in pairs.values() if c > 1) / sum(pairs.values())))
+    quantised = {p: 2 ** int(math.log2(c)) for p, c in pairs.items()}
+    found, of = Counter(), Counter()
+    for (h, w), q in quantised.items():
+        found[h] += q
+    for (h, w), c in pairs.items():
+        of[h] += c
+
+    def p(h, w):
+        word = (known[w] - discount) / n if known[w] else discount * v / n
+        return share * quantised.get((h, w), 0) / max(of[h], 1) + (1 - share * found[h] / max(of[h], 1)) * word
+
+    assert all(sum(p(h, w) for w in [*known, "never"]) == pytest.approx(1, abs=1e-9) for h in [*list(known)[:40], None, "never"])
     out = []
     for t, k in zip(tokens, train):
         base = sum(math.log10((known[w] + 1) / (n + v + 1)) for w in t)
-        score = 0.0
-        for h, w in zip([None, *t], t):
-            c, of = pairs[h, w], known[h] if h is not None else known[b"\n"]
-            level = 2 ** int(math.log2(c)) if c > 1 else 0
-            p = (known[w] - discount) / n if known[w] else discount * v / n
-            score += math.log10(share * min(level, of) / max(of, 1) + (1 - share) * p)
-        out.append((not k, len(t), sum(known[w] > 0 for w in t), n, base, score))
+        out.append((not k, len(t), sum(known[w] > 0 for w in t), n, base, sum(math.log10(p(h, w)) for h, w in zip([None, *t], t))))
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"slice_entries": 50}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "slice_entries": 50}])
+def lm_rows():
+    return odd_rows() + [row(100 + i, words(i % 30, 40, 30)) for i in range(80)]
+
+
+def lm_scores(spark, rows, **how):
+    near = lambda x: tuple(round(v, 6) if isinstance(v, float) else v for v in x)
+    got = ngram_bloom.scored(documents(spark, rows), **how).collect()
+    return Counter(near((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])) for r in got)
+
+
+@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0, "slice_entries": 50}])
 def test_lm_scores(spark, how, monkeypatch):
     monkeypatch.setattr(ngram_bloom, "BITS", 64)  # false positives are rare enough for none here
-    rows = odd_rows() + [row(100 + i, words(i % 30, 40, 30)) for i in range(80)]
-    got = ngram_bloom.scored(documents(spark, rows), **how).collect()
+    rows = lm_rows()
     near = lambda x: tuple(round(v, 6) if isinstance(v, float) else v for v in x)
-    want = Counter((r[0], *near(x)) for r, x in zip(rows, plain_lm(rows)))
-    assert Counter(near((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])) for r in got) == want
+    assert lm_scores(spark, rows, **how) == Counter((r[0], *near(x)) for r, x in zip(rows, plain_lm(rows)))
 
 
-@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0}])
-def test_lm_counts_pairs_seen_once(spark, how, monkeypatch):
-    monkeypatch.setattr(ngram_bloom, "BITS", 64)
-    train, test = [i for i in range(40) if not held(i, 7)], next(i for i in range(40) if held(i, 7))
-    rows = [row(i, f"a{i} b{i} a{i}") for i in train[:3]] + [row(test, f"a{train[0]} b{train[0]}")]
-    got = {r["doc_id"]: r for r in ngram_bloom.scored(documents(spark, rows), singles=True, **how).collect()}[test]
-    # 12 tokens of 7 kinds: each a twice, each b once, 3 ends; all 12 pairs once, so the share is at its least
-    n, discount, share = 12, (3 + 1) / (3 + 2 * 3 + 2), 0.01
-    p = [share * pair / of + (1 - share) * (c - discount) / n for pair, of, c in ((1, 3, 2), (1, 2, 1), (0, 1, 3))]
-    assert got["score"] == pytest.approx(sum(map(math.log10, p)), abs=1e-9)
+def test_lm_scores_are_the_same_on_both_sides_of_the_broadcast_bound(spark, monkeypatch):
+    """With the query's own bits, false positives and all; and with blocks of a few texts."""
+    rows = lm_rows()
+    for entries in (1 << 20, 50):
+        want = lm_scores(spark, rows, slice_entries=entries)
+        monkeypatch.setattr(ngram_bloom, "BLOCK", 300)
+        assert lm_scores(spark, rows, broadcast_bytes=0, slice_entries=entries) == want
+        monkeypatch.undo()
+    exact = {r[0]: x[-1] for r, x in zip(rows, plain_lm(rows))}
+    off = [abs(k[-1] - exact[k[0]]) / k[2] for k in want if k[0] is not None and k[0] >= 100]
+    assert np.mean(off) < 0.03
 
 
-def test_filter_finds_all_and_little_else(spark):
+def test_probabilities_add_up_to_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_bloom, "BITS", 64)
+    docs = documents(spark, lm_rows()).withColumn("held_out", F.lit(False))
+    counts = ngram_bloom.counted(docs)
+    reader = ngram_bloom.Reader(*ngram_bloom._collected(counts))
+    vocabulary = reader.of_words[0]
+    never = np.array([12345], np.uint64)
+    for left in [*vocabulary[:: max(1, len(vocabulary) // 30)], np.uint64(ngram_bloom.START), never[0]]:
+        right = np.concatenate([vocabulary, never])
+        lefts = np.full(len(right), left)
+        held_, found = reader.lefts(ngram_bloom.codes_of(lefts))
+        if left == ngram_bloom.END:
+            continue  # nothing follows the end of a text
+        _, p = ngram_bloom.logs(reader.words(right), held_, found, reader.pairs(ngram_bloom.pair_keys(lefts, right)), reader.plain)
+        assert (10**p).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_filter_finds_all_and_little_else():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 63, 20_000).astype(np.uint64))
     counts = r.integers(1, 40, len(keys)).astype(np.int64)
@@ -209,13 +298,11 @@ def test_filter_finds_all_and_little_else(spark):
 
     table = pa.table({"kind": [1], "slice": [0], "keys": [keys.tobytes()], "counts": [counts.astype("<u4").tobytes()]})
     merged = ngram_bloom._merge(table)
-    bits = np.frombuffer(merged["filter"][0].as_py(), np.uint8)
-    sizes = np.array([merged["bits"][0].as_py()], np.uint64)
-    reader = ngram_bloom.Reader((1, 1, 0.5, 0.5), 0, keys, counts, bits, sizes, np.zeros(1, np.int64))
-    found = reader.pairs(keys)
-    exact = np.where(counts > 1, 2.0 ** np.floor(np.log2(counts)), 0)
-    assert (found >= exact).all() and (found > exact).mean() < 0.03
-    assert (reader.pairs(np.setdiff1d(r.integers(0, 1 << 63, 20_000).astype(np.uint64), keys)) > 0).mean() < 0.03
+    bits, sizes = np.frombuffer(merged["filter"][0].as_py(), np.uint8), np.array([merged["bits"][0].as_py()], np.uint64)
+    probe = lambda k: ngram_bloom.probed(k, bits, sizes, np.zeros(1, np.int64), np.zeros(len(k), np.int64))
+    exact = 2.0 ** np.floor(np.log2(counts))
+    assert (probe(keys) >= exact).all() and (probe(keys) > exact).mean() < 0.03
+    assert (probe(np.setdiff1d(r.integers(0, 1 << 63, 20_000).astype(np.uint64), keys)) > 0).mean() < 0.03
 
 
 def test_lm_without_training_rows(spark):
