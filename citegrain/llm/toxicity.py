@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Toxic and ordinary texts have a model y each, of the class's own counts, with an absolute discount D:
+Toxic and ordinary texts have a model y each, of the class's own counts, with absolute discounts D of pairs and of contexts:
 
 * p_y(w | h) = (1 - b(h)) * f_y(w | h) + b(h) * p_y(w), where f_y shares out what the discount leaves of the pairs of h,
   max(c_y(h, w) - D, 0), and b(h) is the mass that it frees. For the class with the fewer counts this is
@@ -20,7 +20,7 @@ own counts taken out (a pair that is not kept counts as the row's alone), makes
 Training rows are those whose CRC-32 of doc_id as text, modulo 4, is not 2, that have a label of
 0 or 1 (the highest, if a doc_id has several), in the order of a hash of doc_id: of each class at most `max_rows`, and no
 more once those before hold `max_bytes` of text. Spark counts them; what the discount leaves is collected and broadcast. That is
-one entry of 24 bytes for every four words of these rows at most, at every size of the input. Words are known by 32 bits of
+less than one entry of 24 bytes for every four words of these rows, at every size of the input. Words are known by 32 bits of
 their hash.
 
 Scores cover every row and whole texts of any length: null and empty texts have evidence 0; without rows of both classes
@@ -42,9 +42,10 @@ from pyspark.sql import functions as F
 
 from citegrain.plans.workdir import discard, written
 
-DISCOUNT = 3
+#: The discounts of contexts and of pairs.
+DISCOUNT, PAIR_DISCOUNT = 3, 8
 STEM = 5
-WINDOW = 2
+WINDOW = 3
 MAX_ROWS = 10_000
 MAX_BYTES = 32 << 20
 THRESHOLD = 0.3
@@ -83,8 +84,8 @@ def _sums(group: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
     return np.bincount(group, weights=values, minlength=n)
 
 
-def _left_over(counts: np.ndarray) -> np.ndarray:
-    return np.maximum(counts - DISCOUNT, 0)
+def _left_over(counts: np.ndarray, discount: int = DISCOUNT) -> np.ndarray:
+    return np.maximum(counts - discount, 0)
 
 
 def _freed(left: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -92,8 +93,8 @@ def _freed(left: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return 1.0 - np.where(whole > 0, left / np.maximum(whole, 1), 0.0).min(axis=0)
 
 
-def _shares(counts: np.ndarray, left: np.ndarray) -> np.ndarray:
-    return _left_over(counts) / np.maximum(left, 1)
+def _shares(counts: np.ndarray, left: np.ndarray, discount: int = DISCOUNT) -> np.ndarray:
+    return _left_over(counts, discount) / np.maximum(left, 1)
 
 
 @dataclass
@@ -123,7 +124,7 @@ class Counts:
     def of_pairs(self, n: np.ndarray, c: np.ndarray, left: np.ndarray, of_word: np.ndarray) -> np.ndarray:
         """p_y(w | h) of both classes."""
         b = _freed(left, c)
-        return (1 - b) * _shares(n, left) + b * of_word
+        return (1 - b) * _shares(n, left, PAIR_DISCOUNT) + b * of_word
 
     def plain(self) -> tuple:
         """Arrays only: what is broadcast must not need this module to be read."""
@@ -205,7 +206,7 @@ def without_own(counts: Counts, text: str | None, y: int) -> tuple[float, float]
     n, c = _picked(counts.n, _at(counts.pairs, pair)), _picked(counts.c, _at(counts.lefts, left[first]))
     k, g, s = _words(counts, code[first], stem[first])
     gone = (n[y] <= own).astype(float)
-    less = _left_over(n[y]) - _left_over(n[y] - own)
+    less = _left_over(n[y], PAIR_DISCOUNT) - _left_over(n[y] - own, PAIR_DISCOUNT)
     n[y] -= own
     totals = counts.totals.copy()
     totals[y, 0] -= gone.sum()
@@ -286,8 +287,8 @@ def counted(rows: DataFrame) -> Counts:
     listed = rows.select("text", "toxic").mapInArrow(_listed, "kind int, key bigint, n0 bigint, n1 bigint")
     sums = written(listed.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1")]))
     low, high = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("key", 32)
-    over = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0))
-    some = lambda *cs: F.greatest(*[F.col(c) for c in cs]) > DISCOUNT
+    over = lambda c, d=DISCOUNT: F.greatest(F.col(c) - d, F.lit(0))
+    some = lambda *cs: F.greatest(*[F.col(c) for c in cs]) > (PAIR_DISCOUNT if cs[0] == "n0" else DISCOUNT)
     pairs = sums.filter("kind = 0").select("key", high.alias("left"), low.alias("word"), "n0", "n1")
     # should two words share 32 bits, the smaller stem is theirs
     stem = sums.filter("kind = 1").select(high.alias("word"), low.alias("stem")).groupBy("word").agg(F.min("stem").alias("stem"))
@@ -298,7 +299,7 @@ def counted(rows: DataFrame) -> Counts:
     stems = words.groupBy("stem").agg(F.sum("k0").alias("s0"), F.sum("k1").alias("s1"), F.max("in_pair").alias("in_pair"))
     kept = words.filter(some("k0", "k1") | F.col("in_pair")).join(stems.select("stem", "s0", "s1"), "stem")
     g = (F.col("k0") + F.col("k1")) / (F.col("s0") + F.col("s1") + 1)
-    lefts = pairs.groupBy("left").agg(*[F.sum(f"n{y}").alias(f"c{y}") for y in (0, 1)], *[F.sum(over(f"n{y}")).alias(f"t{y}") for y in (0, 1)])
+    lefts = pairs.groupBy("left").agg(*[F.sum(f"n{y}").alias(f"c{y}") for y in (0, 1)], *[F.sum(over(f"n{y}", PAIR_DISCOUNT)).alias(f"t{y}") for y in (0, 1)])
 
     def taken(table: DataFrame, key: str, values: list[str], kind: type) -> tuple[np.ndarray, np.ndarray]:
         found = table.select(key, *values).toArrow()

@@ -68,7 +68,7 @@ def test_toxicity_without_both_classes(spark):
 
 def plain_kneser_ney(rows):
     """p_y(w | h) of both classes in plain dictionaries, and the words that the models know."""
-    d, words = toxicity.DISCOUNT, [(toxicity.words_of(t), y) for _, t, y in rows]
+    words = [(toxicity.words_of(t), y) for _, t, y in rows]
     c = [Counter(p for ws, own in words if own == y for p in zip([b"", *ws], ws)) for y in (0, 1)]
     k = [Counter(w for _, w in of) for of in c]
     s = [Counter() for _ in c]
@@ -76,9 +76,9 @@ def plain_kneser_ney(rows):
         for w, n in k[y].items():
             s[y][toxicity.stem_of(w)] += n
     m = [sum(x.values()) for x in k]
-    over = lambda n: max(n - d, 0)
 
-    def mixed(of, whole, key, below):
+    def mixed(of, whole, key, below, d=toxicity.DISCOUNT):
+        over = lambda n: max(n - d, 0)
         left = [sum(map(over, x.values())) for x in of]
         b = 1 - min(a / n if n else 0 for a, n in zip(left, whole))
         return [(1 - b) * (over(x[key]) / a if a else 0) + b * q for x, a, q in zip(of, left, below)]
@@ -88,7 +88,7 @@ def plain_kneser_ney(rows):
         q = mixed(s, m, stem, [(both_s or 1) / (sum(m) + 1)] * 2)
         g = (both_k or 1) / (both_s + 1) if both_s else 1
         of_h = [Counter({b: n for (a, b), n in x.items() if a == h}) for x in c]
-        return mixed(of_h, [sum(x.values()) for x in of_h], w, mixed(k, m, w, [x * g for x in q]))
+        return mixed(of_h, [sum(x.values()) for x in of_h], w, mixed(k, m, w, [x * g for x in q]), toxicity.PAIR_DISCOUNT)
 
     stems = {toxicity.stem_of(w) for w in [*k[0], *k[1]]}
     return p, sorted({*k[0], *k[1]}), stems
@@ -121,7 +121,7 @@ def test_toxicity_models_are_kneser_ney(spark):
         got = reader.likelihoods(words)
         assert np.allclose(np.log(got[1] / got[0]), np.log(want[1] / want[0]), atol=1e-6)
         ratio = np.log(want[1] / want[0])
-        assert reader.evidence(text) == pytest.approx((ratio.mean(), max(ratio[i : i + 2].mean() for i in range(len(ratio) - 1))), abs=1e-6)
+        assert reader.evidence(text) == pytest.approx((ratio.mean(), max(ratio[i : i + 3].mean() for i in range(len(ratio) - 2))), abs=1e-6)
 
 
 def test_own_counts_are_taken_out(spark):
