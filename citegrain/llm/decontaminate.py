@@ -6,8 +6,9 @@ and digits). Document windows are looked up by hash in a broadcast set, and what
 there is compared word by word. A document word inside any such window is hit.
 
 Null texts, and texts without words, have no windows and are never hit; a null item id counts
-as no item. Rows that repeat a document are judged alike, each for itself. Columns of the
-documents other than doc_id and text pass through untouched.
+as no item. Rows that repeat a document are judged alike, each for itself, and searched for hits once.
+Texts of any length are searched whole. Empty tables give no rows, an empty benchmark hits nothing. Columns of the
+documents other than doc_id and text pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ def _text_key(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Where windows occur: doc_id, text_key, at (word position from 0), gram.
+    """Where windows occur: doc_id, text_key, at (word position from 0), gram; once for rows that repeat a document.
 
-    One scan of the texts. The set of window hashes is broadcast if the windows' words hold
-    at most *broadcast_bytes*; otherwise both lookups are shuffled joins.
+    The set of window hashes is broadcast if the windows' words hold at most *broadcast_bytes*; otherwise both
+    lookups are shuffled joins of hashes, and only texts with a hit are read again.
     """
     grams = windows.select("gram").distinct().select(F.xxhash64("gram").alias("h"), "gram")
     size = grams.agg(
@@ -47,8 +48,6 @@ def occurrences(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = BROA
         F.sort_array(F.collect_set(F.size("gram"))).alias("lengths"),
     ).first()
     lengths = size["lengths"]  # at most as many as a window has words
-    hint = F.broadcast if size["bytes"] <= broadcast_bytes else lambda df: df.hint("merge")
-
     words = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), letter_words(F.col("text")).alias("words"))
     n = F.lit(lengths[0] if lengths else WINDOW)
     if len(lengths) > 1:
@@ -57,10 +56,22 @@ def occurrences(docs: DataFrame, windows: DataFrame, broadcast_bytes: int = BROA
     starts = words.filter(F.size("words") >= n).select(
         "doc_id", "text_key", "words", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("at")
     )
-    gram = F.slice("words", F.col("at") + 1, F.col("n"))
-    maybe = starts.withColumn("h", F.xxhash64(gram)).join(hint(grams.select("h").distinct()), "h", "left_semi")
-    found = maybe.select("doc_id", "text_key", "at", "h", gram.alias("gram"))
-    return found.join(hint(grams), ["h", "gram"]).select("doc_id", "text_key", "at", "gram")
+    gram, hashes = F.slice("words", F.col("at") + 1, F.col("n")), grams.select("h").distinct()
+    if size["bytes"] <= broadcast_bytes:
+        cut = starts.select("doc_id", "text_key", "at", F.xxhash64(gram).alias("h"), gram.alias("gram"))
+        maybe = cut.join(F.broadcast(hashes), "h", "left_semi")
+        return maybe.join(F.broadcast(grams), ["h", "gram"]).select("doc_id", "text_key", "at", "gram").distinct()
+    # windows are shuffled without their words, and those with a known hash are cut out of their texts again
+    cut = starts.select("doc_id", "text_key", "at", "n", F.xxhash64(gram).alias("h"))
+    maybe = written(cut.join(hashes.hint("merge"), "h", "left_semi").distinct())
+    of = maybe.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "at", "n", "h")
+    texts = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), "text")
+    ids = of.select("of_id", "of_key").distinct()
+    on = same(F.col("doc_id"), F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
+    texts = texts.join(ids, on, "left_semi").groupBy("doc_id", "text_key").agg(F.max("text").alias("text"))
+    texts = texts.select("doc_id", "text_key", letter_words(F.col("text")).alias("words"))
+    found = texts.join(of, on).select("doc_id", "text_key", "at", "h", gram.alias("gram"))
+    return found.join(grams.hint("merge"), ["h", "gram"]).select("doc_id", "text_key", "at", "gram")
 
 
 def spans(found: DataFrame) -> DataFrame:

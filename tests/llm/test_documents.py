@@ -210,6 +210,35 @@ def test_shards_are_even(spark, hot):
         assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
 
 
+def test_one_row_repeated_by_a_third_is_split(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 64)
+    rows = many(200) + [row(99_999, "again and again " * 5)] * 400
+    for df in (sharding.assigned(documents(spark, rows), 8), sharding.sharded_documents(documents(spark, rows), 8)):
+        name = "shard" if "slot" in df.columns else "_shard"
+        sizes = {r[0]: len((r[1] or "").encode()) + 1 for r in rows}
+        per = Counter()
+        got = df.collect()
+        for r in got:
+            per[r[name]] += sizes[r["doc_id"]]
+        assert len(got) == len(rows) and max(per.values()) <= 1.1 * sum(per.values()) / 8
+    got = sharding.assigned(documents(spark, rows), 8).collect()
+    for shard in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
+def test_windows_of_repeated_rows_are_found_once(spark):
+    """One document is a third of all rows; it is searched once, by either way of looking windows up."""
+    text = f"{words(1, 20)} {words(900, 30)} {words(2, 20)}"
+    rows = [row(5, text)] * 60 + [row(100 + i, words(i, 40)) for i in range(60)]
+    bench = spark.createDataFrame([(1, words(900, 30)), (2, "short item"), (3, None)], "item_id bigint, text string")
+    windows = decontaminate.benchmark_windows(bench)
+    for bound in (1 << 20, 0):
+        found = decontaminate.occurrences(documents(spark, rows), windows, bound).collect()
+        assert sorted(r["at"] for r in found) == list(range(20, 41))
+    got = decontaminate.judged(documents(spark, rows), bench).collect()
+    assert len(got) == 120 and {(r["doc_id"], r["n_hit"]) for r in got if r["contaminated"]} == {(5, 30)}
+
+
 def test_shards_of_odd_rows(spark):
     docs = documents(spark)
     got = sharding.assigned(docs, 8).collect()

@@ -197,6 +197,36 @@ def test_sketches_and_neighbours(spark):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_sketches_of_text_ids_and_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "REPEATS", 5)
+    rows = [(f"ä{i:03d}", words(i, 20)) for i in range(40)] + [("ä007", words(7, 20))] * 30 + [(None, "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sketches.with_neighbours(docs, range_bytes=300).collect()
+    order = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = sorted((r["doc_id"] is not None, (r["doc_id"] or "").encode(), r["h"], r["text"]) for r in order)
+    want = Counter()
+    for i, (some, doc_id, _, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][3]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want[doc_id.decode() if some else None, hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
+def test_short_texts_say_what_they_know():
+    texts = [words(i, 8) for i in range(200)]
+    long = " ".join(texts)
+    whole = sketches.sketch(long)
+    short = [sketches.sketch(t) for t in texts]
+    assert {len(x) > 0 and not sketches._scaled(x) for x in short} == {True, False}
+    assert all((sketches.likeness(x, whole)[1] is None) == (not sketches._scaled(x)) for x in short)
+    assert all(sketches.likeness(x, whole)[1] >= 0.99 for x in short if sketches._scaled(x))
+    joined = short[0]
+    for x in short[1:]:
+        joined = sketches.union(joined, x)
+    inside = [h for h in whole if h in set(joined)]
+    assert len(inside) >= 0.5 * len(whole) and sketches._scaled(joined)
+
+
 def shingles(text, n=sketches.SHINGLE):
     return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
 
