@@ -63,7 +63,10 @@ def joined_to_one(rows: DataFrame, one: DataFrame, key: list[str], counts: DataF
     rows than a share; only their counts are broadcast. *how* is inner or left.
     """
     share = max(least, math.ceil(total / MOST_HOT))
-    hot = F.broadcast(counts.filter(F.col("held") > share).select(*key, F.ceil(F.col("held") / share).alias("deals")))
+    hot = counts.filter(F.col("held") > share).select(*key, F.ceil(F.col("held") / share).alias("deals"))
+    if total <= share or not hot.take(1):
+        return rows.join(one, key, how)
+    hot = F.broadcast(hot)
     deals = F.coalesce("deals", F.lit(1).cast("bigint"))
     left = rows.join(hot, key, "left").withColumn("deal", F.pmod(F.xxhash64(*rows.columns), deals)).drop("deals")
     right = one.join(hot, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), deals - 1))).drop("deals")
