@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from citegrain.catalog.views import (
     with_views,
 )
 from citegrain.functions import text as tx
-from citegrain.operators import chunks, lexical, vectors
+from citegrain.operators import chunks, embedding_store, lexical, vectors
+from citegrain.plans.workdir import shared_dir
 
 
 def line_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -111,6 +113,26 @@ def _token_rows(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: The letters that the stand-in model counts.
+LETTERS = "aeinorst"
+
+
+def letter_model():
+    def predict(texts: np.ndarray) -> np.ndarray:
+        return np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=float)
+
+    return predict
+
+
+def _stored_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents from a store that knew the English ones before."""
+    docs, store = table(s, d, "documents").select("doc_id", "lang", "text"), shared_dir(s)
+    embedding_store.update(docs.filter("lang = 'en'"), store, "letters", letter_model)
+    embedding_store.update(docs, store, "letters", letter_model)
+    rows = embedding_store.with_embeddings(docs, store, "letters")
+    return rows.select("doc_id", *[F.round(F.get("embedding", F.lit(i)), 9).alias(f"v{i}") for i in range(len(LETTERS))])
+
+
 QUERIES = {
     "b1_paragraph_chunks": line_chunks,
     "b2_corpus_counts": lambda s, d: chunks.corpus_counts(line_chunks(s, d)),
@@ -139,6 +161,8 @@ QUERIES = {
     "c8_checked_questions": lambda s, d: vectors.checked_questions(
         table(s, d, "conversations").select("conv_id", "turn", tx.strip("text").alias("query")), 20
     ),
+    "b1_sliding_chunks": lambda s, d: chunks.sliding_chunks(corpus(s, d), 300, 75).withColumn("text", F.md5("text")),
+    "c1_embedding_store": _stored_vectors,
     "d1_d2_d3_search_documents": lambda s, d: lexical.search_documents(
         _benchmark_questions(s, d), corpus(s, d)
     ),
@@ -367,6 +391,19 @@ SQL = {
     "c8_checked_questions": f"""
         SELECT conv_id, turn, query FROM (SELECT conv_id, turn, {_TRIM.format('text')} AS query FROM conversations)
         WHERE length(query) >= 1""",
+    "b1_sliding_chunks": with_views(
+        """SELECT doc_name, CAST(i AS INT) AS chunk_id, CAST(i * 225 AS BIGINT) AS chunk_start,
+             CAST(least(i * 225 + 300, n) AS BIGINT) AS chunk_end, md5(substr(text, i * 225 + 1, 300)) AS text
+           FROM (SELECT doc_name, text, length(text) AS n,
+                   unnest(range(0, 1 + CAST(greatest(ceil((length(text) - 300) / 225), 0) AS BIGINT))) AS i
+                 FROM corpus WHERE length(text) > 0)""",
+        "corpus",
+    ),
+    "c1_embedding_store": "SELECT doc_id, "
+    + ", ".join(f"round(CASE WHEN size = 0 THEN 0 ELSE c[{i + 1}] / size END, 9) AS v{i}" for i in range(len(LETTERS)))
+    + " FROM (SELECT doc_id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS size FROM (SELECT doc_id, ["
+    + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in LETTERS)
+    + "] AS c FROM documents))",
     "d1_d2_d3_search_documents": with_views(sql_lexical_hits(2), "corpus", asked=_ASKED),
     "d2_search_documents_top_7": with_views(
         f"SELECT qid, rank, doc_name, score FROM ({sql_lexical_hits(7)})", "corpus", asked=_ASKED

@@ -27,9 +27,9 @@ def _repeated(s: SparkSession, d: str, ttl: int) -> DataFrame:
 
 
 def _by_provider(s: SparkSession, d: str) -> DataFrame:
-    """Few keys with dense traffic, their chains scanned as a tree of blocks."""
+    """Few keys with dense traffic, each cut into many ranges."""
     rows = logs.only_endpoint(request_log(s, d)).select("event_id", "ts", F.col("provider").alias("key"))
-    marked = reuse.mark_reuse(rows, ["key"], ttl_sec=3600, small_session=20, fan_in=16)
+    marked = reuse.mark_reuse(rows, ["key"], ttl_sec=3600, range_rows=2000)
     return marked.select("event_id", "key", F.col("reused").cast("int").alias("reused"))
 
 

@@ -67,6 +67,24 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     return tools.roll_up(tool_queries(s, d).select("qid", "query"), tools.with_results(steps, results))
 
 
+#: Characters of a query that the second search of `TWO_SEARCHES` asks for.
+HEAD = 60
+TWO_SEARCHES = (
+    *tools.RULES[1:],
+    tools.Rule(
+        tools.SEARCH_DOCS, tools.needs_search, lambda q: F.struct(F.substring(q, 1, HEAD).alias("query")), "query head"
+    ),
+)
+
+
+def _two_searches(s: SparkSession, d: str) -> DataFrame:
+    """Two searches for one query: its whole text, then its head; each step has its own hits."""
+    asked = tool_queries(s, d).drop("number")
+    steps = written(tools.step_rows(tools.plan_tool_calls(asked, TWO_SEARCHES)))
+    trace = tools.with_results(steps, tools.search_results(steps, corpus(s, d)))
+    return tools.roll_up(asked.select("qid"), trace).select("qid", F.array_join("used_tools", "|").alias("used_tools"), "final_answer")
+
+
 def _tool_detail(s: SparkSession, d: str) -> DataFrame:
     """Expected tools follow the label of the document's or conversation's number, status and latency its
     event; what has no label expects no tool, and what has no event is a failure."""
@@ -98,6 +116,7 @@ QUERIES = {
     "j5_trace_answers": lambda s, d: _answers(s, d).select(
         "qid", F.array_join("used_tools", "|").alias("used_tools"), "final_answer"
     ),
+    "j5_two_searches": _two_searches,
     "j6_j7_j8_tool_detail": _tool_detail,
     "j9_tool_summary": lambda s, d: tools.tool_eval_summary(written(_tool_detail(s, d))),
 }
@@ -187,6 +206,20 @@ SQL = {
         "SELECT tool, step, count(*) AS n FROM steps WHERE step <= 1 GROUP BY tool, step"
     ),
     "j5_trace_answers": _over("SELECT qid, used_tools, final_answer FROM answers"),
+    "j5_two_searches": with_views(
+        f"""SELECT q.qid, coalesce(string_agg(CASE WHEN step > 0 THEN 'search_docs' END, '|' ORDER BY step), '') AS used_tools,
+              coalesce(string_agg(said, '{tools.SUMMARY_JOIN}' ORDER BY step), '{tools.NO_TOOL_ANSWER}') AS final_answer
+            FROM tool_queries q LEFT JOIN (
+              SELECT CAST(substr(qid, 3) AS VARCHAR) AS qid, CAST(left(qid, 1) AS INT) AS step,
+                'top docs: ' || string_agg(doc_name || ' (score=' || score || ')', ', ' ORDER BY rank) AS said
+              FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_name) AS rank FROM ({SQL_LEXICAL_SCORES}))
+              WHERE rank <= 2 GROUP BY qid) t USING (qid)
+            GROUP BY q.qid""",
+        "corpus", "request_log",
+        **{n: _VIEWS[n] for n in ("tool_queries", "intents")},
+        asked=f"""SELECT '1 ' || qid AS qid, query FROM intents WHERE search
+            UNION ALL SELECT '2 ' || qid, substr(query, 1, {HEAD}) FROM intents WHERE search""",
+    ),
     "j6_j7_j8_tool_detail": _over("SELECT * FROM detail"),
     "j9_tool_summary": _over(
         """SELECT count(*) AS total, round(avg(CAST(http_status = 200 AS INT)), 4) AS http_success_rate,

@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from citegrain.functions.text import _col, strip
 
 
+# A full ISO date, or one with hours and minutes, seconds, a fraction and a zone as it likes.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2}){0,2})?)?$"
+
+
+def _digits_joined(text: Column) -> Column:
+    """Single underscores between digits are no part of a number."""
+    return F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
+
+
 def lenient_int(c: Column | str) -> Column:
     """Whole-number text to bigint; anything else, or a missing cell, is 0."""
-    return F.coalesce(strip(_col(c).cast("string")).try_cast("bigint"), F.lit(0).cast("bigint"))
+    text = _digits_joined(strip(_col(c).cast("string")))
+    return F.coalesce(text.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def lenient_float(c: Column | str) -> Column:
@@ -18,13 +28,18 @@ def lenient_float(c: Column | str) -> Column:
 
     A cast to double also reads Java's ``1d`` and ``1f``; those count as unparsable.
     """
-    text = strip(_col(c).cast("string"))
+    text = _digits_joined(strip(_col(c).cast("string")))
     parsed = F.when(~text.rlike(r"[0-9.][dDfF]$"), text.try_cast("double"))
     return F.coalesce(parsed, F.lit(0.0))
 
 
 def lenient_timestamp(c: Column | str) -> Column:
-    return strip(_col(c).cast("string")).try_cast("timestamp")
+    """Full ISO dates and date-times; what leaves out the date or a part of it is NULL.
+
+    A cast alone reads ``12:30`` as today's, which would make a result depend on the day it is made.
+    """
+    text = F.replace(strip(_col(c).cast("string")), F.lit(","), F.lit("."))
+    return F.when(text.rlike(ISO_TIME), text.try_cast("timestamp"))
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -2,78 +2,54 @@
 
 A document scores one point for every query token, repeats included, that its text
 contains. Joining tokens to tokens would put out one row per question and document sharing
-any common word, nearly all pairs; the blocked top-k keeps that inside the task.
+any common word, nearly all pairs; the search of `plans.postings` passes over the documents that cannot be among the
+best and scores the others inside a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions.text import hard_preview, strip, tokens
-from citegrain.plans.block_topk import MAX_BROADCAST_QUESTIONS, blocked_top_k
+from citegrain.plans.block_topk import MAX_BROADCAST_QUESTIONS
+from citegrain.plans.postings import build_index, top_overlaps
 
 # Default result size and snippet length.
 TOP_DOCS = 2
 SNIPPET_CHARS = 180
 
-# (document, question) points expanded at once in a task
-MAX_POINTS = 8_000_000
 
+def document_index(documents: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """The inverted index of the documents' tokens, written; with name, snippet and the columns in *carry*."""
+    bags = documents.select(
+        "doc_name",
+        F.coalesce(F.array_distinct(tokens("text")), F.array().cast("array<string>")).alias("tokens"),
+        F.coalesce(hard_preview(strip("text"), SNIPPET_CHARS), F.lit("")).alias("snippet"),
+        *carry,
+    )
+    return build_index(bags, "tokens", ["doc_name", "snippet", *carry])
 
-def overlap_scorer(questions: pa.Table) -> Callable:
-    """Points per question from an index of the questions' tokens."""
-    lists = questions["tokens"].combine_chunks()
-    n = len(lists)
-    words = pc.dictionary_encode(lists.flatten())
-    asker = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    # one posting per (token, question) with the number of repeats
-    pairs, repeats = np.unique(codes * max(n, 1) + asker, return_counts=True)
-    token_of, question_of = pairs // max(n, 1), pairs % max(n, 1)
-    ends = np.searchsorted(token_of, np.arange(len(words.dictionary) + 1))
-    vocabulary = words.dictionary
 
-    def points(items: pa.Table) -> np.ndarray:
-        bags = items["tokens"].combine_chunks()
-        m = len(bags)
-        lengths = pc.list_value_length(bags).to_numpy(zero_copy_only=False)
-        known = pc.index_in(bags.flatten(), value_set=vocabulary)
-        known = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        doc = np.repeat(np.arange(m), lengths)[known >= 0]
-        known = known[known >= 0]
-        sizes = ends[known + 1] - ends[known]
-        totals = np.zeros(m * n)
-        upto = np.cumsum(sizes)
-        start = 0
-        while start < len(known):
-            done = upto[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(upto, done + MAX_POINTS, side="right")))
-            size = sizes[start:stop]
-            first = np.repeat(ends[known[start:stop]], size)
-            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            posting = first + within
-            cell = np.repeat(doc[start:stop], size) * n + question_of[posting]
-            totals += np.bincount(cell, weights=repeats[posting], minlength=m * n)
-            start = stop
-        return totals.reshape(m, n)
+def asked_tokens(questions: DataFrame, key: str = "qid", query: str = "query") -> DataFrame:
+    return questions.select(key, F.coalesce(tokens(query), F.array().cast("array<string>")).alias("tokens"))
 
-    def best(items: pa.Table, k: int, floor: np.ndarray):
-        scores = points(items)
-        m = len(scores)
-        # no two rows share a place: the score first, then the earlier row
-        place = scores * m + np.arange(m - 1, -1, -1)[:, None]
-        at = max(0, m - k)
-        lowest = np.partition(place, at, axis=0)[at]
-        row, question = np.nonzero((place >= lowest) & (scores >= floor))
-        return question, row, scores[row, question]
 
-    return best
+def search_index(
+    questions: DataFrame,
+    index: DataFrame,
+    top_k: int = TOP_DOCS,
+    key: str = "qid",
+    query: str = "query",
+    max_broadcast: int = MAX_BROADCAST_QUESTIONS,
+) -> DataFrame:
+    """`search_documents` over a kept index."""
+    hits = top_overlaps(
+        asked_tokens(questions, key, query), index, max(1, top_k), key, "tokens", ("doc_name",), max_broadcast
+    )
+    return hits.withColumn("score", F.col("score").cast("bigint"))
 
 
 def search_documents(
@@ -91,22 +67,4 @@ def search_documents(
     rows. A *top_k* below 1 counts as 1. ``snippet`` is the head of the stripped text. A NULL text
     or query has no tokens.
     """
-    none = F.array().cast("array<string>")
-    bags = documents.select(
-        "doc_name",
-        F.coalesce(F.array_distinct(tokens("text")), none).alias("tokens"),
-        F.coalesce(hard_preview(strip("text"), SNIPPET_CHARS), F.lit("")).alias("snippet"),
-        *carry,
-    )
-    hits = blocked_top_k(
-        questions.select(key, F.coalesce(tokens(query), none).alias("tokens")),
-        bags,
-        max(1, top_k),
-        overlap_scorer,
-        key,
-        ties=("doc_name",),
-        values="tokens",
-        carry=("snippet", *carry),
-        max_broadcast=max_broadcast,
-    )
-    return hits.withColumn("score", F.col("score").cast("bigint"))
+    return search_index(questions, document_index(documents, carry), top_k, key, query, max_broadcast)

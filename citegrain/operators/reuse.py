@@ -5,35 +5,38 @@ it, without prolonging it; the first one after that misses and is stored in turn
 stored requests of a key form a chain, each the first request later than ttl after the one
 before.
 
-A key may hold a third of all requests, so its rows are never put in one task. Time is cut
-into blocks as long as the ttl; a block stores at most one request. What is known per block
-(first and last time) settles most blocks without looking at rows:
-
-* a block starting more than ttl after the last request before it stores its first request;
-* runs of blocks after such a start ("sessions") are chained from that start. Small sessions
-  are folded in one row each. Large ones go through `_chain_large`, a scan over a tree of
-  blocks in which every task sees a bounded stretch of time.
+A key may hold a third of all requests, however close together, so no task sees a key. Requests are
+put in one order, by key and time, and cut into ranges of about `RANGE_ROWS` rows:
+
+1. Every range says what it does to a chain that enters it: the stored time that a chain leaves
+   it with. A range that begins and ends in one key is a step table for that: a chain that may store again
+   after time u stores the first request after u, and *leaves* with the last one stored from there. Its
+   entries lie in the first ttl of the range, and those that lead to the same end are one.
+2. One pass over the ranges in order, one small row each, tells the stored time that every range begins with.
+3. Every range then walks its own rows once.
+
+The repeat flag needs of the range before only its last request.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from citegrain.functions.text import strip
-from citegrain.plans.workdir import written
+from citegrain.plans.workdir import discard, written
 
 # Fixed value: default time to live in seconds.
 TTL_SEC = 300
 
-# rows a session may have to be folded in one row, and rows aimed at in a task of the tree
-SMALL_SESSION = 50_000
-STRETCH_ROWS = 1_000_000
-MAX_FAN_IN = 4096
+#: Requests that a task takes at once.
+RANGE_ROWS = 1_000_000
 
 _NEVER = -(1 << 62)
 
@@ -42,58 +45,167 @@ def reuse_key(provider: Column, prompt_style: Column, top_k: Column, question: C
     return F.concat_ws("|", provider, prompt_style, top_k.cast("string"), strip(question))
 
 
-def _timed(requests: DataFrame, ts: str, ttl_sec: int) -> DataFrame:
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    length = F.lit(ttl_sec * 1_000_000)
-    return requests.withColumn("_at", at).withColumn("_block", F.floor(F.col("_at") / length).cast("bigint"))
-
-
-def _blocks(timed: DataFrame, keys: Sequence[str], ttl: int) -> DataFrame:
-    """Blocks of each key with first and last time, row count and session.
-
-    The window runs over blocks, not rows: a key has at most (time span / ttl) of them.
-    """
-    in_time = Window.partitionBy(*keys).orderBy("_block")
-    blocks = timed.groupBy(*keys, "_block").agg(
-        F.min("_at").alias("at"), F.max("_at").alias("last_at"), F.count("*").alias("rows")
-    )
-    before = F.lag("last_at").over(in_time)
-    starts = before.isNull() | (F.col("at") > before + ttl)
-    return blocks.withColumn("starts", starts).withColumn(
-        "session", F.max(F.when(F.col("starts"), F.col("_block"))).over(in_time)
-    )
-
-
-def _beside(timed: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows joined to the facts known of their block; rows of other blocks are left out."""
-    named = facts.withColumnsRenamed({c: f"_f_{c}" for c in [*keys, "_block"]})
-    on = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in [*keys, "_block"]]
-    return timed.join(named, on, "inner").drop(*[f"_f_{c}" for c in [*keys, "_block"]])
-
-
-def _flag_others(
-    timed: DataFrame, marked: DataFrame, keys: Sequence[str], order: str | Sequence[str], name: str
+def _key_hash(keys: Sequence[str], salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), *keys, *[F.col(k).isNull() for k in keys])
+
+
+def _in_ranges(requests: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], range_rows: int) -> tuple[DataFrame, int]:
+    """h1, h2 (of the key), at, o0, o1, ... (the order) and part, a range of that order, for all requests with a time."""
+    names = {f"o{i}": c for i, c in enumerate(order)}
+    slim = requests.select(
+        _key_hash(keys, 1).alias("h1"), _key_hash(keys, 2).alias("h2"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
+        *[F.col(c).alias(o) for o, c in names.items()],
+    ).filter("at is not null")
+    slim = written(slim)
+    ranges = slim.repartitionByRange(max(1, math.ceil(slim.count() / range_rows)), "h1", "h2", "at", *names)
+    ranges = written(ranges.withColumn("part", F.spark_partition_id()))
+    discard(slim)
+    return ranges, (ranges.agg(F.max("part")).first()[0] or 0) + 1
+
+
+def _by_range(ranges: DataFrame, parts: int) -> DataFrame:
+    places = [c for c in ranges.columns if c[0] == "o"]
+    return ranges.repartitionById(parts, "part").sortWithinPartitions("part", "h1", "h2", "at", *places)
+
+
+def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one range after the other; a range is bounded by its rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if held and held[0].column("part")[0] != batch.column("part")[int(a)]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _key_starts(rows: pa.Table) -> np.ndarray:
+    """Where a new key begins, the first row included."""
+    h1, h2 = (rows[c].to_numpy() for c in ("h1", "h2"))
+    return np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+
+
+def step_table(at: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries and the stored times they leave with, for the sorted times of one key."""
+    after = np.searchsorted(at, at + ttl, side="right")
+    leaves = at.copy()
+    for i in range(len(at) - 1, -1, -1):
+        if after[i] < len(at):
+            leaves[i] = leaves[after[i]]
+    n = min(len(at), int(after[0]) + 1)
+    entry, leaves = at[:n], leaves[:n]
+    keep = np.r_[leaves[1:] != leaves[:-1], True]
+    return entry[keep], leaves[keep]
+
+
+def _last_stored(at: np.ndarray, ttl: int) -> int:
+    i = 0
+    while (after := int(np.searchsorted(at, at[i] + ttl, side="right"))) < len(at):
+        i = after
+    return int(at[i])
+
+
+_RANGE = "part int, first1 bigint, first2 bigint, last1 bigint, last2 bigint, whole boolean, entry array<bigint>, leaves array<bigint>, last_at bigint"
+
+
+def _summaries(ttl: int):
+    """One row for each range: its first and last key, and what it does to a chain of the first."""
+    lists = pa.list_(pa.int64())
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_range(batches):
+            at, starts = rows["at"].to_numpy(), _key_starts(rows)
+            ends = [rows[c][i].as_py() for i in (0, len(at) - 1) for c in ("h1", "h2")]
+            if len(starts) == 1:
+                entry, leaves = step_table(at, ttl)
+            else:
+                entry, leaves = np.zeros(0, np.int64), np.array([_last_stored(at[starts[-1] :], ttl)])
+            values = [[rows["part"][0].as_py()], *[[e] for e in ends], [len(starts) == 1], [entry], [leaves], [int(at[-1])]]
+            types = [pa.int32(), *[pa.int64()] * 4, pa.bool_(), lists, lists, pa.int64()]
+            names = [c.split()[0] for c in _RANGE.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
+
+    return summarize
+
+
+def _entered(ttl: int):
+    """What every range begins with, from the ranges in order: until when an answer lasts, and the request before."""
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stored, before = None, _NEVER, None
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                same = key == (r["first1"], r["first2"])
+                until = stored + ttl if same else _NEVER
+                found.append((r["part"], until, before if same else None))
+                if not r["whole"]:
+                    stored = r["leaves"][0]
+                elif not same:
+                    stored = r["leaves"][0]
+                elif (i := int(np.searchsorted(np.array(r["entry"]), until, side="right"))) < len(r["entry"]):
+                    stored = r["leaves"][i]
+                key, before = (r["last1"], r["last2"]), r["last_at"]
+            columns = list(zip(*found)) if found else [(), (), ()]
+            types = [pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "until", "before"])
+
+    return enter
+
+
+def _unflagged(ttl: int, repeats: bool, places: list[str]):
+    """The requests that no earlier one answers: the stored ones, or those without a recent request before."""
+    names = ["h1", "h2", *places]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_range(batches):
+            at, starts = rows["at"].to_numpy(), _key_starts(rows)
+            until, before = rows["until"][0].as_py(), rows["before"][0].as_py()
+            if repeats:
+                gap = np.r_[_NEVER if before is None else before, at[:-1]]
+                gap[starts[1:]] = _NEVER
+                picked = np.flatnonzero(at > gap + ttl)
+            else:
+                fresh, picked = set(starts[1:].tolist()), []
+                for i, t in enumerate(at.tolist()):
+                    if i in fresh:
+                        until = _NEVER
+                    if t > until:
+                        picked.append(i)
+                        until = t + ttl
+            out = rows.select(names).take(pa.array(picked, pa.int64())).combine_chunks()
+            yield from out.to_batches()
+
+    return walk
+
+
+def _flagged(
+    requests: DataFrame, keys: Sequence[str], ts: str, order: str | Sequence[str], ttl_sec: int, name: str, repeats: bool, range_rows: int
 ) -> DataFrame:
-    """Adds the flag *name*: false for the request at each *marked* ``(keys, _block, at)``.
-
-    There is at most one mark per block. Of requests at the very time the first by *order* is
-    meant.
-    """
-    place = F.struct(*([order] if isinstance(order, str) else order))
-    slim = timed.select(*keys, "_block", "_at", place.alias("_place"))
-    first = (
-        _beside(slim, marked.select(*keys, "_block", "at"), keys)
-        .filter(F.col("_at") == F.col("at"))
-        .groupBy(*[F.col(c).alias(f"_m_{c}") for c in [*keys, "_block"]])
-        .agg(F.min("_place").alias("_m_id"))
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in [*keys, "_block"]]
-    same = F.coalesce(place == F.col("_m_id"), F.lit(False))
-    return (
-        timed.join(first, on, "left")
-        .withColumn(name, ~same & F.col("_at").isNotNull())
-        .drop(*[f"_m_{c}" for c in [*keys, "_block"]], "_m_id", "_at", "_block")
-    )
+    order, ttl = [order] if isinstance(order, str) else list(order), ttl_sec * 1_000_000
+    ranges, parts = _in_ranges(requests, keys, ts, order, range_rows)
+    summaries = _by_range(ranges, parts).select("part", "h1", "h2", "at").mapInArrow(_summaries(ttl), _RANGE)
+    # one row for each range, in one task: what a chain has stored passes from range to range
+    entered = written(summaries.coalesce(1).sortWithinPartitions("part").mapInArrow(_entered(ttl), "part int, until bigint, before bigint"))
+    rows = _by_range(ranges.join(F.broadcast(entered), "part"), parts)
+    places = [c for c in ranges.columns if c[0] == "o"]
+    kinds = {f.name: f for f in ranges.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("h1", "h2", *places))
+    to_arrow_schema(ranges.schema)  # raises here, and not in a task, if a type cannot travel
+    marked = rows.mapInArrow(_unflagged(ttl, repeats, places), schema)
+    marked = marked.select(*[F.col(c).alias(f"_m_{c}") for c in marked.columns])
+    on = (_key_hash(keys, 1) == F.col("_m_h1")) & (_key_hash(keys, 2) == F.col("_m_h2"))
+    for o, c in zip(places, order):
+        on = on & F.col(c).eqNullSafe(F.col(f"_m_{o}"))
+    met = requests.join(marked, on, "left")
+    flag = F.col("_m_h1").isNull() & F.col(ts).cast("timestamp").isNotNull()
+    return met.withColumn(name, flag).drop(*marked.columns)
 
 
 def mark_repeats(
@@ -102,14 +214,14 @@ def mark_repeats(
     ts: str = "ts",
     order: str | Sequence[str] = "event_id",
     ttl_sec: int = TTL_SEC,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Adds ``repeated``: another request with the key came at most *ttl_sec* earlier.
 
-    Requests at the same time follow *order*, a column or columns that tell all requests apart.
+    Requests at the same time follow *order*, a column or columns that tell all requests apart. Requests without
+    a time are no repeats.
     """
-    timed = _timed(requests, ts, ttl_sec)
-    starts = _blocks(timed, keys, ttl_sec * 1_000_000).filter("starts")
-    return _flag_others(timed, starts, keys, order, "repeated")
+    return _flagged(requests, keys, ts, order, ttl_sec, "repeated", True, range_rows)
 
 
 def mark_reuse(
@@ -118,174 +230,11 @@ def mark_reuse(
     ts: str = "ts",
     order: str | Sequence[str] = "event_id",
     ttl_sec: int = TTL_SEC,
-    small_session: int = SMALL_SESSION,
-    fan_in: int | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Adds ``reused``: the request is answered by one stored at most *ttl_sec* earlier.
 
-    Requests at the same time follow *order*, a column or columns that tell all requests apart. Exact for any number of rows
-    per key. *fan_in* blocks at a time meet in the tree of large sessions; by default as many
-    as keep a task near STRETCH_ROWS rows, given the fullest block.
-    """
-    ttl = max(1, ttl_sec) * 1_000_000
-    timed = _timed(requests, ts, max(1, ttl_sec))
-    per_session = Window.partitionBy(*keys, "session")
-    blocks = written(
-        _blocks(timed, keys, ttl).withColumns(
-            {"in_session": F.count("*").over(per_session), "session_rows": F.sum("rows").over(per_session)}
-        )
-    )
-    large = F.col("session_rows") > small_session
-    chained = blocks.filter(F.col("in_session") > 1)
-
-    stored = blocks.filter(F.col("starts")).select(*keys, "_block", "at")
-    stored = stored.unionByName(_chain_small(timed, chained.filter(~large), keys, ttl))
-    # one small row: how long the longest large session is, in blocks, and its fullest block
-    longest, fullest = (
-        chained.filter(large).agg(F.max(F.col("_block") - F.col("session")), F.max("rows")).first()
-    )
-    if longest is not None:
-        fan_in = fan_in or max(2, min(MAX_FAN_IN, STRETCH_ROWS // fullest))
-        stored = stored.unionByName(
-            _chain_large(timed, chained.filter(large), keys, ttl, longest + 1, fan_in)
-        )
-    return _flag_others(timed, stored, keys, order, "reused")
-
-
-def _instants(timed: DataFrame, blocks: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
-    """Request times of the given blocks; of a session's first block the first only."""
-    slim = timed.select(*keys, "_block", "_at")
-    return _beside(slim, blocks.select(*keys, "_block", "session", "starts", "at", *more), keys).filter(
-        ~F.col("starts") | (F.col("_at") == F.col("at"))
-    ).select(*keys, "_block", "session", "_at", *more).distinct()
-
-
-def _chain_small(timed: DataFrame, blocks: DataFrame, keys: Sequence[str], ttl: int) -> DataFrame:
-    """Stored times after the first of sessions that fit one row, folded over their times."""
-    times = F.array_sort(F.collect_list("_at"))
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(_NEVER).cast("bigint").alias("until"), none.alias("stored"))
-    folded = F.aggregate(
-        F.col("times"),
-        start,
-        lambda acc, t: F.when(
-            t > acc["until"],
-            F.struct((t + ttl).alias("until"), F.array_append(acc["stored"], t).alias("stored")),
-        ).otherwise(acc),
-        lambda acc: acc["stored"],
-    )
-    return (
-        _instants(timed, blocks, keys)
-        .groupBy(*keys, "session")
-        .agg(times.alias("times"))
-        .select(*keys, F.explode(folded).alias("at"), "session")
-        .withColumn("_block", F.floor(F.col("at") / F.lit(ttl)).cast("bigint"))
-        .filter(F.col("_block") != F.col("session"))
-        .select(*keys, "_block", "at")
-    )
-
-
-def _parts(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """A group's children in time order: number, entry times and the stored time each leads to."""
-    pdf = pdf.sort_values(["child", "entry"])
-    child, entry, leaves = (pdf[c].to_numpy() for c in ("child", "entry", "leaves"))
-    cuts = np.flatnonzero(np.r_[True, child[1:] != child[:-1], True])
-    return [(int(child[a]), entry[a:b], leaves[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def _through(last: np.ndarray, parts: list, ttl: int) -> np.ndarray:
-    """Last stored times after passing the parts, given the last stored times before."""
-    last = last.copy()
-    for _, entry, leaves in parts:
-        at = np.searchsorted(entry, last + ttl, side="right")
-        met = at < len(entry)
-        last[met] = leaves[at[met]]
-    return last
-
-
-def _chain_large(
-    timed: DataFrame, blocks: DataFrame, keys: Sequence[str], ttl: int, length: int, fan_in: int
-) -> DataFrame:
-    """Stored times after the first of sessions too large for one row.
-
-    A stretch of time acts on the chain as a step table: if storing may resume after time e,
-    the next stored request is the first *entry* > e, and *leaves* is the stretch's last
-    stored time from there. A block's table is its request times. Upwards, *fan_in* tables at
-    a time are joined into the table of the longer stretch, which needs only the entries of
-    its first ttl, until one stretch covers the session. Downwards, the known time at the
-    start of a stretch is passed through its parts, until each block knows its own.
-
-    Sessions are numbered first, so that only whole numbers travel to Python.
+    Requests at the same time follow *order*, a column or columns that tell all requests apart. Exact for any
+    number of rows per key and ttl. Requests without a time reuse nothing.
     """
-    sessions = written(
-        blocks.filter("starts").select(*keys, "session", F.monotonically_increasing_id().alias("sid"))
-    )
-    named = sessions.withColumnsRenamed({c: f"_n_{c}" for c in [*keys, "session"]})
-    on = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in [*keys, "session"]]
-    numbered = blocks.join(named, on).drop(*[f"_n_{c}" for c in [*keys, "session"]])
-    tables = [
-        written(
-            _instants(timed, numbered, keys, "sid").select(
-                "sid",
-                (F.col("_block") - F.col("session")).alias("child"),
-                F.col("_at").alias("entry"),
-                F.col("_at").alias("leaves"),
-            )
-        )
-    ]
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = _parts(pdf)
-        entry = parts[0][1]
-        leaves = _through(parts[0][2], parts[1:], ttl)
-        if len(parts) > 1:
-            entry = np.r_[entry, parts[1][1][:1]]
-            leaves = np.r_[leaves, _through(parts[1][2][:1], parts[2:], ttl)]
-        # of entries leading to the same end the last stands for all
-        keep = np.r_[leaves[1:] != leaves[:-1], True]
-        return pd.DataFrame(
-            {
-                "sid": pdf["sid"].iloc[0],
-                "child": parts[0][0] // fan_in,
-                "entry": entry[keep],
-                "leaves": leaves[keep],
-            }
-        )
-
-    stretch = F.floor(F.col("child") / F.lit(fan_in)).cast("bigint").alias("parent")
-    schema = "sid bigint, child bigint, entry bigint, leaves bigint"
-    while length > fan_in:
-        tables.append(written(tables[-1].groupBy("sid", stretch).applyInPandas(joined, schema)))
-        length = -(-length // fan_in)
-
-    def passed(known: pd.DataFrame, pdf: pd.DataFrame, leaf: bool) -> pd.DataFrame:
-        rows = []
-        if len(pdf):
-            until = int(known["until"].iloc[0]) if len(known) else _NEVER
-            for child, entry, leaves in _parts(pdf):
-                at = int(np.searchsorted(entry, until, side="right"))
-                if leaf and at < len(entry):
-                    rows.append((pdf["sid"].iloc[0], child, int(entry[at])))
-                if not leaf:
-                    rows.append((pdf["sid"].iloc[0], child, until))
-                if at < len(entry):
-                    until = int(leaves[at]) + ttl
-        return pd.DataFrame(rows, columns=["sid", "child", "until"]).astype("int64")
-
-    def step(leaf: bool):
-        return lambda left, right: passed(left, right, leaf)
-
-    known = sessions.select(
-        "sid", F.lit(0).cast("bigint").alias("child"), F.lit(_NEVER).cast("bigint").alias("until")
-    )
-    for level in range(len(tables) - 1, -1, -1):
-        known = (
-            known.withColumnRenamed("child", "parent")
-            .groupBy("sid", "parent")
-            .cogroup(tables[level].withColumn("parent", stretch).groupBy("sid", "parent"))
-            .applyInPandas(step(level == 0), "sid bigint, child bigint, until bigint")
-        )
-    # a session's first block is known from the start
-    return known.filter(F.col("child") > 0).join(sessions, "sid").select(
-        *keys, (F.col("session") + F.col("child")).alias("_block"), F.col("until").alias("at")
-    )
+    return _flagged(requests, keys, ts, order, max(1, ttl_sec), "reused", False, range_rows)

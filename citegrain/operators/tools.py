@@ -124,15 +124,15 @@ def step_rows(planned: DataFrame, key: str = "qid") -> DataFrame:
 def search_results(
     steps: DataFrame, documents: DataFrame, key: str = "qid", **search: int
 ) -> DataFrame:
-    """Results ``(key, step, result)`` of the document-search steps.
-
-    A question asks the search tool at most once, so its key and step stay together.
-    """
+    """Results ``(key, step, result)`` of the document-search steps, each searched for itself."""
     asked = steps.filter(F.col("tool") == SEARCH_DOCS).select(
-        key, "step", F.try_variant_get("args", "$.query", "string").alias("query")
+        key,
+        "step",
+        F.concat_ws(" ", F.col("step").cast("string"), F.col(key).cast("string")).alias("asked"),
+        F.try_variant_get("args", "$.query", "string").alias("query"),
     )
-    hits = search_documents(asked, documents, TOP_DOCS, key, **search)
-    per_question = hits.groupBy(key).agg(
+    hits = search_documents(asked, documents, TOP_DOCS, "asked", **search)
+    per_step = hits.groupBy("asked").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "doc_name", "score", "snippet"))),
             lambda h: F.struct(
@@ -144,7 +144,7 @@ def search_results(
     empty = F.to_variant_object(
         F.struct(F.lit(False).alias("ok"), F.lit("No docs found").alias("error"))
     )
-    return asked.join(per_question, key, "left").select(
+    return asked.join(per_step, "asked", "left").select(
         key, "step", F.when(F.col("hits").isNotNull(), found).otherwise(empty).alias("result")
     )
 

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citegrain.operators import lexical, vectors
+from citegrain.operators import embedding_store, lexical, vectors
 from citegrain.operators.chunks import paragraph_chunks
+from citegrain.plans import postings
 
 GRID = {"max_broadcast": 7}
 
@@ -181,3 +182,48 @@ def test_missing_texts_have_no_tokens(spark):
     asked = spark.createDataFrame([(1, "x"), (2, None)], "qid long, query string")
     got = sorted((r.qid, r["rank"], r.doc_name, r.score, r.snippet) for r in lexical.search_documents(asked, docs).collect())
     assert got == [(1, 1, "b", 1, "x y"), (1, 2, "a", 0, ""), (2, 1, "a", 0, ""), (2, 2, "b", 0, "x y")]
+
+
+def test_most_documents_are_never_scored(spark):
+    """Benchmark questions over real texts: the same hits as scoring all, from under a tenth of the cells."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("doc_name"), "text")
+    asked = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    index = lexical.document_index(docs)
+    cells, scored = postings.scored_cells(lexical.asked_tokens(asked), index, 2, "qid", "tokens", ("doc_name",))
+    assert cells == docs.count() * asked.count() and 0 < scored < 0.1 * cells
+
+
+@pytest.mark.parametrize("block, chunk", [(4, 8), (256, 8192)])
+def test_blocks_of_any_size_give_the_same_hits(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(postings, "BLOCK", block)
+    monkeypatch.setattr(postings, "CHUNK", chunk)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 30)) % 40) for _ in range(90)]
+    asked = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 12)) % 50) for _ in range(25)]
+    docs = spark.createDataFrame([(f"d{i:02d}", t) for i, t in enumerate(texts)], "doc_name string, text string").repartition(3)
+    index = lexical.document_index(docs)
+    hits = lexical.search_index(spark.createDataFrame(list(enumerate(asked)), "qid long, query string"), index, 3).collect()
+    for q, text in enumerate(asked):
+        want = sorted((-sum(t in set(d.split()) for t in text.split()), f"d{i:02d}") for i, d in enumerate(texts))[:3]
+        assert [(-r.score, r.doc_name) for r in sorted((r for r in hits if r.qid == q), key=lambda r: r["rank"])] == want
+
+
+def test_a_store_embeds_only_what_is_new(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model():
+        def predict(texts):
+            seen.add(len(texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return predict
+
+    store = str(tmp_path / "store")
+    texts = spark.createDataFrame([(1, "a"), (2, "bbb"), (3, "a"), (4, None), (5, "")], "n long, text string")
+    embedding_store.update(texts.filter("n < 3"), store, "m", model)
+    embedding_store.update(texts, store, "m", model)
+    embedding_store.update(texts, store, "other", model)
+    assert seen.value == 2 + 1 + 3
+    got = {r.n: r.embedding for r in embedding_store.with_embeddings(texts, store, "m").collect()}
+    assert got[4] is None and got[1] == got[3] == pytest.approx([0.5**0.5] * 2) and got[5] == pytest.approx([0.0, 1.0])
+    assert embedding_store.stored(spark, store, "none").count() == 0

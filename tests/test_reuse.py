@@ -34,7 +34,7 @@ def requests(seed, n, keys, span_sec):
     ]
 
 
-@pytest.mark.parametrize("how", [{}, {"small_session": 3, "fan_in": 2}, {"small_session": 0, "fan_in": 5}])
+@pytest.mark.parametrize("how", [{}, {"range_rows": 60}, {"range_rows": 7}])
 @pytest.mark.parametrize("seed, n, keys, span", [(1, 400, 5, 3000), (2, 600, 40, 20000), (3, 300, 2, 400)])
 def test_equals_the_sequential_rule(spark, how, seed, n, keys, span):
     rows = requests(seed, n, keys, span)
@@ -54,6 +54,41 @@ def test_repeats_and_bound(spark):
     assert all(got[i] for i, hit in want.items() if hit)
 
 
+def test_one_dense_key_is_cut_by_rows(spark):
+    """All rows under one key, within one ttl of a day: no range is larger than a few times its rows."""
+    rows = [("k", EPOCH + dt.timedelta(seconds=i * 3 % 86_000), i) for i in range(600)] + [("k", EPOCH, 1000 + i) for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want, repeated = by_hand(rows, dt.timedelta(days=1))
+    got = {r.event_id: r.reused for r in reuse.mark_reuse(df, ["key"], ttl_sec=86_400, range_rows=50).collect()}
+    assert got == want
+    got = {r.event_id: r.repeated for r in reuse.mark_repeats(df, ["key"], ttl_sec=86_400, range_rows=50).collect()}
+    assert got == repeated
+    ranges, parts = reuse._in_ranges(df, ["key"], "ts", ["event_id"], 50)
+    largest = ranges.groupBy("part").count().agg({"count": "max"}).first()[0]
+    assert parts >= 10 and largest <= 150
+
+
+def test_step_tables_pass_a_chain_as_its_rows_do():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        at, ttl = np.sort(rng.integers(0, 200, rng.integers(1, 40))), int(rng.integers(1, 60))
+        entry, leaves = reuse.step_table(at, ttl)
+        until = int(rng.integers(-10, at[0] + ttl + 1))
+        stored, left = [], until
+        for t in at.tolist():
+            if t > left:
+                stored.append(t)
+                left = t + ttl
+        i = int(np.searchsorted(entry, until, side="right"))
+        assert (leaves[i] if i < len(entry) else None) == (stored[-1] if stored else None)
+
+
+def test_null_keys_are_keys(spark):
+    rows = [(None, EPOCH, 1), (None, EPOCH + dt.timedelta(seconds=5), 2), ("", EPOCH, 3)]
+    got = {r.event_id: r.reused for r in reuse.mark_reuse(spark.createDataFrame(rows, SCHEMA), ["key"]).collect()}
+    assert got == {1: False, 2: True, 3: False}
+
+
 def test_edge_of_the_ttl(spark):
     at = [0, 300, 301, 601, 602]
     rows = [("k", EPOCH + dt.timedelta(seconds=s), s) for s in at] + [("k", None, 999)]

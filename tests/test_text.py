@@ -86,3 +86,37 @@ def test_keyword_recall(spark):
     got = [r[0] for r in rows.select(vl.keyword_recall("answer", "kws")).collect()]
     assert got == [2 / 3, 0.0, 0.5]
     assert [r[0] for r in rows.select(vl.any_keyword("answer", "kws")).collect()] == [True, False, True]
+
+
+def test_times_are_whole_iso_times(spark):
+    good = ["2026-02-16", "2026-02-16T12:30", "2026-02-16 12:30:01", "2026-02-16T12:30:01.25Z", "2026-02-16T12:30:01+02:00", " 2026-02-16T12:30:01,5 "]
+    bad = ["12:30", "T12:30", "2024", "2024-05", "2024-1-1", "2026-02-30", "now", "2026-02-16T", "", "2026-02-16T12:30:01 x"]
+    got = one(spark, good + bad + [None], vl.lenient_timestamp("c").isNotNull())
+    assert [r[0] for r in got] == [True] * len(good) + [False] * (len(bad) + 1)
+
+
+def test_numbers_with_underscores(spark):
+    values = ["1_000", "_1", "1_", "1__0", "-1_0", "1_0.5_0", "12", "x"]
+
+    def parsed(kind, v):
+        try:
+            return kind(v)
+        except ValueError:
+            return kind(0)
+
+    got = one(spark, values, vl.lenient_int("c"), vl.lenient_float("c"))
+    assert got == [(parsed(int, v), parsed(float, v)) for v in values]
+
+
+def test_sliding_chunks(spark):
+    texts = ["", "ab", "abcdefghij", "abcdefghijk", "🙂é" * 9, "x\r\n" * 11, None]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_name string, text string")
+    for size, overlap in ((10, 4), (5, 0), (7, 6), (4, 2)):
+        got = {(r.doc_name, r.chunk_id): (r.chunk_start, r.chunk_end, r.text) for r in chunks.sliding_chunks(docs, size, overlap).collect()}
+        want, step = {}, size - overlap
+        for i, t in enumerate(texts):
+            start = 0
+            while t and (start == 0 or start - step + size < len(t)):
+                want[f"d{i}", start // step] = (start, min(start + size, len(t)), t[start : start + size])
+                start += step
+        assert got == want

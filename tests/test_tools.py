@@ -110,3 +110,17 @@ def test_tool_eval(spark):
     assert [(rows[i].tool_match, rows[i].keyword_hit) for i in (2, 3, 4)] == [(0, 0), (1, 0), (0, 0)]
     assert tuple(rows[4])[3:] == ("", 0, 0, 500, 4.0, "", "down")
     assert tuple(tools.tool_eval_summary(detail).first()) == (4, 0.75, 0.5, 0.25, 2.559)
+
+
+def test_two_searches_of_one_query_keep_their_own_hits(spark):
+    rules = [
+        tools.Rule(tools.SEARCH_DOCS, tools.needs_search, lambda q, w=w: F.struct(F.lit(w).alias("query")), w) for w in ("phone", "rag")
+    ]
+    queries = spark.createDataFrame([(1, "rag?"), (2, "about fastapi")], "qid long, query string")
+    docs = spark.createDataFrame([("a.txt", "fragment of rag"), ("b.txt", "fastapi phone"), ("c.txt", "")], "doc_name string, text string")
+    steps = tools.step_rows(tools.plan_tool_calls(queries, rules))
+    found = {
+        (r.qid, r.step): r.top
+        for r in tools.search_results(steps, docs).select("qid", "step", F.try_variant_get("result", "$.hits[0].doc_name", "string").alias("top")).collect()
+    }
+    assert found == {(1, 1): "b.txt", (1, 2): "a.txt", (2, 1): "b.txt", (2, 2): "a.txt"}
