@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -48,10 +49,17 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more: all that came of them is collected or written itself."""
+    """Delete written tables that nothing reads any more: all that came of them is collected or written itself.
+
+    The driver then forgets the jobs behind them, as Spark's own cleaner makes it do from time to time: their shuffles
+    and broadcasts go, and an operator of many steps does not fill the driver with plans.
+    """
     for table in tables:
         spark = table.sparkSession
         for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
             if re.fullmatch("[0-9a-f]{32}", folder.rsplit("/", 1)[-1]):
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
