@@ -113,44 +113,105 @@ def _rows_as_matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None
     return flat.reshape(len(column), width)
 
 
+# questions and items of one matrix product: its scores stay in a core's cache
+QUESTION_TILE, ITEM_TILE = 512, 1024
+# candidates gathered before they are scored again
+MAX_CANDIDATES = 4_000_000
+
+
+def _first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those that k rows before equal."""
+    raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
+    _, group = np.unique(raw, return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    sorted_group = group[by_group]
+    starts = np.flatnonzero(np.r_[True, sorted_group[1:] != sorted_group[:-1]])
+    place = np.arange(len(by_group)) - np.repeat(starts, np.diff(np.r_[starts, len(by_group)]))
+    return np.sort(by_group[place < k])
+
+
 def dot_scorer(questions: pa.Table) -> Callable:
     """Dot products a block at a time.
 
-    A matrix product finds the candidates. It may differ in the last bits with a row's place
-    in the block, so the candidates within a margin of the k-th best are scored again row by
-    row; that makes scores, and hence ties, independent of how rows were batched.
+    A matrix product, in single precision unless numbers are too large for it, finds the candidates: all scores that
+    may reach the floor, or while there is none the k-th best of the block. Its rounding error is at most the margin;
+    candidates are scored again row by row in double precision, which makes scores, and hence ties, independent of how
+    rows were batched.
     """
     asked = _rows_as_matrix(questions["embedding"])
+    width = asked.shape[1]
     lengths = np.sqrt((asked * asked).sum(axis=1))
 
     def best(items: pa.Table, k: int, floor: np.ndarray):
-        vectors = _rows_as_matrix(items["embedding"], asked.shape[1])
+        vectors = _rows_as_matrix(items["embedding"], width)
         usable = np.flatnonzero(~np.isnan(vectors).any(axis=1))
         vectors = vectors[usable]
-        if not len(vectors) or not vectors.shape[1]:
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        if not len(vectors) or not width:
+            return
         # of equal vectors only the first k rows can be among the k best
-        raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
-        _, group = np.unique(raw, return_inverse=True)
-        by_group = np.argsort(group, kind="stable")
-        sorted_group = group[by_group]
-        starts = np.flatnonzero(np.r_[True, sorted_group[1:] != sorted_group[:-1]])
-        place = np.arange(len(by_group)) - np.repeat(starts, np.diff(np.r_[starts, len(by_group)]))
-        rows = np.sort(by_group[place < k])
+        rows = _first_copies(vectors, k)
         vectors = vectors[rows]
 
-        near = vectors @ asked.T
-        at = max(0, len(rows) - k)
-        # rounding errors grow with the lengths of both vectors
-        margin = 1e-9 * np.maximum(1.0, lengths * np.sqrt((vectors * vectors).sum(axis=1).max()))
-        lowest = np.maximum(np.partition(near, at, axis=0)[at], floor) - margin
-        item, question = np.nonzero(near >= lowest)
-        scores = np.empty(len(item))
-        slab = max(1, 2_000_000 // vectors.shape[1])
-        for start in range(0, len(item), slab):
-            part = slice(start, start + slab)
-            scores[part] = (vectors[item[part]] * asked[question[part]]).sum(axis=1)
-        return question, usable[rows[item]], scores
+        with np.errstate(over="ignore", invalid="ignore"):
+            longest = np.sqrt((vectors * vectors).sum(axis=1).max())
+            # a longest sum of squares within single precision leaves every product and sum there, too
+            plain = bool(np.nanmax(np.r_[lengths, 0.0]) < 1e15 and longest < 1e15)
+            kind, unit = (np.float32, 2.0**-24) if plain else (np.float64, 2.0**-53)
+            # (width + 8) roundings of at most the product of the lengths each, and numbers too small for the precision
+            margin = 2 * (width + 8) * unit * lengths * longest + (1e-20 if plain else 0.0)
+            items_t = np.ascontiguousarray(vectors.astype(kind).T)
+        near_all = np.empty(min(QUESTION_TILE, len(asked)) * min(ITEM_TILE, len(vectors)), kind)
+        fine = 2 * (width + 8) * 2.0**-53 * lengths * longest
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        gathered = 0
+
+        def scored():
+            question, item = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            scores = np.empty(len(item))
+            slab = max(1, 2_000_000 // width)
+            for start in range(0, len(item), slab):
+                part = slice(start, start + slab)
+                scores[part] = (vectors[item[part]] * asked[question[part]]).sum(axis=1)
+            good = scores >= floor[question]
+            return question[good], usable[rows[item[good]]], scores[good]
+
+        for start in range(0, len(asked), QUESTION_TILE):
+            group = asked[start : start + QUESTION_TILE].astype(kind)
+            low, slack = floor[start : start + QUESTION_TILE], margin[start : start + QUESTION_TILE]
+            low = np.where(np.isfinite(slack), low, -np.inf) - np.where(np.isfinite(slack), slack, 0.0)
+            for at in range(0, len(vectors), ITEM_TILE):
+                tile = items_t[:, at : at + ITEM_TILE]
+                near = near_all[: len(group) * tile.shape[1]].reshape(len(group), tile.shape[1])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    np.matmul(group, tile, out=near)
+                if not plain:
+                    near[np.isnan(near)] = -np.inf  # no score, which the row-by-row product finds again
+                top = near.max(axis=1)
+                hit = np.flatnonzero(top >= low)
+                if not len(hit):
+                    continue
+                some, bound = near[hit], low[hit]
+                new = np.flatnonzero(bound == -np.inf)
+                if len(new) and tile.shape[1] > k:
+                    kth = np.partition(some[new], tile.shape[1] - k, axis=1)[:, tile.shape[1] - k].astype(np.float64)
+                    wide = slack[hit[new]]
+                    bound[new] = np.where(np.isfinite(wide), kth - 2 * wide, -np.inf)
+                    low[hit[new]] = bound[new]
+                # rounded down, so that comparing in single precision loses none
+                reach = some >= np.nextafter(bound.astype(kind), kind(-np.inf))[:, None]
+                if plain and tile.shape[1] > k and np.count_nonzero(reach) > len(hit) * (k + tile.shape[1] // 16):
+                    # vectors too much alike for single precision: once more in double
+                    near64, slack64 = asked[start + hit] @ vectors[at : at + ITEM_TILE].T, fine[start + hit]
+                    kth = np.partition(near64, tile.shape[1] - k, axis=1)[:, tile.shape[1] - k]
+                    reach &= near64 >= (np.maximum(floor[start + hit], kth) - 2 * slack64)[:, None]
+                question, item = np.divmod(np.flatnonzero(reach), tile.shape[1])
+                found.append((hit[question] + start, item + at))
+                gathered += len(item)
+                if gathered >= MAX_CANDIDATES:
+                    yield scored()
+                    found, gathered = [], 0
+        if found:
+            yield scored()
 
     return best
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from citegrain.operators import embedding_store, lexical, vectors
 from citegrain.operators.chunks import paragraph_chunks
-from citegrain.plans import postings
+from citegrain.plans import block_topk, postings
 
 GRID = {"max_broadcast": 7}
 
@@ -45,6 +45,48 @@ def test_top_k_is_the_full_sort(spark, spaces, how, k):
         assert all(r.text == f"text {r.doc_name} {r.chunk_id}" for r in mine)
 
 
+def test_blocks_of_questions_are_no_jobs_of_their_own(spark, spaces):
+    """One search of the items, however few questions may be broadcast."""
+    questions, items, scores = spaces
+    spark.sparkContext.setJobGroup("grid", "one search")
+    try:
+        hits = vectors.top_k_chunks(questions, items, 3, max_broadcast=1).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("grid")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(hits) == 3 * len(scores) and len(jobs) < 15
+
+
+@pytest.mark.parametrize("spread", [1e-3, 1e-7, 1e-12])
+def test_candidates_in_single_precision_lose_no_hit(spark, monkeypatch, spread):
+    """Vectors that single precision cannot tell apart, in a grid of many cells, under one repeated and one null key."""
+    monkeypatch.setattr(block_topk, "MIN_CELL_SCORES", 500)
+    monkeypatch.setattr(block_topk, "FIRST_CHUNK", 8)
+    monkeypatch.setattr(vectors, "MAX_CANDIDATES", 50)
+    rng = np.random.default_rng(8)
+    index = rng.normal(size=(1, 24)) + rng.normal(size=(300, 24)) * spread
+    asked = rng.normal(size=(40, 24))
+    keys = [None if i % 4 == 0 else 7 if i % 4 == 1 else 100 + i for i in range(40)]
+    items = spark.createDataFrame([(f"d{i % 3}", i, v.tolist()) for i, v in enumerate(index)], "doc_name string, chunk_id long, embedding array<double>").repartition(3)
+    questions = spark.createDataFrame([(q, v.tolist()) for q, v in zip(keys, asked)], "qid long, embedding array<double>")
+    want = {}
+    for q, v in zip(keys, asked):
+        want.setdefault(q, []).extend((-s, f"d{i % 3}", i) for i, s in enumerate((index * v).sum(axis=1)))
+    got = {}
+    for r in vectors.top_k_chunks(questions, items, 3, **GRID).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.doc_name, r.chunk_id))
+    assert {q: [x[1:] for x in sorted(rows)] for q, rows in got.items()} == {q: [x[1:] for x in sorted(rows)[:3]] for q, rows in want.items()}
+
+
+@pytest.mark.parametrize("sizes", [(615_000, 3_000_000), (103_000, 512_000), (10_000_000, 500), (101, 40)])
+def test_cells_hold_what_a_task_may_hold(sizes):
+    rows, n_items = sizes
+    groups, parts = block_topk._grid(rows, rows * 64, n_items, n_items * 64, 4, 48)
+    assert rows * 64 <= groups * block_topk.MAX_BROADCAST_VALUES and n_items * 64 <= parts * block_topk.MAX_CELL_VALUES
+    # what travels stays within a few times the input
+    assert groups * n_items * 64 + parts * rows * 64 <= 12 * (rows + n_items) * 64 or groups * parts <= 60
+
+
 def test_one_vector(spark, spaces):
     questions, items, scores = spaces
     v = questions.filter("qid = 7").first().embedding
