@@ -12,7 +12,8 @@ put in one order, by key and time, and cut into ranges of about `RANGE_ROWS` row
    it with. A range that begins and ends in one key is a step table for that: a chain that may store again
    after time u stores the first request after u, and *leaves* with the last one stored from there. Its
    entries lie in the first ttl of the range, and those that lead to the same end are one.
-2. One pass over the ranges in order, one small row each, tells the stored time that every range begins with.
+2. One pass over the ranges in order tells the stored time that every range begins with. It holds one range's step table at
+   a time, a row for each entry, and never the requests.
 3. Every range then walks its own rows once.
 
 The repeat flag needs of the range before only its last request.
@@ -63,9 +64,11 @@ def _in_ranges(requests: DataFrame, keys: Sequence[str], ts: str, order: Sequenc
     return ranges, (ranges.agg(F.max("part")).first()[0] or 0) + 1
 
 
-def _by_range(ranges: DataFrame, parts: int) -> DataFrame:
+def _by_range(ranges: DataFrame, parts: int, range_rows: int) -> DataFrame:
+    """The ranges in order, several small ones to a task."""
     places = [c for c in ranges.columns if c[0] == "o"]
-    return ranges.repartitionById(parts, "part").sortWithinPartitions("part", "h1", "h2", "at", *places)
+    tasks = min(parts, max(4 * ranges.sparkSession.sparkContext.defaultParallelism, math.ceil(parts * range_rows / RANGE_ROWS)))
+    return ranges.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part", "h1", "h2", "at", *places)
 
 
 def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -111,50 +114,57 @@ def _last_stored(at: np.ndarray, ttl: int) -> int:
     return int(at[i])
 
 
-_RANGE = "part int, first1 bigint, first2 bigint, last1 bigint, last2 bigint, whole boolean, entry array<bigint>, leaves array<bigint>, last_at bigint"
+_RANGE = "part int, first1 bigint, first2 bigint, last1 bigint, last2 bigint, whole boolean, entry bigint, leaves bigint, last_at bigint"
 
 
-def _summaries(ttl: int):
-    """One row for each range: its first and last key, and what it does to a chain of the first."""
-    lists = pa.list_(pa.int64())
+def _summaries(ttl: int, repeats: bool):
+    """Each range's first and last key and what it does to a chain of the first: a row for each entry, or one row."""
+    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "boolean": pa.bool_()}.get(c.split()[1], pa.int64())) for c in _RANGE.split(", ")])
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _each_range(batches):
             at, starts = rows["at"].to_numpy(), _key_starts(rows)
             ends = [rows[c][i].as_py() for i in (0, len(at) - 1) for c in ("h1", "h2")]
-            if len(starts) == 1:
+            whole = len(starts) == 1
+            if repeats:  # the last request is all that counts
+                entry, leaves = [None], [None]
+            elif whole:
                 entry, leaves = step_table(at, ttl)
             else:
-                entry, leaves = np.zeros(0, np.int64), np.array([_last_stored(at[starts[-1] :], ttl)])
-            values = [[rows["part"][0].as_py()], *[[e] for e in ends], [len(starts) == 1], [entry], [leaves], [int(at[-1])]]
-            types = [pa.int32(), *[pa.int64()] * 4, pa.bool_(), lists, lists, pa.int64()]
-            names = [c.split()[0] for c in _RANGE.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
+                entry, leaves = [None], [_last_stored(at[starts[-1] :], ttl)]
+            n = len(entry)
+            values = [[rows["part"][0].as_py()] * n, *[[e] * n for e in ends], [whole] * n, entry, leaves, [int(at[-1])] * n]
+            table = pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
+            yield from table.to_batches(max_chunksize=10_000)
 
     return summarize
 
 
 def _entered(ttl: int):
     """What every range begins with, from the ranges in order: until when an answer lasts, and the request before."""
+    types = [pa.int32(), pa.int64(), pa.int64()]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found)) if found else [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "until", "before"])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, stored, before = None, _NEVER, None
-        for batch in batches:
-            found = []
-            for r in batch.to_pylist():
-                same = key == (r["first1"], r["first2"])
-                until = stored + ttl if same else _NEVER
-                found.append((r["part"], until, before if same else None))
-                if not r["whole"]:
-                    stored = r["leaves"][0]
-                elif not same:
-                    stored = r["leaves"][0]
-                elif (i := int(np.searchsorted(np.array(r["entry"]), until, side="right"))) < len(r["entry"]):
-                    stored = r["leaves"][i]
-                key, before = (r["last1"], r["last2"]), r["last_at"]
-            columns = list(zip(*found)) if found else [(), (), ()]
-            types = [pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "until", "before"])
+        key, stored, before, found = None, _NEVER, None, []
+        for rows in _each_range(batches):
+            first, last = ((rows[f"{c}1"][0].as_py(), rows[f"{c}2"][0].as_py()) for c in ("first", "last"))
+            same = key == first
+            until = stored + ttl if same else _NEVER
+            found.append((rows["part"][0].as_py(), until, before if same else None))
+            at = 0
+            if same and rows["whole"][0].as_py() and rows["entry"].null_count == 0:
+                at = int(np.searchsorted(rows["entry"].to_numpy(), until, side="right"))
+            if at < rows.num_rows and rows["leaves"][at].is_valid:
+                stored = rows["leaves"][at].as_py()
+            key, before = last, rows["last_at"][0].as_py()
+            if len(found) == 1000:
+                yield batch_of(found)
+                found = []
+        yield batch_of(found)
 
     return enter
 
@@ -190,10 +200,13 @@ def _flagged(
 ) -> DataFrame:
     order, ttl = [order] if isinstance(order, str) else list(order), ttl_sec * 1_000_000
     ranges, parts = _in_ranges(requests, keys, ts, order, range_rows)
-    summaries = _by_range(ranges, parts).select("part", "h1", "h2", "at").mapInArrow(_summaries(ttl), _RANGE)
-    # one row for each range, in one task: what a chain has stored passes from range to range
-    entered = written(summaries.coalesce(1).sortWithinPartitions("part").mapInArrow(_entered(ttl), "part int, until bigint, before bigint"))
-    rows = _by_range(ranges.join(F.broadcast(entered), "part"), parts)
+    # written by many tasks; a coalesce would pull them, and all requests, into the one that follows
+    summaries = written(_by_range(ranges, parts, range_rows).select("part", "h1", "h2", "at").mapInArrow(_summaries(ttl, repeats), _RANGE))
+    # in one task, a range at a time: what a chain has stored passes from range to range
+    one = summaries.coalesce(1).sortWithinPartitions("part", "entry")
+    entered = written(one.mapInArrow(_entered(ttl), "part int, until bigint, before bigint"))
+    discard(summaries)
+    rows = _by_range(ranges.join(F.broadcast(entered), "part"), parts, range_rows)
     places = [c for c in ranges.columns if c[0] == "o"]
     kinds = {f.name: f for f in ranges.schema.fields}
     schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("h1", "h2", *places))

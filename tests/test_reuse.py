@@ -102,3 +102,42 @@ def test_key_text(spark):
 
     row = spark.range(1).select(reuse.reuse_key(F.lit("echo"), F.lit("v1"), F.lit(3), F.lit(" why\n")))
     assert row.first()[0] == "echo|v1|3|why"
+
+
+def test_the_pass_over_the_ranges_holds_one_range_at_a_time(spark):
+    """Step tables come as rows, cut into batches anywhere, and the requests themselves are not among them."""
+    import pyarrow as pa
+
+    ttl, rng = 50, np.random.default_rng(3)
+    at = np.sort(rng.integers(0, 2000, 400))
+    starts = [0, 150, 151, 260, 400]
+    ranges = [pa.table({"part": pa.array([i] * (b - a), pa.int32()), "h1": [1] * (b - a), "h2": [2] * (b - a), "at": at[a:b]}) for i, (a, b) in enumerate(zip(starts, starts[1:]))]
+    summaries = pa.Table.from_batches(reuse._summaries(ttl, False)(iter(pa.concat_tables(ranges).to_batches())))
+    assert all(summaries.schema.field(c).type == pa.int64() for c in ("entry", "leaves"))
+    entered = pa.Table.from_batches(reuse._entered(ttl)(iter(summaries.to_batches(max_chunksize=3)))).to_pydict()
+    stored, want = None, []
+    for a, b in zip(starts, starts[1:]):
+        want.append(reuse._NEVER if stored is None else stored + ttl)
+        for t in at[a:b].tolist():
+            if stored is None or t > stored + ttl:
+                stored = t
+    assert entered["until"] == want and entered["before"] == [None, *(int(at[b - 1]) for b in starts[1:-1])]
+
+
+def test_no_task_sorts_all_ranges(spark):
+    """The job that hands chains on reads written summaries, so it has no request to sort."""
+    rows = requests(6, 300, 3, 3000)
+    seen = []
+    plain = reuse.written
+
+    def noted(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    reuse.written = noted
+    try:
+        reuse.mark_reuse(spark.createDataFrame(rows, SCHEMA), ["key"], ttl_sec=60, range_rows=20)
+    finally:
+        reuse.written = plain
+    one = [p for p in seen if "Coalesce" in p]
+    assert len(one) == 1 and one[0].count("MapInArrow") == 1
