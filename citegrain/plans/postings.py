@@ -253,8 +253,10 @@ def top_overlaps(
     hits = written(hits)
     few = asked.select(key).join(hits.groupBy(key).agg(F.count("*").alias("found")), key, "left").filter(F.coalesce("found", F.lit(0)) < k)
     docs = index.select("block", F.posexplode("docs").alias("place", "doc")).select("block", F.col("place").cast("bigint").alias("place"), "doc.*")
-    first = docs.orderBy(*ties, "block", "place").limit(2 * k - 1).withColumn("all", F.lit(1))
-    fill = few.select(key, F.lit(1).alias("all")).join(F.broadcast(first), "all").drop("all")  # 2k - 1 rows a question
+    # 0 for every row, but no constant: equal constants would make a cross join, which scans a list instead of a hash table
+    same = lambda c: F.pmod(F.xxhash64(c), F.lit(1)).alias("all")
+    first = docs.orderBy(*ties, "block", "place").limit(2 * k - 1).select("*", same("block"))
+    fill = few.select(key, same(key)).join(F.broadcast(first), "all").drop("all")  # 2k - 1 rows a question
     fill = fill.join(hits.select(key, "block", "place"), [key, "block", "place"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy(key).orderBy(F.desc("score"), *ties, "block", "place")
     both = hits.unionByName(fill.select(*hits.columns)).withColumn("rank", F.row_number().over(order))
