@@ -325,23 +325,40 @@ def _score_schema(docs: DataFrame) -> str:
     return f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
+def _bytes_of(rows: list, name: str, dtype: str) -> np.ndarray:
+    """A binary column's values, one after the other, taken out of the rows so that no second copy stays."""
+    whole = np.empty(sum(len(r[name]) for r in rows), np.uint8)
+    at = 0
+    for row in rows:
+        value = row.pop(name)
+        whole[at : at + len(value)] = np.frombuffer(value, np.uint8)
+        at += len(value)
+    return whole.view(dtype)
+
+
 def _collected(counts: Counts) -> tuple:
-    """The arrays to broadcast; their size was checked."""
-    read = lambda kind, *names: counts.slices.filter(F.col("kind") == kind).select("slice", *names).toArrow().sort_by("slice")
-    words, pairs = read(WORDS, "keys", "counts"), read(PAIRS, "filter", "bits")
-    raw = lambda t, name, dtype: np.frombuffer(b"".join(x.as_py() for x in t.column(name)), dtype=dtype)
+    """The arrays to broadcast; their size was checked. A slice comes at a time, so the driver holds them once."""
+
+    def read(kind: int, *names: str) -> list[dict]:
+        rows = counts.slices.filter(F.col("kind") == kind).select("slice", *names).toLocalIterator()
+        return sorted(({c: r[c] for c in ("slice", *names)} for r in rows), key=lambda r: r["slice"])
+
+    words = read(WORDS, "keys", "counts")
+    word_table = (_bytes_of(words, "keys", "<u8"), _bytes_of(words, "counts", "<u8"))
+    del words
+    pairs = read(PAIRS, "filter", "bits")
     sizes = np.zeros(1 << counts.slice_bits, dtype=np.uint64)
     offsets = np.zeros(1 << counts.slice_bits, dtype=np.int64)
     at = 0
-    for part, n in zip(pairs.column("slice").to_pylist(), pairs.column("bits").to_pylist()):
-        sizes[part], offsets[part] = n, at
-        at += n // 8
+    for row in pairs:
+        sizes[row["slice"]], offsets[row["slice"]] = row["bits"], at
+        at += row["bits"] // 8
+    filter_bytes = _bytes_of(pairs, "filter", "u1")
     lefts = counts.lefts.toArrow()
-    code, held, found = (lefts.column(c).to_numpy() for c in ("code", "held", "found"))
-    order = np.argsort(code)
-    left_table = (code[order].astype(np.uint64), held[order], found[order])
-    word_table = (raw(words, "keys", "<u8"), raw(words, "counts", "<u8"))
-    return counts.plain(), counts.slice_bits, word_table, left_table, raw(pairs, "filter", np.uint8), sizes, offsets
+    order = np.argsort(lefts.column("code").to_numpy())
+    code, held, found = (lefts.column(c).to_numpy()[order] for c in ("code", "held", "found"))
+    left_table = (code.view(np.uint64), held, found)
+    return counts.plain(), counts.slice_bits, word_table, left_table, filter_bytes, sizes, offsets
 
 
 def _with_broadcast(docs: DataFrame, counts: Counts) -> DataFrame:

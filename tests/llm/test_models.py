@@ -494,3 +494,10 @@ def test_one_of_many_holders_keeps_the_passage(spark, size):
     rows = [row(i, " ".join([words(i, 30), passage, words(300 + i, 30)])) for i in range(20)]
     out = {r["doc_id"]: r["text"] for r in suffixes.without_repeats(documents(spark, rows)).collect()}
     assert out == {i: text if i == 0 else f"{words(i, 30)} {words(300 + i, 30)}" for i, text, *_ in rows}
+
+
+def test_the_broadcast_takes_slices_out_of_their_rows():
+    """Values are copied once and leave their rows, also where there are none."""
+    rows = [{"slice": 0, "keys": np.array([5, 9], "<u8").tobytes()}, {"slice": 1, "keys": b""}, {"slice": 2, "keys": np.array([11], "<u8").tobytes()}]
+    assert ngram_bloom._bytes_of(rows, "keys", "<u8").tolist() == [5, 9, 11] and all("keys" not in r for r in rows)
+    assert ngram_bloom._bytes_of([], "keys", "<u8").tolist() == []
