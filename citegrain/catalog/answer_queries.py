@@ -14,6 +14,7 @@ from citegrain.catalog.retrieval_queries import (
     sql_preview,
     sql_vector_hits,
     vector_hits,
+    with_texts,
 )
 from citegrain.catalog.views import (
     SQL_STRIP_CHARS,
@@ -35,13 +36,13 @@ def _questions(s: SparkSession, d: str) -> DataFrame:
     return vector_questions(s, d).drop("embedding")
 
 
-def _hits(s: SparkSession, d: str, short: bool = False) -> DataFrame:
-    """Top-3 hits, written once because answers and scores both read them."""
-    return written(vector_hits(s, d, 3, short))
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """The questions with their keywords, written once because answers and scores of all runs read them."""
+    return written(_questions(s, d))
 
 
-def _records(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
-    return answers.answer_records(_questions(s, d), hits, style=F.col("style"))
+def _records(s: SparkSession, d: str, hits: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    return answers.answer_records(_questions(s, d) if asked is None else asked, hits, style=F.col("style"))
 
 
 def _responses(records: DataFrame, s: SparkSession, d: str) -> DataFrame:
@@ -59,23 +60,26 @@ def _responses(records: DataFrame, s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _scored(s: SparkSession, d: str, short: bool = False) -> DataFrame:
-    hits = _hits(s, d, short)
+def _scored(s: SparkSession, d: str, short: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    asked = _asked(s, d) if asked is None else asked
+    hits = vector_hits(s, d, 3, short, attach=())  # only answers need the texts
     return retrieval_eval.scored_questions(
-        _questions(s, d).withColumn("notes", F.col("style")),
+        asked.withColumn("notes", F.col("style")),
         hits,
-        _responses(_records(s, d, hits), s, d),
+        _responses(_records(s, d, with_texts(s, d, hits), asked), s, d),
     )
 
 
-def _detail(s: SparkSession, d: str, short: bool = False) -> DataFrame:
-    return retrieval_eval.eval_detail(_scored(s, d, short))
+def _detail(s: SparkSession, d: str, short: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    return retrieval_eval.eval_detail(_scored(s, d, short, asked))
 
 
 def _two_runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The baseline's detail table, and the candidate's appended to it in order of writing."""
-    first = written(_detail(s, d, short=True).withColumn("seq", F.lit(0)))
-    return first, first.unionByName(_detail(s, d).withColumn("seq", F.lit(1)))
+    asked = _asked(s, d)
+    # both written: sorting takes a sample first, which would make every answer and score twice
+    first, second = (written(_detail(s, d, n == 0, asked).withColumn("seq", F.lit(n))) for n in (0, 1))
+    return first, first.unionByName(second)
 
 
 def _rerun(s: SparkSession, d: str) -> DataFrame:
@@ -87,6 +91,11 @@ def _deltas(s: SparkSession, d: str) -> DataFrame:
     return compare.paired_deltas(baseline, rerun, "seq")
 
 
+def _retrieval_metrics(s: SparkSession, d: str) -> DataFrame:
+    asked = _asked(s, d)
+    return compare.metric_table(*(written(compare.run_aggregate(_detail(s, d, short, asked))) for short in (True, False)))
+
+
 def _shown_deltas(df: DataFrame) -> DataFrame:
     return df.withColumn("delta_kw", F.round("delta_kw", 3))
 
@@ -245,14 +254,7 @@ QUERIES = {
     "g3_deltas_from_files": _deltas_from_files,
     "g5_change_counts": lambda s, d: compare.change_counts(_deltas(s, d)),
     "g5_regressed": lambda s, d: _shown_deltas(compare.with_change(_deltas(s, d), "regressed")),
-    "g6_retrieval_metrics": lambda s, d: _rounded(
-        compare.metric_table(
-            compare.run_aggregate(_detail(s, d, short=True)), compare.run_aggregate(_detail(s, d))
-        ),
-        "baseline",
-        "candidate",
-        "delta",
-    ),
+    "g6_retrieval_metrics": lambda s, d: _rounded(_retrieval_metrics(s, d), "baseline", "candidate", "delta"),
     "g6_quality_metrics": lambda s, d: _rounded(_quality_metrics(s, d), "delta"),
     "g7_recommendation": lambda s, d: compare.recommendation(_quality_metrics(s, d)),
     "i1_to_i6_quality_detail": lambda s, d: quality.quality_rows(_quality_detail(s, d)),

@@ -18,7 +18,7 @@ from citegrain.catalog.views import (
 )
 from citegrain.functions import text as tx
 from citegrain.operators import chunks, embedding_store, lexical, vectors
-from citegrain.plans.workdir import shared_dir
+from citegrain.plans.workdir import shared_dir, written
 
 
 def line_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,13 @@ def vector_hits(s: SparkSession, d: str, top_k: int = 3, short: bool = False, at
     questions, index = vector_questions(s, d), vector_chunks(s, d)
     if short:
         questions, index = shortened(questions), shortened(index)
-    return without_self(vectors.top_k_chunks(questions, index, top_k + 1, attach=attach), top_k)
+    hits = written(without_self(vectors.top_k_chunks(questions, index, top_k + 1), top_k))
+    return with_texts(s, d, hits, attach) if attach else hits
+
+
+def with_texts(s: SparkSession, d: str, hits: DataFrame, attach=("text",)) -> DataFrame:
+    """Written hits with the texts of their chunks, joined last: windows and copies of hits go without."""
+    return vectors.with_columns_of(hits, vector_chunks(s, d), attach)
 
 
 def _bare_hits(s: SparkSession, d: str, top_k: int, short: bool = False, **how: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citegrain.functions.text import preview, tokens
-from citegrain.plans.block_topk import MAX_BROADCAST_QUESTIONS, blocked_top_k
+from citegrain.plans.block_topk import MAX_BROADCAST_QUESTIONS, MAX_HELD_HITS, blocked_top_k, with_attached
 
 # Defaults for embedding and retrieval, and the confidence thresholds.
 BATCH_SIZE = 32
@@ -244,6 +244,14 @@ def top_k_chunks(
     )
 
 
+def with_columns_of(hits: DataFrame, index: DataFrame, attach: Sequence[str]) -> DataFrame:
+    """The hits with further columns of their index rows, as *attach* of `top_k_chunks` gives them.
+
+    For hits that are filtered or ranked anew first, so that texts need not pass through that. Counts the hits when called.
+    """
+    return with_attached(hits, index, ("doc_name", "chunk_id"), attach, hits.count() <= MAX_HELD_HITS)
+
+
 def hit_rows(hits: DataFrame, max_chars: int = PREVIEW_CHARS, key: str = "qid") -> DataFrame:
     """Hits as shown: score to 6 places and a one-line preview of ``text``."""
     return hits.select(

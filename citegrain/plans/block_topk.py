@@ -148,7 +148,7 @@ def blocked_top_k(
     item to *attach*: their hits show the smallest of its values.
     """
     # written once, so that vectors that a model makes are made once
-    asked = written(questions.filter(F.col(values).isNotNull()).select(key, values))
+    asked = _with_values(written(questions.select(key, values)), values)
     rows, held = _measured(asked, values)
     payload = [*ties, *[c for c in carry if c not in ties]]
     in_place = rows <= max_broadcast and held <= MAX_BROADCAST_VALUES
@@ -166,7 +166,12 @@ def blocked_top_k(
         hits = written(hits)  # the grid is searched once, however often the hits are read
     if not attach:
         return hits
-    return _with_attached(hits, items, ties, attach, rows * k <= MAX_HELD_HITS)
+    return with_attached(hits, items, ties, attach, rows * k <= MAX_HELD_HITS)
+
+
+def _with_values(table: DataFrame, values: str) -> DataFrame:
+    """The rows that have an array; asked of a written table, as a filter in front would make every array twice."""
+    return table.filter(F.col(values).isNotNull())
 
 
 def _partial_schema(questions: DataFrame, items: DataFrame, key: str, payload: Sequence[str]) -> T.StructType:
@@ -206,7 +211,7 @@ def _of_grid(
 ) -> DataFrame:
     """The k best of every cell for any number of questions."""
     spark = asked.sparkSession
-    slim = written(items.filter(F.col(values).isNotNull()).select(*dict.fromkeys([*payload, values])))
+    slim = _with_values(written(items.select(*dict.fromkeys([*payload, values]))), values)
     n_items, item_values = _measured(slim, values)
     groups, parts = _grid(rows, held, n_items, item_values, k, 4 * spark.sparkContext.defaultParallelism)
 
@@ -268,7 +273,7 @@ def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, It
             pass
 
 
-def _with_attached(hits: DataFrame, items: DataFrame, ties: Sequence[str], attach: Sequence[str], few: bool) -> DataFrame:
+def with_attached(hits: DataFrame, items: DataFrame, ties: Sequence[str], attach: Sequence[str], few: bool) -> DataFrame:
     """The hits with the columns *attach* of their items, each taken from the items once."""
     named = hits.select(*[F.col(c).alias(f"hit_{c}") if c in ties else F.col(c) for c in hits.columns])
     of_hits = [c for c in named.columns if not c.startswith("hit_")]
