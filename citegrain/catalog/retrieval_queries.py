@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citegrain.catalog.views import (
     SQL_STRIP_CHARS,
+    chunk_texts,
     corpus,
     sql_tokens,
     table,
@@ -50,7 +51,8 @@ def vector_hits(s: SparkSession, d: str, top_k: int = 3, short: bool = False, at
 
 def with_texts(s: SparkSession, d: str, hits: DataFrame, attach=("text",)) -> DataFrame:
     """Written hits with the texts of their chunks, joined last: windows and copies of hits go without."""
-    return vectors.with_columns_of(hits, vector_chunks(s, d), attach)
+    texts, named = chunk_texts(s, d)
+    return vectors.with_columns_of(hits, texts, attach, named)
 
 
 def _bare_hits(s: SparkSession, d: str, top_k: int, short: bool = False, **how: int) -> DataFrame:

@@ -244,12 +244,15 @@ def top_k_chunks(
     )
 
 
-def with_columns_of(hits: DataFrame, index: DataFrame, attach: Sequence[str]) -> DataFrame:
+def with_columns_of(
+    hits: DataFrame, index: DataFrame, attach: Sequence[str], named: Sequence[str] = ("doc_name", "chunk_id")
+) -> DataFrame:
     """The hits with further columns of their index rows, as *attach* of `top_k_chunks` gives them.
 
     For hits that are filtered or ranked anew first, so that texts need not pass through that. Counts the hits when called.
+    *named* are the columns that tell an index row.
     """
-    return with_attached(hits, index, ("doc_name", "chunk_id"), attach, hits.count() <= MAX_HELD_HITS)
+    return with_attached(hits, index, named, attach, hits.count() <= MAX_HELD_HITS)
 
 
 def hit_rows(hits: DataFrame, max_chars: int = PREVIEW_CHARS, key: str = "qid") -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from citegrain.catalog import retrieval_queries
 from citegrain.operators import embedding_store, lexical, vectors
 from citegrain.operators.chunks import paragraph_chunks
 from citegrain.plans import block_topk, postings
@@ -269,3 +270,19 @@ def test_a_store_embeds_only_what_is_new(spark, tmp_path):
     got = {r.n: r.embedding for r in embedding_store.with_embeddings(texts, store, "m").collect()}
     assert got[4] is None and got[1] == got[3] == pytest.approx([0.5**0.5] * 2) and got[5] == pytest.approx([0.0, 1.0])
     assert embedding_store.stored(spark, store, "none").count() == 0
+
+
+@pytest.mark.parametrize("n_vectors", [2, 6])
+def test_texts_of_hits_are_not_joined_to_labels(spark, tmp_path, n_vectors):
+    """Where all chunks are documents their number tells the text, of a repeated one the smallest; else the label does, too."""
+    docs = [(0, "b"), (0, "a"), (1, None), (2, "c"), (None, "d")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(i, [float(i + 1), 1.0], i % 2) for i in range(n_vectors)]
+    spark.createDataFrame(vecs, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits = spark.createDataFrame([(9, 1, "topic0.txt", 0, 0.5), (9, 2, "topic1.txt", 1, 0.25), (8, 1, "topic0.txt", 2, 0.5)], "qid bigint, rank int, doc_name string, chunk_id bigint, score double")
+    got = retrieval_queries.with_texts(spark, str(tmp_path), hits)
+    assert got.columns == [*hits.columns, "text"]
+    assert sorted((r["qid"], r["rank"], r["doc_name"], r["chunk_id"], r["score"], r["text"]) for r in got.collect()) == [
+        (8, 1, "topic0.txt", 2, 0.5, "c"), (9, 1, "topic0.txt", 0, 0.5, "a"), (9, 2, "topic1.txt", 1, 0.25, None),
+    ]
+    assert any("embeddings.parquet" in x for x in got.inputFiles()) == (n_vectors > len(docs))
