@@ -41,17 +41,23 @@ def shortened(df: DataFrame, dimensions: int = 32) -> DataFrame:
     return df.withColumn("embedding", vectors.normalized(F.slice("embedding", 1, dimensions)))
 
 
-def vector_hits(s: SparkSession, d: str, top_k: int = 3, short: bool = False, attach=("text",)) -> DataFrame:
+def vector_hits(s: SparkSession, d: str, top_k: int = 3, short: bool = False, attach=("text",), chars: int | None = None) -> DataFrame:
     questions, index = vector_questions(s, d), vector_chunks(s, d)
     if short:
         questions, index = shortened(questions), shortened(index)
     hits = written(without_self(vectors.top_k_chunks(questions, index, top_k + 1), top_k))
-    return with_texts(s, d, hits, attach) if attach else hits
+    return with_texts(s, d, hits, attach, chars) if attach else hits
 
 
-def with_texts(s: SparkSession, d: str, hits: DataFrame, attach=("text",)) -> DataFrame:
-    """Written hits with the texts of their chunks, joined last: windows and copies of hits go without."""
+def with_texts(s: SparkSession, d: str, hits: DataFrame, attach=("text",), chars: int | None = None) -> DataFrame:
+    """Written hits with the texts of their chunks, joined last: windows and copies of hits go without.
+
+    With *chars* only that many first characters of a text are shuffled. The smallest of several texts begins with the
+    smallest beginning, so these are the first characters of the same text.
+    """
     texts, named = chunk_texts(s, d)
+    if chars is not None:
+        texts = texts.withColumn("text", F.substring("text", 1, chars))
     return vectors.with_columns_of(hits, texts, attach, named)
 
 
@@ -162,7 +168,7 @@ QUERIES = {
     "c5_top_k_chunks": lambda s, d: _scored(_bare_hits(s, d, 3)),
     "c5_top_k_chunks_short_vectors": lambda s, d: _scored(_bare_hits(s, d, 5, short=True)),
     "c5_top_k_in_blocks": lambda s, d: _scored(_bare_hits(s, d, 3, max_broadcast=100)),
-    "c6_hit_rows": lambda s, d: vectors.hit_rows(vector_hits(s, d)),
+    "c6_hit_rows": lambda s, d: vectors.hit_rows(vector_hits(s, d, chars=vectors.PREVIEW_CHARS + 1)),
     "c7_confidence": lambda s, d: vectors.confidence(
         table(s, d, "embeddings").select(F.col("vec_id").alias("qid")), _bare_hits(s, d, 3)
     ),

@@ -49,6 +49,8 @@ ECHO_PREFIX = "[echo] "
 ECHO_BLOCKS = 2
 ECHO_CHARS = 80
 ECHO_JOIN = "；"
+#: First characters of a text on which a record without a generator depends; one more than shown tells whether it is cut.
+SHOWN_CHARS = max(PREVIEW_CHARS, ECHO_CHARS) + 1
 
 
 def _filled(template: str, **values: Column) -> Column:

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citegrain.catalog import retrieval_queries
-from citegrain.operators import embedding_store, lexical, vectors
+from citegrain.catalog import retrieval_queries, views
+from citegrain.operators import answers, embedding_store, lexical, vectors
 from citegrain.operators.chunks import paragraph_chunks
 from citegrain.plans import block_topk, postings
 
@@ -286,3 +286,32 @@ def test_texts_of_hits_are_not_joined_to_labels(spark, tmp_path, n_vectors):
         (8, 1, "topic0.txt", 2, 0.5, "c"), (9, 1, "topic0.txt", 0, 0.5, "a"), (9, 2, "topic1.txt", 1, 0.25, None),
     ]
     assert any("embeddings.parquet" in x for x in got.inputFiles()) == (n_vectors > len(docs))
+
+
+def test_beginnings_of_texts_give_the_same_records(spark, tmp_path):
+    """Records are made of the first characters of texts; of repeated documents the smallest text still counts."""
+    long = ["x" * 219 + end for end in ("", "y", "yz", "y\nzz" * 9)] + ["\n é语" * 80, "", None]
+    docs = [(i, t) for i, t in enumerate(long)] + [(2, "x" * 219 + "y" + "a" * 50), (3, "x" * 219 + "yb"), (4, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0], 0) for i in range(len(long))], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits = spark.createDataFrame([(i % 3, i, "topic0.txt", i, 0.5) for i in range(len(long))], "qid bigint, rank int, doc_name string, chunk_id bigint, score double")
+    asked = spark.createDataFrame([(i, "q") for i in range(3)], "qid bigint, query string")
+    whole, heads = (retrieval_queries.with_texts(spark, str(tmp_path), hits, chars=n) for n in (None, answers.SHOWN_CHARS))
+    assert max(len(r["text"] or "") for r in heads.collect()) == answers.SHOWN_CHARS < max(len(r["text"] or "") for r in whole.collect())
+    of = lambda found: sorted(map(str, answers.answer_records(asked, found).collect()))
+    assert of(heads) == of(whole)
+    shown = lambda found: sorted(map(str, vectors.hit_rows(found).collect()))
+    assert shown(heads) == shown(whole)
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_only_documents_that_word_a_question_are_shuffled(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(views, "MAX_BROADCAST_IDS", limit)
+    docs = [(i, f"text {i}", "en", "s") for i in range(9)] + [(1, "again", "fr", "t"), (None, "none", "en", "s")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(i, [1.0], i) for i in (0, 1, 12, None)]
+    spark.createDataFrame(vecs, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = views.vector_questions(spark, str(tmp_path))
+    rows = {(r["qid"], r["expected_keywords"]) for r in got.collect()}
+    assert rows == {(0, "text;0"), (1, "text;1"), (1, "again"), (12, "text;1"), (12, "again"), (None, None)}, rows
+    assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == (limit > 0)
