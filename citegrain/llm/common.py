@@ -77,23 +77,28 @@ def joined_to_one(rows: DataFrame, one: DataFrame, key: list[str], counts: DataF
 MARK_BITS = 1 << 26
 
 
-def marks(keys: DataFrame, name: str) -> np.ndarray:
-    """A table of bits with one set for each key (a 64-bit hash): what is not marked is certainly no key."""
-    bit = F.pmod(F.col(name), F.lit(MARK_BITS))
+def marks(keys: DataFrame, name: str, size: int = MARK_BITS) -> np.ndarray:
+    """A table of *size* bits with one set for each key (a 64-bit hash): what is not marked is certainly no key."""
+    bit = F.pmod(F.col(name), F.lit(size))
     word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).alias("bits")
-    found = keys.groupBy((bit / 64).cast("bigint").alias("word")).agg(word).toArrow()  # at most MARK_BITS / 64 rows
-    table = np.zeros(MARK_BITS // 64, np.uint64)
+    found = keys.groupBy((bit / 64).cast("bigint").alias("word")).agg(word).toArrow()  # at most size / 64 rows
+    table = np.zeros(size // 64, np.uint64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return table
 
 
+def has_mark(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key, a signed number, may be one of those that *table* was made of."""
+    bit = np.mod(keys, len(table) * 64)
+    return (table[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def marked(spark: SparkSession, table: np.ndarray, key: Column) -> Column:
     """Whether a key may be one of those that *table* was made of."""
-    shared, size = spark.sparkContext.broadcast(table), MARK_BITS
+    shared = spark.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def look(keys: pd.Series) -> pd.Series:
-        bit = np.mod(keys.to_numpy().astype(np.int64), size)
-        return pd.Series((shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1)
+        return pd.Series(has_mark(shared.value, keys.to_numpy().astype(np.int64)))
 
     return look(key)

@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import free_name, same
-from citegrain.plans.workdir import written
+from citegrain.llm.common import free_name, has_mark, marks, same
+from citegrain.plans.workdir import discard, written
 
 MIN_WORDS = 50
 REACH = 15
 KEY = MIN_WORDS - REACH
 SEED = 42
-#: Repeated keys above this many bytes do not thin out the second pass; it carries all suffixes then.
+#: Repeated keys above this many bytes thin out the second pass by a table of bits of half that size, which lets some others pass.
 BROADCAST_BYTES = 64 << 20
 NO_ID = -(1 << 63)
 
@@ -84,7 +84,7 @@ def _contexts(shared):
     names = ["doc", "at", "key", "before", "behind"]
 
     def carry(batches):
-        known = shared.value if shared is not None else None
+        known, bits = shared.value if shared is not None else (None, None)
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column("doc"), batch.column("text")):
@@ -94,6 +94,9 @@ def _contexts(shared):
                     place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     kept = known[place] == keys
                     at, keys = at[kept], keys[kept]
+                elif bits is not None and len(at):
+                    kept = has_mark(bits, keys.view(np.int64))
+                    at, keys = at[kept], keys[kept]
                 if not len(at):
                     continue
                 short, doc_id = (words >> np.uint64(48)).astype("<u2"), doc_id.as_py()
@@ -156,28 +159,30 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def _compared(entries: DataFrame, *order: str) -> DataFrame:
-    """Entries matched with their neighbours in this order, all over the ranges they are sorted in."""
+def _compared(entries: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Entries matched with their neighbours in this order, all over the ranges they are sorted in; and the table behind."""
     size = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = entries.repartitionByRange(size, *order).sortWithinPartitions(*order)
     found = written(ranged.mapInArrow(_neighbours, _MATCH))
     # two edges for each range: few enough to be put in order by one task
     edges = found.filter("edge").select("key", "before", "behind", "low", "high").distinct()
     edges = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours, _MATCH)
-    return found.union(edges).select("key", "before", "behind", "left", "right", "other")
+    return found.union(edges).select("key", "before", "behind", "left", "right", "other"), found
 
 
-def _repeats(entries: DataFrame) -> DataFrame:
-    """Entries that lie in a shared passage: key, before, behind, left, right (words it reaches), other."""
+def _repeats(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries that lie in a shared passage: key, before, behind, left, right (words it reaches), other; and a table behind."""
     sure = entries.filter("low <> high").select(
         "key", "before", "behind", (F.octet_length("before") / 2).cast("int").alias("left"),
         (F.octet_length("behind") / 2).cast("int").alias("right"), F.lit(None).cast("bigint").alias("other"),
     )
-    matched = _compared(entries, "key", "behind", "before").union(_compared(entries, "key", "before", "behind"))
+    (behind, first), (before, second) = _compared(entries, "key", "behind", "before"), _compared(entries, "key", "before", "behind")
+    matched = behind.union(before)
     best = F.max(F.struct((F.col("left") + F.col("right")).alias("n"), "left", "right", "other")).alias("m")
     best = matched.filter("other is not null").groupBy("key", "before", "behind").agg(best)
     near = best.filter(F.col("m.n") >= REACH).select("key", "before", "behind", "m.left", "m.right", "m.other")
     decided = written(sure.union(near))
+    discard(first, second)
 
     open_ = entries.join(decided.select("key", "before", "behind"), ["key", "before", "behind"], "left_anti")
     # a key that only two entries hold was decided when they were neighbours
@@ -194,7 +199,8 @@ def _repeats(entries: DataFrame) -> DataFrame:
     )
     more = more.select("key", "before", "behind", "left", "right", F.when(F.col("l") != F.col("low"), F.col("l")).otherwise(F.col("h")).alias("other"))
     more = more.join(decided.select("key", "before", "behind"), ["key", "before", "behind"], "left_anti")
-    return decided.union(more).groupBy("key", "before", "behind").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("other").alias("other"))
+    whole = decided.union(more).groupBy("key", "before", "behind")
+    return whole.agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("other").alias("other")), decided
 
 
 def repeated_spans(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -210,13 +216,22 @@ def repeated_spans(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
         if not len(known):
             empty = docs.select("doc_id").schema.add("start", "long").add("n_words", "long").add("other_id", "long")
             return spark.createDataFrame([], empty)
-        shared = spark.sparkContext.broadcast(known)
-    found = written(rows.mapInArrow(_contexts(shared), "doc bigint, at bigint, key bigint, before binary, behind binary"))
+        shared = spark.sparkContext.broadcast((known, None))
+    elif broadcast_bytes >= 16:
+        shared = spark.sparkContext.broadcast((None, marks(shared_keys, "key", 4 * (1 << broadcast_bytes.bit_length() - 1))))
+    discard(shared_keys)
+    contexts = rows.mapInArrow(_contexts(shared), "doc bigint, at bigint, key bigint, before binary, behind binary")
+    # a passage is found again by two hashes, which are fewer bytes to shuffle than its words
+    found = written(contexts.withColumn("entry", F.xxhash64("key", "before", "behind")))
     entries = written(found.groupBy("key", "before", "behind").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
     # written, so that a crowded entry's rows can be split among tasks when they meet it
-    repeats = written(_repeats(entries).join(entries, ["key", "before", "behind"]))
+    reached, decided = _repeats(entries)
+    repeats = reached.join(entries, ["key", "before", "behind"]).withColumn("entry", F.xxhash64("key", "before", "behind"))
+    repeats = written(repeats.select("key", "entry", "left", "right", "other", "low", "high"))
+    del reached
+    discard(entries, decided)
     other = F.coalesce(F.when(F.col("low") != F.col("doc"), F.col("low")), F.when(F.col("high") != F.col("doc"), F.col("high")), F.col("other"))
-    spans = found.join(repeats, ["key", "before", "behind"]).select(
+    spans = found.select("doc", "at", "key", "entry").join(repeats.hint("merge"), ["key", "entry"]).select(
         "doc", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + KEY + F.col("right")).alias("end"), other.alias("other")
     )
     spans = spans.groupBy("doc", "start").agg(F.max("end").alias("end"), F.min("other").alias("other"))

@@ -460,6 +460,20 @@ def test_repeated_passages(spark, how):
     assert missing <= 0.005 * sum(map(len, want.values())) and extra == 0
 
 
+def test_more_shared_keys_than_fit_still_thin_out_the_second_pass(spark, monkeypatch):
+    """Beyond the bound a table of bits takes the keys' place: the same spans, and few suffixes are carried in vain."""
+    tables, plain = [], suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df: tables.append(plain(df)) or tables[-1])
+    found, carried = [], []
+    for size in (suffixes.BROADCAST_BYTES, 1024, 0):
+        tables.clear()
+        spans = suffixes.repeated_spans(documents(spark, passages()), size)
+        found.append(sorted((r["doc_id"], r["start"], r["n_words"]) for r in spans.collect()))
+        carried.append(next(t for t in tables if "at" in t.columns).count())
+    assert found[0] and found[0] == found[1] == found[2]
+    assert carried[0] <= carried[1] < (carried[0] + carried[2]) / 2
+
+
 def test_crowded_keys_are_decided_exactly(spark):
     """Three texts whose neighbours in both orders match too little, though two of them match enough."""
     tail, head = words(70, 40), words(71, 40).split()
