@@ -8,10 +8,9 @@ good early. The index is written once and may be kept.
 A question's score is one point for each of its tokens, repeats included, that a document holds. A task goes
 through its blocks with the broadcast questions:
 
-* The tokens that a block holds at all bound a question's score there. If the bound is below its k-th
-  score so far, the whole block is passed over.
-* Otherwise the block's tokens are put in order, the most frequent first. Documents that hold only such first tokens as
-  together score less than the k-th are never looked at; the others, found under the remaining tokens, are scored.
+* The points of the `DENSE` most asked tokens come from one matrix product of questions and a block's documents.
+* The other tokens of a question that the block holds at all bound what they can add. Only for documents that may so reach the
+  question's k-th score so far is that added, token by token; a question without any such is passed over in this block.
 
 A document without a common token has score 0. It is never scored: a question with fewer than k documents
 is filled up from the first 2k - 1 documents by name, of which at most k - 1 can be among its hits.
@@ -35,8 +34,10 @@ from citegrain.plans.workdir import shared_dir, written
 
 BLOCK = 256
 CHUNK = 8192
-#: (question, document) cells and postings expanded at once in a task.
+#: Postings expanded at once in a task.
 MAX_POINTS = 8_000_000
+#: Tokens of the matrix product.
+DENSE = 1024
 
 
 def build_index(documents: DataFrame, tokens: str, payload: Sequence[str]) -> DataFrame:
@@ -108,7 +109,7 @@ def build_index(documents: DataFrame, tokens: str, payload: Sequence[str]) -> Da
 
 
 class _Questions:
-    """The questions' tokens with their repeats, by token."""
+    """The questions' tokens with their repeats: a matrix of the most asked ones, the others by token."""
 
     def __init__(self, questions: pa.Table, tokens: str):
         lists = questions[tokens].combine_chunks()
@@ -119,7 +120,15 @@ class _Questions:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         pairs, self.repeats = np.unique(codes * max(self.n, 1) + asker, return_counts=True)
         self.asker = pairs % max(self.n, 1)
-        self.ends = np.searchsorted(pairs // max(self.n, 1), np.arange(len(self.words) + 1))
+        code = pairs // max(self.n, 1)
+        self.ends = np.searchsorted(code, np.arange(len(self.words) + 1))
+        most = np.argsort(-np.diff(self.ends), kind="stable")[:DENSE]
+        self.column = np.full(len(self.words), -1)
+        self.column[most] = np.arange(len(most))
+        exact = np.float32 if len(coded.indices) < 1 << 24 else np.float64  # whole numbers
+        self.weights = np.zeros((self.n, len(most)), exact)
+        dense = self.column[code] >= 0
+        self.weights[self.asker[dense], self.column[code[dense]]] = self.repeats[dense]
 
 
 def _expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -133,47 +142,40 @@ def _candidates(asked: _Questions, floor: np.ndarray, words: pa.Array, ends: np.
     word = np.flatnonzero(known >= 0)
     known = known[word]
     starts = np.concatenate([[0], ends[:-1]])
+    column = asked.column[known]
+    dense = word[column >= 0]
+    held = ends[dense] - starts[dense]
+    holds = np.zeros((asked.weights.shape[1], BLOCK), asked.weights.dtype)
+    holds[np.repeat(column[column >= 0], held), places[_expanded(starts[dense], held)]] = 1
+    scores = asked.weights @ holds
+    floor = np.maximum(floor, 1)
+    word, known = word[column < 0], known[column < 0]
     sizes = asked.ends[known + 1] - asked.ends[known]
-    entry = _expanded(asked.ends[known], sizes)  # one for each token that a question and the block share
+    entry = _expanded(asked.ends[known], sizes)  # one for each other token that a question and the block share
     question, points, word = asked.asker[entry], asked.repeats[entry], np.repeat(word, sizes)
-    floor = np.maximum(floor, 1)
-    open_ = np.bincount(question, weights=points, minlength=asked.n) >= floor
-    kept = open_[question]
-    question, points, word = question[kept], points[kept], word[kept]
+    # the least that the matrix must give, so that the other tokens may do the rest
+    least = floor - np.bincount(question, weights=points, minlength=asked.n)
+    open_ = np.flatnonzero(scores.max(axis=1, initial=0) >= least)
+    at, place = np.nonzero(scores[open_] >= least[open_, None])
+    found = scores[open_[at], place].astype(np.float64)
+    number = np.full(asked.n, -1)
+    number[open_] = np.arange(len(open_))
+    kept = number[question] >= 0
+    more = _added(number[question[kept]], points[kept], word[kept], len(open_), starts, ends, places)
+    return open_[at], place, found + more[at * BLOCK + place]
+
+
+def _added(row: np.ndarray, points: np.ndarray, word: np.ndarray, n: int, starts: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The points that each of *n* rows has at each place, for entries of a row, its points and a word of the block."""
     held = ends[word] - starts[word]
-    order = np.lexsort((-held, question))  # of each question the block's most frequent tokens first
-    question, points, word, held = question[order], points[order], word[order], held[order]
-    upto = np.cumsum(points)
-    first = np.searchsorted(question, question, side="left")
-    upto = upto - np.where(first > 0, upto[first - 1], 0)
-    telling = upto >= floor[question]  # up to the token before, what is found adds up to less than the floor
-    if not telling.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    q, w, h = question[telling], word[telling], held[telling]
-    cells = np.unique(np.repeat(q, h) * BLOCK + places[_expanded(starts[w], h)])
-    return cells // BLOCK, cells % BLOCK, _scores(asked.n, cells, question, points, word, starts, ends, places)
-
-
-def _scores(
-    n: int, cells: np.ndarray, question: np.ndarray, points: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray
-) -> np.ndarray:
-    """The points of each cell: every token of its question is looked up in the block's table of tokens and documents."""
-    rows, row = np.unique(word, return_inverse=True)
-    held = ends[rows] - starts[rows]
-    holds = np.zeros((len(rows), BLOCK), bool)
-    holds[np.repeat(np.arange(len(rows)), held), places[_expanded(starts[rows], held)]] = True
-    asks = np.bincount(question, minlength=n)
-    begin = np.cumsum(asks) - asks
-    sizes = asks[cells // BLOCK]
-    upto, at, scores = np.cumsum(sizes), 0, np.zeros(len(cells))
-    while at < len(cells):
+    upto, at, sums = np.cumsum(held), 0, np.zeros(n * BLOCK)
+    while at < len(word):
         stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MAX_POINTS, side="right")))
-        entry = _expanded(begin[cells[at:stop] // BLOCK], sizes[at:stop])
-        cell = np.repeat(np.arange(at, stop), sizes[at:stop])
-        found = points[entry] * holds[row[entry], cells[cell] % BLOCK]
-        scores[at:stop] = np.bincount(cell - at, weights=found, minlength=stop - at)
+        size = held[at:stop]
+        cell = np.repeat(row[at:stop] * BLOCK, size) + places[_expanded(starts[word[at:stop]], size)]
+        sums += np.bincount(cell, weights=np.repeat(points[at:stop], size), minlength=len(sums))
         at = stop
-    return scores
+    return sums
 
 
 def _task_hits(asked_table: pa.Table, batches: Iterator[pa.RecordBatch], k: int, key: str, tokens: str, ties: Sequence[str], counter=None) -> pa.Table | None:
@@ -190,7 +192,7 @@ def _task_hits(asked_table: pa.Table, batches: Iterator[pa.RecordBatch], k: int,
             question, place, score = _candidates(asked, floor, words, ends.to_numpy().astype(np.int64), places.to_numpy().astype(np.int64))
             if counter is not None:
                 counter.append((asked.n * len(docs), len(score)))
-            good = score >= floor[question]
+            good = score >= np.maximum(floor, 1)[question]
             question, place, score = question[good], place[good], score[good]
             if not len(question):
                 continue
@@ -212,7 +214,7 @@ def _task_hits(asked_table: pa.Table, batches: Iterator[pa.RecordBatch], k: int,
 
 
 def scored_cells(questions: DataFrame, index: DataFrame, k: int, key: str, tokens: str, ties: Sequence[str]) -> tuple[int, int]:
-    """All (question, document) cells of a search, and those that are scored; for questions that fit a broadcast."""
+    """All (question, document) cells of a search, and those that the most asked tokens do not rule out; for questions that fit a broadcast."""
     shared = questions.sparkSession.sparkContext.broadcast(questions.select(key, tokens).toArrow())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

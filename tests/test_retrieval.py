@@ -251,6 +251,23 @@ def test_blocks_of_any_size_give_the_same_hits(spark, monkeypatch, block, chunk)
         assert [(-r.score, r.doc_name) for r in sorted((r for r in hits if r.qid == q), key=lambda r: r["rank"])] == want
 
 
+@pytest.mark.parametrize("dense", [1, 7, 1024])
+def test_long_questions_cost_no_sort_of_their_tokens(spark, monkeypatch, dense):
+    """Texts asked as questions: frequent tokens are a matrix product, few cells need the others, hits are those of a full sort."""
+    monkeypatch.setattr(postings, "DENSE", dense)
+    monkeypatch.setattr(postings, "MAX_POINTS", 50)
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 120)) % 300) for _ in range(300)]
+    docs = spark.createDataFrame([(f"d{i:03d}", t) for i, t in enumerate(texts)], "doc_name string, text string").repartition(2)
+    index = lexical.document_index(docs)
+    questions = spark.createDataFrame(list(enumerate(texts[:60])), "qid long, query string")
+    hits = lexical.search_index(questions, index, 3).collect()
+    sets = [set(t.split()) for t in texts]
+    for q, text in enumerate(texts[:60]):
+        want = sorted((-sum(t in s for t in text.split()), f"d{i:03d}") for i, s in enumerate(sets))[:3]
+        assert [(-r.score, r.doc_name) for r in sorted((r for r in hits if r.qid == q), key=lambda r: r["rank"])] == want
+
+
 def test_a_store_embeds_only_what_is_new(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
