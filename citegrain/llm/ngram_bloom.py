@@ -17,7 +17,9 @@ Counting is one pass: each task sums sorted runs of 64-bit hashes, cut into slic
 that are merged apart; every slice has its own segment of the filter. Word counts, the sums of the words' pairs and
 the filter are broadcast together if they hold at most `broadcast_bytes`. Beyond that they stay where they are, and texts
 are scored by the same code in blocks of `BLOCK` tokens: the keys that a block asks for travel to their slices, are looked
-up or probed there, bit for bit as in the broadcast, and the answers travel back to the block.
+up or probed there, bit for bit as in the broadcast, and the answers travel back to the block. A block asks 2 ** `GROUP_BITS`
+slices at once, and what many blocks ask of them is answered together: one by one, blocks times slices would grow with the
+square of the texts.
 
 Words are split at ASCII white space, A-Z lower; every text ends in an end token. Null and empty
 texts are that token alone; long texts are taken whole. Rows that repeat a document are scored alike (and counted again in
@@ -45,6 +47,8 @@ PROBES = 5
 BROADCAST_BYTES = 256 << 20
 #: Entries that a slice of the hash range is meant to hold at most.
 SLICE_ENTRIES = 1 << 19
+#: Slices asked at once: 2 to this power.
+GROUP_BITS = 4
 #: Tokens that a task counts or scores at once.
 BLOCK = 1 << 19
 END = xxhash.xxh64_intdigest(b"\n", SEED)  # no word has white space
@@ -372,11 +376,11 @@ def _with_broadcast(docs: DataFrame, counts: Counts) -> DataFrame:
     return docs.mapInArrow(score, _score_schema(docs))
 
 
-_ASKED = "part bigint, kind int, slice int, keys binary, doc_id {0}, held_out boolean, text string"
+_ASKED = "part bigint, kind int, slice_group int, keys binary, doc_id {0}, held_out boolean, text string"
 
 
 def _asking(bits: int, id_type: pa.DataType):
-    """Texts with the number of their block (kind -1), and the sorted keys that the block asks of each slice."""
+    """Texts with the number of their block (kind -1), and the sorted keys that the block asks of each group of slices."""
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), id_type, pa.bool_(), pa.string()]
     names = [c.split()[0] for c in _ASKED.split(", ")]
 
@@ -400,43 +404,71 @@ def _asking(bits: int, id_type: pa.DataType):
     return ask
 
 
-_TABLE = "kind int, slice int, is_asked int, part bigint, keys binary, counts binary, more binary, bits bigint"
+#: part: the block that asks, or the slice within its group.
+_TABLE = "kind int, slice_group int, is_asked int, part bigint, keys binary, counts binary, more binary, bits bigint"
 _ANSWER = "part bigint, kind int, keys binary, counts binary, more binary"
 
 
-def _left_slice(table: pa.Table) -> pa.Table:
+def _left_group(table: pa.Table) -> pa.Table:
     codes, held, found = (table.column(c).to_numpy() for c in ("code", "held", "found"))
     order = np.argsort(codes)
     return pa.table({
-        "kind": pa.array([LEFTS], pa.int32()), "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()),
+        "kind": pa.array([LEFTS], pa.int32()), "slice_group": pa.array([table.column("slice_group")[0].as_py()], pa.int32()),
         "keys": [(codes[order].astype(np.uint64) << np.uint64(32)).tobytes()], "counts": [held[order].astype("<u8").tobytes()],
         "more": [found[order].astype("<u8").tobytes()],
     })
 
 
-def _answer(batches):
-    """Each slice's own row comes first, then what blocks ask of it."""
-    held, names = None, [c.split()[0] for c in _ANSWER.split(", ")]
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            if not r["is_asked"]:
-                held = r
-                continue
-            kind, keys = r["kind"], np.frombuffer(r["keys"], "<u8")
-            own = held if held is not None and (held["kind"], held["slice"]) == (kind, r["slice"]) else None
-            if kind == PAIRS:
-                none = np.zeros(len(keys), np.int64)
-                bits = np.frombuffer(own["keys"], np.uint8) if own else np.zeros(0, np.uint8)
-                values = [probed(keys, bits, np.array([own["bits"] if own else 0], np.uint64), none[:1], none)] if len(keys) else [np.zeros(0)]
-            else:
-                tables = [np.frombuffer(own[c] or b"", "<u8") for c in ("keys", "counts", "more")] if own else [np.zeros(0, np.uint64)] * 3
-                values = looked_up(keys, *(tables if kind == LEFTS else tables[:2]))
-            values = [v.astype("<f8").tobytes() for v in values]
-            rows.append((r["part"], kind, r["keys"], values[0], values[1] if len(values) > 1 else None))
-        if rows:
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+def _group_reader(kind: int, held: list[dict], bits: int, group_bits: int):
+    """The values of keys of one group, from its slices' rows."""
+    held = sorted(held, key=lambda r: r["part"])  # words are in order then from one slice to the next
+    if kind != PAIRS:
+        names = ("keys", "counts", "more") if kind == LEFTS else ("keys", "counts")
+        tables = [np.frombuffer(b"".join(r[c] for r in held), "<u8") for c in names]
+        return lambda keys: looked_up(keys, *tables)
+    sizes, offsets = np.zeros(1 << group_bits, np.uint64), np.zeros(1 << group_bits, np.int64)
+    at = 0
+    for row in held:
+        sizes[row["part"]], offsets[row["part"]] = row["bits"], at
+        at += len(row["keys"])
+    filter_bytes = np.frombuffer(b"".join(r["keys"] for r in held), np.uint8)
+    return lambda keys: [probed(keys, filter_bytes, sizes, offsets, slices_of(PAIRS, keys, bits) & (1 << group_bits) - 1)]
+
+
+def _answering(bits: int, group_bits: int):
+    """Each group's own rows come first, then what blocks ask of it, which is answered `BLOCK` keys at a time."""
+    names, types = [c.split()[0] for c in _ANSWER.split(", ")], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def answers(kind: int, reader, asked: list[tuple]) -> pa.RecordBatch:
+        values = reader(np.frombuffer(b"".join(keys for _, keys in asked), "<u8"))
+        ends = np.cumsum([len(keys) >> 3 for _, keys in asked])[:-1]
+        parts = [[x.astype("<f8").tobytes() for x in np.split(v, ends)] for v in values]
+        columns = [[part for part, _ in asked], [kind] * len(asked), [keys for _, keys in asked], parts[0]]
+        columns.append(parts[1] if len(parts) > 1 else [None] * len(asked))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    def answer(batches):
+        whose, held, reader, asked, size = None, [], None, [], 0
+        for batch in batches:
+            column = {c: batch.column(c) for c in ("part", "keys", "counts", "more", "bits")}
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "slice_group", "is_asked")))
+            for i, (kind, group, is_asked) in enumerate(rows):
+                if asked and ((kind, group) != whose or size >= BLOCK):
+                    yield answers(whose[0], reader, asked)
+                    asked, size = [], 0
+                if (kind, group) != whose:
+                    whose, held, reader = (kind, group), [], None
+                if not is_asked:
+                    held.append({c: x[i].as_py() for c, x in column.items()})
+                    continue
+                if reader is None:
+                    reader, held = _group_reader(kind, held, bits, group_bits), []
+                asked.append((column["part"][i].as_py(), column["keys"][i].as_py()))
+                size += len(asked[-1][1]) >> 3
+        if asked:
+            yield answers(whose[0], reader, asked)
+
+    return answer
 
 
 def _answered(plain: tuple):
@@ -479,24 +511,28 @@ def _by_slices(docs: DataFrame, counts: Counts) -> DataFrame:
     """The same scores where the counts lie: keys travel to their slices, and the answers back to the texts."""
     kind = docs.schema["doc_id"].dataType
     schema = _ASKED.format(kind.simpleString())
-    asked = written(docs.select("doc_id", "held_out", "text").mapInArrow(_asking(counts.slice_bits, to_arrow_type(kind)), schema))
+    group_bits = min(GROUP_BITS, counts.slice_bits)
+    groups = counts.slice_bits - group_bits
+    asked = written(docs.select("doc_id", "held_out", "text").mapInArrow(_asking(groups, to_arrow_type(kind)), schema))
+    group, place = F.shiftright("slice", group_bits).alias("slice_group"), (F.col("slice") % (1 << group_bits)).cast("bigint").alias("part")
     of = lambda kind, keys, counts_, bits: counts.slices.filter(F.col("kind") == kind).select(
-        "kind", "slice", keys.alias("keys"), counts_.alias("counts"), F.lit(None).cast("binary").alias("more"), bits.alias("bits")
+        "kind", group, place, keys.alias("keys"), counts_.alias("counts"), F.lit(None).cast("binary").alias("more"), bits.alias("bits")
     )
     none = F.lit(None)
-    owner = F.shiftrightunsigned(F.col("spread"), 64 - counts.slice_bits).cast("int") if counts.slice_bits else F.lit(0)
-    lefts = _with_spread(counts.lefts).withColumn("slice", owner).drop("spread").groupBy("slice").applyInArrow(
-        _left_slice, "kind int, slice int, keys binary, counts binary, more binary"
-    ).withColumn("bits", none.cast("bigint"))
+    owner = F.shiftrightunsigned(F.col("spread"), 64 - groups).cast("int") if groups else F.lit(0)
+    lefts = _with_spread(counts.lefts).withColumn("slice_group", owner).drop("spread").groupBy("slice_group").applyInArrow(
+        _left_group, "kind int, slice_group int, keys binary, counts binary, more binary"
+    ).withColumns({"bits": none.cast("bigint"), "part": F.lit(0).cast("bigint")})
     tables = of(WORDS, F.col("keys"), F.col("counts"), none.cast("bigint"))
     tables = tables.unionByName(of(PAIRS, F.col("filter"), none.cast("binary"), F.col("bits"))).unionByName(lefts)
-    tables = tables.withColumns({"is_asked": F.lit(0), "part": none.cast("bigint")})
-    questions = asked.filter("kind >= 0").select("kind", "slice", "part", "keys").withColumns(
+    tables = tables.withColumn("is_asked", F.lit(0))
+    questions = asked.filter("kind >= 0").select("kind", "slice_group", "part", "keys").withColumns(
         {"is_asked": F.lit(1), "counts": none.cast("binary"), "more": none.cast("binary"), "bits": none.cast("bigint")}
     )
     names = [c.split()[0] for c in _TABLE.split(", ")]
-    both = tables.select(*names).unionByName(questions.select(*names)).repartition("kind", "slice").sortWithinPartitions("kind", "slice", "is_asked")
-    answers = both.mapInArrow(_answer, _ANSWER)
+    both = tables.select(*names).unionByName(questions.select(*names)).repartition("kind", "slice_group")
+    both = both.sortWithinPartitions("kind", "slice_group", "is_asked")
+    answers = both.mapInArrow(_answering(counts.slice_bits, group_bits), _ANSWER)
     texts = asked.filter("kind < 0").select(
         "part", "kind", *[none.cast("binary").alias(c) for c in ("keys", "counts", "more")], "doc_id", "held_out", "text"
     )

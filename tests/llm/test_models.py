@@ -303,6 +303,20 @@ def test_lm_scores_are_the_same_on_both_sides_of_the_broadcast_bound(spark, monk
     assert np.mean(off) < 0.03
 
 
+def test_a_block_of_texts_asks_groups_of_slices(spark, monkeypatch):
+    """Not each slice by itself: there are as many as the texts are large, and as many blocks."""
+    tables, plain = [], ngram_bloom.written
+    monkeypatch.setattr(ngram_bloom, "written", lambda df: tables.append(plain(df)) or tables[-1])
+    rows = lm_rows()
+    got = lm_scores(spark, rows, broadcast_bytes=0, slice_entries=10)
+    slices = next(t for t in tables if "filter" in t.columns).select("kind", "slice").distinct().count()
+    asked = next(t for t in tables if "text" in t.columns)
+    requests = asked.filter("kind >= 0")
+    most = max(r["count"] for r in requests.groupBy("part").count().collect())
+    assert slices > 100 and most < slices / 4
+    assert got == lm_scores(spark, rows, slice_entries=10)
+
+
 def test_probabilities_add_up_to_one(spark, monkeypatch):
     monkeypatch.setattr(ngram_bloom, "BITS", 64)
     docs = documents(spark, lm_rows()).withColumn("held_out", F.lit(False))
